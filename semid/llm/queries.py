@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .line_dedup import dedup_lines
+from .pseudonyms import pseudonymize
+from .quality_rules import fit, judge
+from .secret_scan import BASE, RULES, scan_report
 from .token_counts import token_counts
 
 
@@ -29,10 +33,73 @@ SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
 FROM d JOIN g ON d.t = g.t
 """
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_report(table(spark, sf_dir, "documents"))
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents"), key="semid")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"), least_docs=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _op1_sql() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, string_split_regex(t, {_quoted(r.pattern)}) AS p, regexp_extract_all(t, {_quoted(r.pattern)}, 0) AS m,"
+        f" regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) AS g, {r.least} AS least FROM d WHERE regexp_matches(t, {_quoted(r.pattern)})"
+        for k, r in enumerate(RULES)
+    )
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))
+    joined = f"string_agg(({kinds})[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (SELECT doc_id, k, i.least, length(g[i]) AS size, length(m[i]) AS n,
+        CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM i),
+v AS (SELECT doc_id, k, s, s + n AS e FROM s WHERE size >= least),
+a AS (SELECT doc_id, {counts}, {joined} AS spans, {joined.replace("ORDER BY s, k, e)", "ORDER BY s, k, e) FILTER (k < " + str(len(BASE)) + ")")} AS base FROM v GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id
+"""
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op4_pseudonyms": op4_pseudonyms,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
 }
 ORACLES = {
+    "op1_secret_scan": _op1_sql(),
+    "op6_line_dedup": OP6_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
