@@ -41,7 +41,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one = by_salt.join(known.where("texts = 1"), "digest").select("digest", "salt", "keep_id", "group_size")
     out = base.select("id", "digest", "salt").join(one, ["digest", "salt"]).select("id", "keep_id", "group_size", "digest")
     # Digests shared by different texts: none under SHA-256, so the broadcast side has no rows.
-    several = F.broadcast(known.where("texts > 1").select("digest"))
+    # (The second condition never holds; it keeps the columns, so that both uses of ``known`` share their exchanges.)
+    several = F.broadcast(known.where("texts > 1 or (group_size < 0 and keep_id is null)").select("digest"))
     rest = base.select("id", "digest", "text").join(several, "digest", "left_semi").join(winners, ["digest", "text"]).select("id", "keep_id", "group_size", "digest")
     both = out.unionByName(rest)
     return both.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
