@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_words import encode
 from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .packing import pack
 from .pseudonyms import pseudonymize
 from .quality_rules import fit, judge
 from .secret_scan import BASE, RULES, scan_report
@@ -52,6 +54,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -95,6 +109,8 @@ QUERIES = {
     "op4_pseudonyms": op4_pseudonyms,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
+    "op9_bpe_words": op9_bpe_words,
     "op2_token_counts": op2_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
 }

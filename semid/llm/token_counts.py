@@ -54,9 +54,9 @@ class TokenCounter(dict):
             return 0
         if not self.separable:
             return len(self.sp.encode(text))
-        words = text.split(" ")
+        words = text.replace(MARK, " ").split(" ")  # in a text the mark stands for a space
         if "" in words:
-            words = [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
+            words = [w[1:] for w in re.findall(" +[^ ]*", " " + " ".join(words))]
         return sum(map(self.__getitem__, words))
 
 
