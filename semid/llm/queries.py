@@ -9,6 +9,7 @@ from .bpe_words import encode
 from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .near_dedup import near_groups
 from .packing import pack
 from .pseudonyms import pseudonymize
 from .quality_rules import fit, judge
@@ -66,6 +67,10 @@ def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -111,6 +116,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_bpe_words": op9_bpe_words,
+    "op10_near_dedup": op10_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
 }
