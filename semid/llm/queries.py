@@ -15,6 +15,7 @@ from .pseudonyms import pseudonymize
 from .quality_rules import fit, judge
 from .secret_scan import BASE, RULES, scan_report
 from .token_counts import token_counts
+from .warc_zip import archive_round_trip
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_report(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(table(spark, sf_dir, "documents"), key="semid")
 
@@ -98,6 +103,18 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(x, ''), lambda c: right('000' || bin(instr('0123456789abcdef', c) - 1), 4)), '') AS bits FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(bits, i * 5 + j + 1, 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER))) AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
 OP6_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
@@ -111,6 +128,7 @@ FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_warc_zip": op3_warc_zip,
     "op4_pseudonyms": op4_pseudonyms,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
@@ -122,6 +140,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_secret_scan": _op1_sql(),
+    "op3_warc_zip": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op5_exact_dedup": OP5_SQL,
 }

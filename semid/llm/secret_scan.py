@@ -129,14 +129,15 @@ def scan_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every secret's span replaced by ``[secret]``; overlapping spans are replaced together. Texts without secrets, null ones too, stay as they are."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    found = secret_spans(docs, id_col, text_col, carry=others)
+    rows = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    text = F.col("_doc")[text_col]
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["pos"]
-        out = F.when(new, F.concat(acc["out"], F.substring(F.col(text_col), acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("[secret]"))).otherwise(acc["out"])
+        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("[secret]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
 
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["pos"] + 1, F.length(text_col))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    found = secret_spans(rows, id_col, text_col, carry=("_doc",))
+    return found.select(*[F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
