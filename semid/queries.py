@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from semid.plans import quantize_queries, retrieval_queries, sequence_queries
+
+GROUPS = (quantize_queries, sequence_queries, retrieval_queries)
+QUERIES = {name: query for group in GROUPS for name, query in group.QUERIES.items()}
+ORACLES = {name: sql for group in GROUPS for name, sql in group.ORACLES.items()}
