@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from semid.plans import quantize_queries, retrieval_queries, sequence_queries
+from semid.plans import quantize_queries, retrieval_queries, sequence_queries, text_queries
 
-GROUPS = (quantize_queries, sequence_queries, retrieval_queries)
+GROUPS = (quantize_queries, sequence_queries, retrieval_queries, text_queries)
 QUERIES = {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 ORACLES = {name: sql for group in GROUPS for name, sql in group.ORACLES.items()}
