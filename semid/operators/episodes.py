@@ -86,7 +86,7 @@ def key_map() -> dict[str, str]:
 def parse_progress(value: Column) -> Column:
     """Progress as a fraction: a number or percentage is clamped to [0, 1], ``a/b`` is not, anything else is 0."""
     s = F.trim(value.cast("string"))
-    clamp = lambda x: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), F.lit(0.0))
+    clamp = lambda x: F.when(x.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     fraction = "^\\s*(\\d+(?:\\.\\d+)?)\\s*/\\s*(\\d+(?:\\.\\d+)?)\\s*$"
     a, b = (F.regexp_extract(s, fraction, i).try_cast("double") for i in (1, 2))
     return F.when(s.endswith("%"), clamp(F.substring(s, F.lit(1), F.length(s) - 1).try_cast("double") / 100)).when(s.rlike(fraction), F.when(b != 0, a / b).otherwise(0.0)).otherwise(clamp(s.try_cast("double")))
@@ -200,7 +200,7 @@ def format_actions(blocks: Column) -> Column:
 def parse_actions(turns: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, action, params, reason) for every action block; of repeated parameters the last counts; a block without an action is an error."""
     blocks = turns.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("(?s)<ACTION_START>.*?<ACTION_END>"), F.lit(0))).alias("pos", "block"))
-    names = lambda i: F.transform(F.regexp_extract_all("block", F.lit("<PARAM:([^=>]+)=([^>]*)>"), F.lit(i)), F.trim)
+    names = lambda i: F.transform(F.regexp_extract_all("block", F.lit("<PARAM:([^=>]+)=([^>]*)>"), F.lit(i)), lambda x: F.trim(x))
 
     def last_wins(keys: Column) -> Column:
         at = F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("i"), k.alias("k"))), lambda x: ~F.array_contains(F.slice(keys, x["i"] + 2, F.size(keys) + 1), x["k"]))

@@ -17,7 +17,7 @@ def parse_commit_log(logs: DataFrame, text_col: str = "text", most: int | None =
     parts = logs.select(F.posexplode(F.slice(F.split(F.col(text_col), f"(?m)^{MARKER}.*$"), F.lit(2), F.lit(2**31 - 1))).alias("commit_id", "block"))
     if most is not None:
         parts = parts.where(F.col("commit_id") < most)
-    lines = F.filter(F.transform(F.split("block", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return parts.select("commit_id", F.array_distinct(lines).alias("files")).where(F.size("files") > 0)
 
 

@@ -83,11 +83,12 @@ def fill_in_middle(text: Column, key: Column, seed: int = 42, least: int = 16) -
 
 def masked_places(n: Column, key: Column, seed: int = 42, lowest: float = 0.3, highest: float = 0.7) -> Column:
     """The places, of ``n``, to mask: a share between the bounds, drawn by hash, of the places in hash order."""
-    rate = lowest + (highest - lowest) * F.pmod(hash_number(hash_key(key, f"{seed}r")), F.lit(1000)) / 1000.0
+    # In whole millionths, so that the rounding is the same everywhere.
+    rate = round(lowest * 1_000_000) + round((highest - lowest) * 1000) * F.pmod(hash_number(hash_key(key, f"{seed}r")), F.lit(1000))
 
     def run(size: Column) -> Column:
         ordered = F.array_sort(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.md5(F.concat_ws("|", key.cast("string"), i.cast("string"), F.lit(str(seed)))).alias("h"), i.alias("i"))))
-        return F.array_sort(F.transform(F.slice(ordered, F.lit(1), F.floor(size * rate).cast("int")), lambda x: x["i"]))
+        return F.array_sort(F.transform(F.slice(ordered, F.lit(1), F.floor(size * rate / 1_000_000).cast("int")), lambda x: x["i"]))
 
     return F.when(n > 0, let(n, run)).otherwise(F.array().cast("array<int>"))
 
