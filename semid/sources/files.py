@@ -40,8 +40,7 @@ def newest_file(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 def subfolders(spark: SparkSession, folder: str) -> DataFrame:
     """The folders below ``folder`` that hold files, by name."""
-    base = F.lit(folder.rstrip("/") + "/")
-    rest = F.substring_index("file", base, -1)
+    rest = F.substring_index("file", folder.rstrip("/") + "/", -1)
     return list_files(spark, folder, recursive=True).select(rest.alias("rest")).where(F.contains("rest", F.lit("/"))).select(F.substring_index("rest", "/", 1).alias("folder")).distinct()
 
 

@@ -25,7 +25,7 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 def write_episodes(steps: DataFrame, path: str) -> None:
     """One JSON object an episode, its steps in order."""
     fields = [c for c in steps.columns if c != "episode_id"]
-    whole = steps.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("step", *[c for c in fields if c != "step"]))).alias("steps"))
+    whole = steps.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("step", *[c for c in fields if c != "step"])), lambda a, b: (a["step"] - b["step"]).cast("int")).alias("steps"))
     whole.write.mode("overwrite").json(path)
 
 
