@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, fresh_path, let, row_key, whole
+from .common import BLANKS, LOWER, UPPER, fresh_path, let, row_key, whole, written
 
 
 def line_key(line: Column) -> Column:
@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows. Columns that are not named are ignored.
     """
     runs = runs or line_runs(docs, id_col, text_col, least)
-    common = runs.all().where(F.col("docs") >= least_docs).select("hash")
+    # A table of its own, so that both sides of the join are plain exchanges and a very common line's rows can be split.
+    common = written(runs.all().where(F.col("docs") >= least_docs).select("hash"), "common-lines")
     named = [F.col(c) for c in dict.fromkeys((id_col, *carry))]
     rows = docs.select(*named, whole(text_col).alias("_text")).withColumn("_row", row_key(id_col, F.col("_text")))
     lines = rows.select("_row", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line")).select("_row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= least)
