@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +25,13 @@ def session(name: str = "semid", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def attach(spark: SparkSession) -> None:
+    """Lets Python workers on this host import the package from where the driver does. A cluster ships it with ``--py-files`` or installs it."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names; a local temporary one only for a local session without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
