@@ -143,4 +143,8 @@ round(CAST(quest_progress AS DOUBLE) + wealth_delta + CAST(research_progress + c
     "planning_aggregate": f"WITH {TURNS} SELECT count(*) AS turns, round(avg(action_validity), 6) AS mean_action_validity, round(avg(CAST(count_ok AS INTEGER)), 6) AS count_compliance, round(avg(reason_coverage), 6) AS mean_reason_coverage, round(avg(CAST(uses_sid AS INTEGER)), 6) AS sid_usage_rate FROM q",
     "top_half_episodes": f"WITH {SUMMARY} SELECT episode_id, total_reward FROM m ORDER BY total_reward DESC, episode_id LIMIT (SELECT greatest(1, count(*) // 2) FROM m)",
     "self_play_metrics": f"WITH {SUMMARY} SELECT round(avg(total_reward), 4) AS mean, round(max(total_reward), 4) AS best, round(list_sort(list(total_reward), 'DESC')[count(*) // 2 + 1], 4) AS middle FROM m",
+    "render_state": f"""WITH {STEPS} SELECT episode_id, step, md5('Day ' || (step + 1) || ' Spring wealth=' || CAST(trunc(value) AS INTEGER) || chr(10) ||
+array_to_string(list_transform(names, lambda n, j: n || ' mood=' || CAST(trunc(CAST((i + j - 1) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) * 100) AS INTEGER) || '% job=' || CASE (i + j - 1) % 5 WHEN 0 THEN 'Idle' WHEN 1 THEN '' ELSE event_type END), '; ') || chr(10) ||
+'buildings=' || (step % 7) || ', wood=' || (i % 50)) AS digest FROM t""",
+    "action_catalogue": "SELECT type, count(*) AS n, CAST(sum(p) AS BIGINT) AS params FROM (VALUES " + ", ".join(f"('{t}', {len(p)})" for _, t, _, p in E.ACTIONS) + ") v(type, p) GROUP BY type",
 }
