@@ -3,9 +3,10 @@
 Texts are exploded into pre-tokens with their positions. To shuffle each word
 once and not each occurrence, positions are kept by block (some megabytes of
 consecutive texts): a block lists its distinct pre-tokens, and each text is the
-sequence of its pre-tokens' places in that list. The (block, place, word) rows
-are shuffled by word; where equal words meet, the word is encoded once, and its
-ids go back to all (block, place) that asked. A block's ids and texts then meet
+sequence of its pre-tokens' places in that list. The words of all blocks are
+shuffled by hash, those of one block and hash bucket packed into one row; where
+equal words meet, the word is encoded once, and its ids go back to all blocks and
+places that asked. A block's ids and texts then meet
 and each text is put together by position. Decoding looks its ids up in the
 table of the tokens' bytes, which is as large as the vocabulary.
 """
@@ -13,6 +14,7 @@ table of the tokens' bytes, which is as large as the vocabulary.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from .bytepairs import REMEMBERED, Unsafe, cut, ends_in_space, ranks
 from .common import whole
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 24_000_000
+#: Hash buckets of words for each shuffle partition.
+BUCKETS = 4
 
 
 @lru_cache(1)
@@ -84,9 +88,9 @@ class Block(dict):
         self.texts.append((row_id, places))
         self.chars += len(text)
 
-    @property
-    def name(self) -> int:
-        return int.from_bytes(self.digest.digest(), "little", signed=True)
+    def name(self, number: int) -> int:
+        """Names the block by its number and content, so that only equal readings of it meet."""
+        return int.from_bytes(self.digest.digest(), "little", signed=True) ^ number
 
 
 def _planes(places: bytes) -> bytes:
@@ -109,6 +113,23 @@ def _unplanes(packed: bytes) -> list[int]:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().tolist()
 
 
+def _packed(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """The lengths of byte strings, and all of them as one, compressed."""
+    import zstandard
+
+    return _planes(array("I", map(len, parts)).tobytes()), zstandard.compress(b"".join(parts), 3)
+
+
+def _unpacked(lengths: bytes, body: bytes) -> list[bytes]:
+    import zstandard
+
+    whole, out, at = zstandard.decompress(body), [], 0
+    for n in _unplanes(lengths):
+        out.append(whole[at : at + n])
+        at += n
+    return out
+
+
 def _blocks(batches: Iterator, pattern: str) -> Iterator[tuple[int, Block]]:
     """The texts of a task, in order, as blocks named by the task's number, the block's and its content."""
     from pyspark import TaskContext
@@ -120,10 +141,10 @@ def _blocks(batches: Iterator, pattern: str) -> Iterator[tuple[int, Block]]:
         for row_id, text in zip(batch.column("id"), batch.column("text").to_pylist(), strict=True):
             block.add(row_id, text)
             if block.chars >= BLOCK_CHARS:
-                yield (part << 24 | k), block
+                yield block.name(part << 24 | k), block
                 block, k = Block(split, known), k + 1
     if block.texts:
-        yield (part << 24 | k), block
+        yield block.name(part << 24 | k), block
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -136,33 +157,50 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     """
     import pyarrow as pa
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * parts
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, pattern):
-            words = pa.array([w.encode() for w in block.places], pa.binary())
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([block.name] * n, pa.int64()), pa.array(range(n), pa.int32()), words], ["block", "name", "place", "word"])
+        for name, block in _blocks(batches, pattern):
+            places, words = [array("I") for _ in range(buckets)], [[] for _ in range(buckets)]
+            for place, word in enumerate(block.places):
+                raw = word.encode()
+                bucket = zlib.crc32(raw) % buckets
+                places[bucket].append(place)
+                words[bucket].append(raw)
+            used = [k for k in range(buckets) if words[k]]
+            packed = [_packed(words[k]) for k in used]
+            columns = [pa.array([name] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([_planes(places[k].tobytes()) for k in used], pa.binary()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "places", "lengths", "words"])
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, pattern):
+        for name, block in _blocks(batches, pattern):
             ids = pa.array([i.as_py() for i, _ in block.texts], id_type)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([block.name] * n, pa.int64()), ids, pa.array([_planes(p) for _, p in block.texts], pa.binary())], ["block", "name", "id", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.int64()), ids, pa.array([_planes(p) for _, p in block.texts], pa.binary())], ["block", "id", "places"])
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_word, last, ids = word_encoder(rank_file, pattern), None, b""
+        encode_word, known = word_encoder(rank_file, pattern), {}
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, array("I", encode_word(word)).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("name"), batch.column("place"), pa.array(out, pa.binary())], ["block", "name", "place", "ids"])
+            packed = []
+            for lengths, words in zip(batch.column("lengths").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                out = []
+                for word in _unpacked(lengths, words):
+                    if (ids := known.get(word)) is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        ids = known[word] = array("I", encode_word(word)).tobytes()
+                    out.append(ids)
+                packed.append((_planes(array("I", map(len, out)).tobytes()), _planes(b"".join(out))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["block", "places", "lengths", "ids"])
 
     def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-        table: list = [None] * len(words)
-        for place, ids in zip(words.column("place").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            table[place] = ids
-        if len({*texts.column("name").to_pylist(), *words.column("name").to_pylist()}) > 1 or None in table:
+        table: dict[int, bytes] = {}
+        for places, lengths, ids in zip(*(words.column(c).to_pylist() for c in ("places", "lengths", "ids")), strict=True):
+            raw, at = array("I", _unplanes(ids)).tobytes(), 0
+            for place, n in zip(_unplanes(places), _unplanes(lengths), strict=True):
+                table[place] = raw[at : at + n]
+                at += n
+        if len(texts) == 0:
             raise ValueError("the texts were not the same on their second reading; write them as a table first")
         of, bytes_of, rows = table.__getitem__, token_bytes(rank_file).__getitem__, []
         for packed in texts.column("places").to_pylist():
@@ -170,7 +208,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             ids = array("I", raw)
             decoded = b"".join(map(bytes_of, ids))
             rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((list(ids), decoded) if with_ids else ())))
-        columns = list(zip(*rows, strict=True)) or [()] * (5 if with_ids else 3)
+        columns = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
         return pa.table([texts.column("id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=["id", *names])
 
@@ -180,9 +218,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(rows.schema["id"].dataType)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = rows.mapInArrow(words_of, "block long, name long, place int, word binary").repartition(parts, "word").sortWithinPartitions("word")
-    encoded = words.mapInArrow(ids_of, "block long, name long, place int, ids binary")
-    texts = rows.mapInArrow(texts_of, f"block long, name long, id {kind}, places binary")
+    words = rows.mapInArrow(words_of, "block long, bucket int, places binary, lengths binary, words binary").repartition(parts, "bucket")
+    encoded = words.mapInArrow(ids_of, "block long, places binary, lengths binary, ids binary")
+    texts = rows.mapInArrow(texts_of, f"block long, id {kind}, places binary")
     out = texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
     return out.withColumnRenamed("id", id_col)
