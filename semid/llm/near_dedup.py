@@ -8,10 +8,10 @@
    buckets with others, to the rest, fewer than it has nodes. Edges are confirmed on the full sets, and
    confirmed links joined into components.
 4. A star can miss two nodes that are alike but not like the hub. So buckets that
-   still hold several components give further stars: from all nodes of a small bucket,
-   from some hubs of a large one. Nodes of large buckets that are still divided get
-   buckets of another kind, by the rare shingles that alike sets must share. Turns go
-   on while they confirm links and some bucket still holds several components.
+   still hold several components give a second turn of stars: from all nodes of a small
+   bucket, from some hubs of a large one. All candidates among the nodes of large buckets
+   that are still divided are then found exactly, by the rare shingles that alike sets
+   must share or else by the equal or nearly equal sets of their common ones.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import row_key, whole, written
 
 SALTS = 64
-#: Buckets of up to so many nodes have all of them as hubs in later turns; larger ones have ``HUBS``.
+#: Buckets of up to so many nodes have all of them as hubs in the second turn; larger ones have ``HUBS``. Shingles of more nodes are common.
 SMALL, HUBS = 64, 8
 REMEMBERED = 500_000
 
@@ -186,31 +186,46 @@ def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
     return written(known.join(onto, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
-def _prefix_members(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The nodes of ``members`` in other buckets: one for each shingle of a node's prefix.
+def _prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the nodes of ``members`` whose links join all nodes that any links between them join.
 
     Shingles are ordered by how many of these nodes have them, rarest first. Two sets of
     the asked similarity share a shingle among the first n - ceil(percent * n / 100) + 1
-    of each, so no link between these nodes is lost, and what very many share (a passage)
-    makes no bucket.
+    of each. If one of up to ``SMALL`` nodes is shared, the two meet in its bucket, which
+    gives all its pairs. If not, they are alike by common shingles alone: with k common
+    shingles, sets of one common part (a class) then need (100 + percent) * k >= percent *
+    (n_a + n_b), so whatever is linked with one is linked with the class's least set too.
+    So each node meets the least set of every class whose least set meets that of its own.
     """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
-            sets = [shingle_set(t, words).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, words).view("int64").tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "keys"])
 
-    nodes = members.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "degree", "component")])
+    nodes = written(members.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")), "nodes")
     own = texts.select(F.col("row").alias("node"), "text").join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node binary, keys array<long>")
     each = own.select("node", F.explode("keys").alias("key"))
-    held = each.join(each.groupBy("key").agg(F.count("*").alias("size")), "key")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("size", "key"))
-    first = held.withColumn("place", place).join(nodes, "node").where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("size") > 1))
-    several = first.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    return first.select("key", "node", "n", "degree", "component").join(several, "key").select("key", "node", "n", "size", "degree", "component")
+    held = each.join(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    of, common = Window.partitionBy("node"), F.col("size") > SMALL
+    digest = [F.bit_xor(F.when(common, F.xxhash64("key", F.lit(i)))).over(of) for i in (0, 1)]
+    k = F.count(F.when(common, 1)).over(of)
+    placed = held.withColumn("place", F.row_number().over(of.orderBy("size", "key"))).withColumns({"held": F.count("*").over(of), "k": k, "part": F.struct(k, *digest)}).join(nodes, "node")
+    need = F.ceil(F.col("n") * percent / 100)
+    first = written(placed.where(F.col("place") + F.col("n") - F.col("held") <= F.col("n") - need + 1).select("key", "node", "n", "component", "size", "k", "part"), "prefixes")
+    rare = first.where(~common).select("key", "node", "n", "component")
+    with_rare = rare.join(rare.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("a_component")), "key")
+    alike = F.least("n", "n_a") * 100 >= percent * F.greatest("n", "n_a")
+    by_rare = with_rare.where((F.col("a") < F.col("node")) & (F.col("component") != F.col("a_component")) & alike)
+    enough = lambda k, n: F.least("k", k) * (100 + percent) >= percent * (F.col("n") + F.col(n))
+    large = first.where(common & (F.col("k") >= need))
+    leasts = large.groupBy("part").agg(F.min(F.struct("n", "node")).alias("hub")).select(F.col("hub.node").alias("node"))
+    hubs = written(large.join(leasts, "node").select("key", "part", "node", "n", "k", "component"), "hubs")
+    others = hubs.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("component").alias("a_component"))
+    near = hubs.join(others, "key").where(enough("k_a", "n_a")).select("part", "a", "n_a", "k_a", "a_component").distinct()
+    by_common = large.select("part", "node", "n", "k", "component").distinct().join(near, "part").where((F.col("component") != F.col("a_component")) & enough("k_a", "n_a"))
+    return by_rare.select("a", "node").unionByName(by_common.select("a", "node")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def _linked(source: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
@@ -228,11 +243,9 @@ def _linked(source: DataFrame, members: DataFrame, words: int, percent: int) ->
     keyed = source.select(row_key("id", F.col("text")).alias("row"), "text")
     texts = written(keyed.join(asked, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text")), "texts")
     tested = labels = None
-    turn = 0
-    while True:
-        stars = _stars(members, HUBS if turn else 1)
-        alike = F.least("n", "n_a") * 100 >= percent * F.greatest("n", "n_a")
-        pairs = stars.where((F.col("component") != F.col("a_component")) & alike).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal tested, labels
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         judged = written(confirm(pairs, texts, words, percent), "judged")
@@ -240,18 +253,23 @@ def _linked(source: DataFrame, members: DataFrame, words: int, percent: int) ->
         tested = done if tested is None else tested.unionByName(done)
         if labels is None or not new.isEmpty():
             labels = _merged(labels, new)
+
+    for hubs in (1, HUBS):
+        stars = _stars(members, hubs)
+        alike = F.least("n", "n_a") * 100 >= percent * F.greatest("n", "n_a")
+        settle(stars.where((F.col("component") != F.col("a_component")) & alike).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
         # The hubs' pairs are settled and the hubs leave; so do buckets within one component.
         left = members.drop("component", "size").join(stars.select("key", F.col("a").alias("node")).distinct(), ["key", "node"], "left_anti")
         left = left.join(labels, "node", "left").select("key", "node", "n", "degree", F.coalesce("component", "node").alias("component"))
         several = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-        members, turn = written(left.join(several, "key"), "members"), turn + 1
-        if members.isEmpty() or turn > 2 and new.isEmpty():
+        members = written(left.join(several, "key"), "members")
+        if members.isEmpty():
             return labels
-        if turn == 2:  # many nodes that are alike in part: find all their candidates exactly
-            members = written(_prefix_members(members, texts, words, percent), "members")
+    settle(_prefix_pairs(members, texts, words, percent))
+    return labels
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """Per row of ``docs``: its id, ``n_shingles``, ``component_id`` (the least id it is linked to, over any number of links) and ``kept``.
 
     Texts are linked when 100 * intersection >= percent * union of their shingle sets.

@@ -93,6 +93,28 @@ def test_prefix_buckets_find_what_stars_left(spark, monkeypatch):
     assert sum(a != b for a, b in zip(got, brute(rows, 2), strict=True)) <= 2
 
 
+@pytest.mark.parametrize("small", [1, 4])
+def test_divided_large_buckets_are_settled_whole(spark, monkeypatch, small):
+    """At the production bands and rows: template texts that are unlike each hub but alike in pairs, by rare words or by common ones alone."""
+    monkeypatch.setattr(N, "SMALL", small)
+    monkeypatch.setattr(N, "HUBS", 1)
+    rng = random.Random(11)
+    fresh = (f"u{i}" for i in range(10**6))
+    rows = []
+    for g in range(3):
+        template = [f"t{g}w{i}" for i in range(100)]
+        for i in range(40):  # 14 to 20 own words: not alike
+            rows.append([*template, *(next(fresh) for _ in range(rng.randint(14, 20)))])
+            if i % 4 == 0:  # near copies of it
+                rows.append([*rows[-1][:-3], *(next(fresh) for _ in range(3))])
+        for cut in range(0, 90, 10):  # variants of the template: alike by common words alone, within a variant and with the next one
+            rows += [[*template[:cut], *template[cut + 10 :], *(next(fresh) for _ in range(n))] for n in (3, 9, 10, 11, 18, 19)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    rng.shuffle(rows)
+    for k in (1, 2):
+        assert _got(near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=k)) == brute(rows, k)
+
+
 def test_sketches_estimate_similarity():
     import numpy as np
 
