@@ -47,7 +47,7 @@ def identity_labels(spark, sf_dir):
 
 
 def contiguous_subsequences(spark, sf_dir):
-    x = S.contiguous_subsequences(histories(spark, sf_dir).withColumn("seq", S.tail(F.col("seq"), 12)), "seq")
+    x = S.contiguous_subsequences(histories(spark, sf_dir), "seq")
     return x.select("user_id", "start", "length", joined("sub").alias("sub"))
 
 
