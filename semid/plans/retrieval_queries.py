@@ -64,7 +64,8 @@ def prefix_semi_join(spark, sf_dir):
 
 def sampled_negatives_eval(spark, sf_dir):
     queries = items(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("positive"))
-    return R.sampled_negatives(queries, 20, 500, 1, 42)
+    last = items(spark, sf_dir).agg(F.max("id")).first()[0]  # one row
+    return R.sampled_negatives(queries, 20, (last or 0) + 1, 1, 42)
 
 
 NAMES = "topk_dot_full_vocab recall_at_k ndcg_at_k mean_ranking_metrics beam_search_constrained sid_match_eval prefix_semi_join sampled_negatives_eval".split()

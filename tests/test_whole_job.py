@@ -29,3 +29,8 @@ def test_contiguous_subsequences_of_whole_histories(spark, sf_dir):
         seq = r["seq"].split(",")
         want |= {(r["user_id"], i + 1, j - i): ",".join(seq[i:j]) for i in range(len(seq)) for j in range(i + 2, len(seq) + 1)}
     assert got == want and max(n for _, _, n in got) > 12
+
+
+def test_sampled_negatives_come_from_the_whole_vocabulary(spark, sf_dir, tmp_path):
+    got = {(r["query_id"], r["j"]): r["key_id"] for r in QUERIES["sampled_negatives_eval"](spark, _wide(spark, sf_dir, tmp_path)).collect()}
+    assert got == {(q, j): 1 + _number(f"{q}|{j}|42") % 2495 if j else q for q in range(0, 2500, 50) for j in range(21)}
