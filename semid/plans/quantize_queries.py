@@ -73,8 +73,10 @@ def dead_codes(spark, sf_dir):
 
 
 def sid_dense_matrix(spark, sf_dir):
-    rows = assigned(spark, sf_dir).where("id % 3 <> 0").select("id", joined("codes").alias("codes"))
-    return Q.dense_matrix(rows.withColumn("at", F.col("id")), 2000, "id", "codes", "at", "0,0")
+    """One row for each id up to the last item's, and at least 2000 rows, so that small tables show the fill."""
+    rows = assigned(spark, sf_dir).select("id", joined("codes").alias("codes"))
+    last = items(spark, sf_dir).agg(F.max("id")).first()[0]  # one row
+    return Q.dense_matrix(rows.withColumn("at", F.col("id")), max(2000, (last or 0) + 1), "id", "codes", "at", "0,0")
 
 
 def sid_transpose_pivot(spark, sf_dir):

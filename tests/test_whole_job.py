@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from semid.plans.quantize_queries import assigned
 from semid.queries import QUERIES
 
 
@@ -34,3 +35,11 @@ def test_contiguous_subsequences_of_whole_histories(spark, sf_dir):
 def test_sampled_negatives_come_from_the_whole_vocabulary(spark, sf_dir, tmp_path):
     got = {(r["query_id"], r["j"]): r["key_id"] for r in QUERIES["sampled_negatives_eval"](spark, _wide(spark, sf_dir, tmp_path)).collect()}
     assert got == {(q, j): 1 + _number(f"{q}|{j}|42") % 2495 if j else q for q in range(0, 2500, 50) for j in range(21)}
+
+
+def test_dense_matrix_holds_every_item(spark, sf_dir, tmp_path):
+    path = _wide(spark, sf_dir, tmp_path)
+    codes = {r["id"]: ",".join(map(str, r["codes"])) for r in assigned(spark, path).collect()}
+    got = {r["id"]: r["codes"] for r in QUERIES["sid_dense_matrix"](spark, path).collect()}
+    assert len(codes) == 500 and got == {i: codes.get(i, "0,0") for i in range(2496)}
+    assert {r["id"] for r in QUERIES["sid_dense_matrix"](spark, sf_dir).collect()} == set(range(2000))
