@@ -38,7 +38,7 @@ def fim_render(spark, sf_dir):
 
 
 def mask_tokens(spark, sf_dir):
-    n = F.least(F.size(F.split("text", " ")), F.lit(40))
+    n = F.size(F.split("text", " "))
     return _docs(spark, sf_dir).select("doc_id", joined(S.masked_places(n, F.col("doc_id"))).alias("places"))
 
 

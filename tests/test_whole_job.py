@@ -32,6 +32,17 @@ def test_contiguous_subsequences_of_whole_histories(spark, sf_dir):
     assert got == want and max(n for _, _, n in got) > 12
 
 
+def test_mask_tokens_of_whole_texts(spark, sf_dir):
+    texts = _texts(spark, sf_dir)
+    got = {r["doc_id"]: r["places"] for r in QUERIES["mask_tokens"](spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        n = len(text.split(" "))
+        k = n * (300_000 + 400 * (_number(f"{d}|42r") % 1000)) // 1_000_000
+        drawn = sorted(range(n), key=lambda i: (hashlib.md5(f"{d}|{i}|42".encode()).hexdigest(), i))[:k]
+        assert got[d] == ",".join(map(str, sorted(drawn)))
+
+
 def test_sampled_negatives_come_from_the_whole_vocabulary(spark, sf_dir, tmp_path):
     got = {(r["query_id"], r["j"]): r["key_id"] for r in QUERIES["sampled_negatives_eval"](spark, _wide(spark, sf_dir, tmp_path)).collect()}
     assert got == {(q, j): 1 + _number(f"{q}|{j}|42") % 2495 if j else q for q in range(0, 2500, 50) for j in range(21)}
