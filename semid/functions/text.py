@@ -73,8 +73,10 @@ def hash_vector(text: Column, dim: int = 256) -> Column:
 
     def run(ws: Column) -> Column:
         places = F.transform(ws, lambda w, i: F.pmod(F.conv(F.right(F.md5(F.array_join(F.slice(ws, i + 1, 3), " ")), F.lit(digits)), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
-        # Sorted places give each dimension's count by one pass of run lengths; the vector is read from a map of at most ``dim`` entries.
-        counts = let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(ps, lambda p: p == d)).cast("double")))
+        # Sorted with one more place of every dimension, each dimension's run ends once: its count is the run's length less one.
+        every = F.sort_array(F.concat(places, F.sequence(F.lit(0), F.lit(dim - 1))))
+        ends = let(every, lambda ps: F.filter(F.sequence(F.lit(1), F.size(ps)), lambda i: F.coalesce(F.get(ps, i) != F.get(ps, i - 1), F.lit(True))))
+        counts = let(ends, lambda es: F.transform(es, lambda e, i: (e - F.coalesce(F.get(es, i - 1), F.lit(0)) - 1).cast("double")))
         return unit(counts, 1e-8)
 
     return let(words(text), run)

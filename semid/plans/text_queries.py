@@ -75,9 +75,9 @@ def surface_occurrences(spark, sf_dir):
 
 
 def hash_embed(spark, sf_dir):
-    """256 dimensions of hashed word trigrams, for the benchmark items: the largest entry and the entries in use."""
+    """256 dimensions of hashed word trigrams, for the documents: the largest entry and the entries in use."""
     v = T.hash_vector(F.col("text"), 256)
-    return table(spark, sf_dir, "benchmark").select("item_id", v.alias("v")).select("item_id", r6(F.array_max("v")).alias("top"), F.size(F.filter("v", lambda x: x > 0)).alias("used"), joined(F.transform("v", lambda x: (x > 0).cast("int")), "").alias("places"))
+    return _docs(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", r6(F.array_max("v")).alias("top"), F.size(F.filter("v", lambda x: x > 0)).alias("used"), joined(F.transform("v", lambda x: (x > 0).cast("int")), "").alias("places"))
 
 
 def chunk_lines(spark, sf_dir):

@@ -54,3 +54,14 @@ def test_dense_matrix_holds_every_item(spark, sf_dir, tmp_path):
     got = {r["id"]: r["codes"] for r in QUERIES["sid_dense_matrix"](spark, path).collect()}
     assert len(codes) == 500 and got == {i: codes.get(i, "0,0") for i in range(2496)}
     assert {r["id"] for r in QUERIES["sid_dense_matrix"](spark, sf_dir).collect()} == set(range(2000))
+
+
+def test_hash_embed_of_all_documents(spark, sf_dir):
+    texts = _texts(spark, sf_dir)
+    got = {r["doc_id"]: (r["top"], r["used"], r["places"]) for r in QUERIES["hash_embed"](spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        ws = text.split()
+        n = Counter(int(hashlib.md5(" ".join(ws[i : i + 3]).encode()).hexdigest()[-2:], 16) for i in range(len(ws)))
+        top = max(n.values(), default=0) / max(sum(c * c for c in n.values()) ** 0.5, 1e-8)
+        assert abs(got[d][0] - top) < 1e-6 and got[d][1:] == (len(n), "".join("1" if i in n else "0" for i in range(256)))
