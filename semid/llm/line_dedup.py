@@ -1,10 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A run is a table of (128-bit hash, number of documents), sorted by hash. Every
-batch of documents is merge-anti-joined with the runs to find the hashes that
-are new, and adds a run of its own; ``fanout`` runs of a level are merged into
-one of the next, so a hash is rewritten only as often as there are levels. Runs
-are tables in the shared folder.
+batch of documents adds a run of all its hashes; ``fanout`` runs of a level are
+merged into one of the next, so a hash is rewritten only as often as there are
+levels. Counts are summed over the runs: ``unseen`` finds new hashes by an
+anti-join, but no query uses it. Runs are tables in the shared folder.
 """
 
 from __future__ import annotations
