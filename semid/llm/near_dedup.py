@@ -6,29 +6,39 @@
 2. Texts of equal sets become one node. Bands of bins put nodes in buckets.
 3. A bucket of any size gives a star: edges from its hub, the node that shares most
    buckets with others, to the rest, fewer than it has nodes. Edges are confirmed on the full sets, and
-   confirmed links joined into components.
-4. A star can miss two nodes that are alike but not like the hub. So buckets that
-   still hold several components give a second turn of stars: from all nodes of a small
-   bucket, from some hubs of a large one. All candidates among the nodes of large buckets
-   that are still divided are then found exactly, by the rare shingles that alike sets
-   must share or else by the equal or nearly equal sets of their common ones.
+   confirmed links joined into components. Buckets that still hold several components
+   give further turns, of several stars each, while these still link many nodes.
+4. Stars can miss two nodes that are alike but not like a hub. What buckets of several
+   components still hold is compared whole: all nodes outside a bucket's largest
+   component with all of it, in blocks of bounded size. Only pairs that may be alike
+   come out of these joins, as told by 1024-bit parity bitmaps: where two sets' bitmaps
+   differ in d bits, the sets differ in d shingles or more. So nothing but the bands
+   can miss a link; no bucket, pair or turn is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, whole, written
 
-SALTS = 64
-#: Buckets of up to so many nodes have all of them as hubs in the second turn; larger ones have ``HUBS``. Shingles of more nodes are common.
-SMALL, HUBS = 64, 8
-REMEMBERED = 500_000
+#: Parts of a key that many rows hold.
+SALTS = 256
+#: Stars of a bucket in the second turn and later.
+HUBS = 8
+#: Nodes of a bucket on each side of a block.
+SIDE = 4096
+#: A further turn of stars is worth its while if the last one linked one in so many of the nodes left.
+WORTH = 16
+#: Longs of a parity bitmap.
+LONGS = 16
+#: Words remembered by a worker, each of up to ``LONGEST`` bytes.
+REMEMBERED, LONGEST = 500_000, 64
 
 
 @lru_cache(1)
@@ -37,9 +47,11 @@ def _word_hashes() -> dict:
 
     class Hashes(dict):
         def __missing__(self, word: bytes) -> int:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            out = self[word] = xxhash.xxh64_intdigest(word)
+            out = xxhash.xxh64_intdigest(word)
+            if len(word) <= LONGEST:
+                if len(self) >= REMEMBERED:
+                    self.clear()
+                self[word] = out
             return out
 
     return Hashes()
@@ -108,47 +120,73 @@ def band_keys(values, bands: int):
     return out.view(np.int64)
 
 
+def parity_bits(hashes):
+    """1024 bits as longs: each tells whether an odd number of the hashes fall on it."""
+    import numpy as np
+
+    counts = np.bincount((hashes & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, row, n, set, bands) of ``docs`` (id, text): row names the id and text, set the shingle set; bands is null for empty sets."""
+    """(id, row, n, set, bands, bits) of ``docs`` (id, text): row names the id and text, set the shingle set; bands and bits are null for empty sets."""
     import pyarrow as pa
 
+    longs = pa.list_(pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, keys = [], [], []
+            sizes, names, keys, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, words)
                 sizes.append(len(s))
                 names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                keys.append(band_keys(sketch(s, bands * rows), bands).tolist() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "n", "set", "bands"])
+                keys.append(band_keys(sketch(s, bands * rows), bands) if len(s) else None)
+                bits.append(parity_bits(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, longs), pa.array(bits, longs)], ["id", "row", "n", "set", "bands", "bits"])
 
     keyed = docs.select("id", row_key("id", F.col("text")).alias("row"), "text")
-    return keyed.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, row binary, n long, set binary, bands array<long>")
+    return keyed.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, row binary, n long, set binary, bands array<long>, bits array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: whether the sets of their texts are alike enough. Hubs' texts go to their pairs, which are then dealt by the other node, so no node's pairs meet in one task."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the sorted shingle hashes of ``texts`` (row, text)."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        known: dict = {}
         for batch in batches:
-            out = []
-            for a, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if a not in known:
-                    if len(known) >= 256:
-                        known.clear()
-                    known[a] = shingle_set(text_a, words)
-                x, y = known[a], shingle_set(text_b, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
-
-    with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean")
+            sets = [shingle_set(t, words).view("int64") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("row", "text").mapInArrow(run, "node binary, shingles array<long>")
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with the few rows that ``right`` has for a ``key``, of which ``left`` may have very many: these are dealt in parts by the column ``by``, and ``right``'s rows are sent once to each part that there is."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).alias("_salt")
+    parts = left.select(key, salt).distinct().join(right, key)
+    return left.withColumn("_salt", salt).join(parts, [key, "_salt"], how).drop("_salt")
+
+
+def may_link(percent: int) -> Column:
+    """Whether sizes and bitmaps allow ``node`` (n, bits) and ``a`` (n_a, a_bits) to be linked: false only for pairs that surely are not."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("a_bits", F.lit(i)))) for i in range(LONGS)])
+    sizes = F.col("n") + F.col("n_a")
+    return (F.least("n", "n_a") * 100 >= percent * F.greatest("n", "n_a")) & ((100 + percent) * (sizes - differ) >= 2 * percent * sizes)
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    """Each pair of (hub, node) once, as a < b, with ``hub``: the one of them that was a hub."""
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "hub").groupBy("a", "b").agg(F.min("hub").alias("hub"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, hub) as (a, b, linked): whether the sets (node, shingles) are alike enough. A hub's set is sent once to each part of its pairs, the other's once to each of its own."""
+    other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    with_other = pairs.withColumn("other", other).join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("of_other")), "other")
+    both = looked_up(with_other, sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub")), "hub", by="other")
+    alike = (100 + percent) * F.size(F.array_intersect("of_hub", "of_other")) >= percent * (F.size("of_hub") + F.size("of_other"))
+    return both.select("a", "b", alike.alias("linked"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -157,23 +195,15 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = looked_up(both, labels.select(F.col("node").alias("b"), "component"), "b", by="a").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("before"))
-        jumped = stepped.join(labels.select(F.col("node").alias("to"), F.col("component").alias("then")), "to").select("node", F.least("to", "then").alias("component"), "before")
+        jumped = looked_up(stepped, labels.select(F.col("node").alias("to"), F.col("component").alias("then")), "to", by="node").select("node", F.least("to", "then").alias("component"), "before")
         done = written(jumped, "labels")
         labels = done.select("node", "component")
         if done.where("component <> before").isEmpty():
             return labels
 
 
-def _stars(members: DataFrame, hubs: int) -> DataFrame:
-    """Members (key, node, n, size, degree, component) beside each of their bucket's hubs (a, n_a, a_component): of up to ``hubs`` parts of a bucket the node of the highest degree."""
-    part = F.xxhash64("node")
-    part = (F.lit(0) if hubs == 1 else F.when(F.col("size") <= SMALL, part).otherwise(F.pmod(part, F.lit(hubs)))).alias("part")
-    chosen = members.groupBy("key", part).agg(F.max(F.struct("degree", "node", "n", "component")).alias("hub"))
-    return members.join(chosen.select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("a_component")), "key")
-
-
 def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
     """``labels`` after ``new`` links: components of the graph that has the old components as its nodes."""
     if labels is None:
@@ -181,94 +211,101 @@ def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
     ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
     known = labels.unionByName(ends.select("node", F.col("node").alias("component")))
     of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
-    joined = new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    joined = looked_up(looked_up(new, of("a"), "a", by="b"), of("b"), "b", by="a").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
     onto = components(joined).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return written(known.join(onto, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    return written(looked_up(known, onto, "component", by="node", how="left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of the nodes of ``members`` whose links join all nodes that any links between them join.
+def _hubs(members: DataFrame, hubs: int) -> DataFrame:
+    """(key, hub, n_a, a_component, a_bits): of up to ``hubs`` parts of each bucket the node of the highest degree."""
+    part = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("part")
+    chosen = members.groupBy("key", part).agg(F.max(F.struct("degree", "node", "n", "component", "bits")).alias("hub"))
+    return chosen.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("a_component"), F.col("hub.bits").alias("a_bits"))
 
-    Shingles are ordered by how many of these nodes have them, rarest first. Two sets of
-    the asked similarity share a shingle among the first n - ceil(percent * n / 100) + 1
-    of each. If one of up to ``SMALL`` nodes is shared, the two meet in its bucket, which
-    gives all its pairs. If not, they are alike by common shingles alone: with k common
-    shingles, sets of one common part (a class) then need (100 + percent) * k >= percent *
-    (n_a + n_b), so whatever is linked with one is linked with the class's least set too.
-    So each node meets the least set of every class whose least set meets that of its own.
-    """
-    import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words).view("int64").tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "keys"])
-
-    nodes = written(members.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")), "nodes")
-    own = texts.select(F.col("row").alias("node"), "text").join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node binary, keys array<long>")
-    each = own.select("node", F.explode("keys").alias("key"))
-    held = each.join(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
-    of, common = Window.partitionBy("node"), F.col("size") > SMALL
-    digest = [F.bit_xor(F.when(common, F.xxhash64("key", F.lit(i)))).over(of) for i in (0, 1)]
-    k = F.count(F.when(common, 1)).over(of)
-    placed = held.withColumn("place", F.row_number().over(of.orderBy("size", "key"))).withColumns({"held": F.count("*").over(of), "k": k, "part": F.struct(k, *digest)}).join(nodes, "node")
-    need = F.ceil(F.col("n") * percent / 100)
-    first = written(placed.where(F.col("place") + F.col("n") - F.col("held") <= F.col("n") - need + 1).select("key", "node", "n", "component", "size", "k", "part"), "prefixes")
-    rare = first.where(~common).select("key", "node", "n", "component")
-    with_rare = rare.join(rare.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("a_component")), "key")
-    alike = F.least("n", "n_a") * 100 >= percent * F.greatest("n", "n_a")
-    by_rare = with_rare.where((F.col("a") < F.col("node")) & (F.col("component") != F.col("a_component")) & alike)
-    enough = lambda k, n: F.least("k", k) * (100 + percent) >= percent * (F.col("n") + F.col(n))
-    large = first.where(common & (F.col("k") >= need))
-    leasts = large.groupBy("part").agg(F.min(F.struct("n", "node")).alias("hub")).select(F.col("hub.node").alias("node"))
-    hubs = written(large.join(leasts, "node").select("key", "part", "node", "n", "k", "component"), "hubs")
-    others = hubs.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("component").alias("a_component"))
-    near = hubs.join(others, "key").where(enough("k_a", "n_a")).select("part", "a", "n_a", "k_a", "a_component").distinct()
-    by_common = large.select("part", "node", "n", "k", "component").distinct().join(near, "part").where((F.col("component") != F.col("a_component")) & enough("k_a", "n_a"))
-    return by_rare.select("a", "node").unionByName(by_common.select("a", "node")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
-def _linked(source: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes in ``members`` (node, n, key) whose texts in ``source`` (id, text) are linked with others.
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, node) of all ``members`` that share a bucket, but not a component, and may be linked.
+
+    Nodes outside a bucket's largest component meet all of the bucket's, in blocks of
+    about ``SIDE`` by ``SIDE`` nodes: as many tasks as the bucket needs.
+    """
+    held = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    size = held.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("all"))
+    parts = lambda n: F.ceil(n / SIDE).cast("int")
+    size = size.select("key", F.col("most.component").alias("most"), parts(F.col("all") - F.col("most.c")).alias("p"), parts(F.col("all")).alias("q"))
+    rows = looked_up(members.select("key", "node", "n", "bits", "component"), size, "key", by="node")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.where(F.col("component") != F.col("most")).select("key", "node", "n", "bits", "component", "most", part("p").alias("x"), every("q").alias("y"))
+    whole_side = rows.select("key", F.col("node").alias("hub"), F.col("n").alias("n_a"), F.col("bits").alias("a_bits"), F.col("component").alias("a_component"), part("q").alias("y"), every("p").alias("x"))
+    once = (F.col("a_component") == F.col("most")) | (F.col("hub") < F.col("node"))
+    return few.join(whole_side, ["key", "x", "y"]).where((F.col("component") != F.col("a_component")) & once & may_link(percent)).select("hub", "node")
+
+
+def _linked(source: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the ``nodes`` (node, n, bands, bits) whose texts in ``source`` (id, text) are linked with others.
 
     A node's degree is the sum of its buckets' sizes: the text that a group's copies were
     made from shares more buckets with them than they do with each other, so it is the
     hub that confirms most links at once.
     """
+    members = nodes.select("node", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(members.join(sizes, "key"), "shared")
-    degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = written(shared.join(degree, "node").select("key", "node", "n", "size", "degree", F.col("node").alias("component")), "members")
-    asked = members.select(F.col("node").alias("row")).distinct()
+    shared = written(looked_up(members, sizes, "key", by="node"), "shared")
+    degrees = shared.groupBy("node").agg(F.sum("size").alias("degree"))
+    asked = written(nodes.join(degrees, "node").select("node", "n", "bits", "degree"), "asked")
+    members = written(shared.join(asked, "node").select("key", "node", "n", "bits", "degree", F.col("node").alias("component")), "members")
     keyed = source.select(row_key("id", F.col("text")).alias("row"), "text")
-    texts = written(keyed.join(asked, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text")), "texts")
+    texts = keyed.join(asked.select(F.col("node").alias("row")), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    sets = written(shingle_sets(texts, words), "sets")
     tested = labels = None
 
-    def settle(pairs: DataFrame) -> None:
+    def settle(pairs: DataFrame) -> int:
+        """Confirms the pairs not yet tested; how many of them are links."""
         nonlocal tested, labels
+        pairs = unordered(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        judged = written(confirm(pairs, texts, words, percent), "judged")
+        judged = written(confirm(pairs, sets, percent), "judged")
         new, done = judged.where("linked").select("a", "b"), judged.select("a", "b")
-        tested = done if tested is None else tested.unionByName(done)
-        if labels is None or not new.isEmpty():
+        tested, found = done if tested is None else tested.unionByName(done), new.count()
+        if labels is None or found:
             labels = _merged(labels, new)
+        return found
 
-    for hubs in (1, HUBS):
-        stars = _stars(members, hubs)
-        alike = F.least("n", "n_a") * 100 >= percent * F.greatest("n", "n_a")
-        settle(stars.where((F.col("component") != F.col("a_component")) & alike).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    turn = 0
+    while True:
+        hubs = written(_hubs(members, HUBS if turn else 1), "hubs")
+        stars = looked_up(members, hubs, "key", by="node")
+        found = settle(stars.where((F.col("component") != F.col("a_component")) & may_link(percent)).select("hub", "node"))
         # The hubs' pairs are settled and the hubs leave; so do buckets within one component.
-        left = members.drop("component", "size").join(stars.select("key", F.col("a").alias("node")).distinct(), ["key", "node"], "left_anti")
-        left = left.join(labels, "node", "left").select("key", "node", "n", "degree", F.coalesce("component", "node").alias("component"))
-        several = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-        members = written(left.join(several, "key"), "members")
-        if members.isEmpty():
+        left = members.drop("component").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+        left = left.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        members = written(looked_up(left, several, "key", by="node"), "members")
+        nodes_left = members.select("node").distinct().count()
+        if not nodes_left:
             return labels
-    settle(_prefix_pairs(members, texts, words, percent))
+        if turn and found * WORTH < nodes_left:
+            break
+        turn += 1
+    settle(_across(members, percent))
     return labels
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(id, row, n, least) per row of ``docs``: ``row`` names its id and text, ``least`` the least (id, row) of its component, null ids last."""
+    source = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    signed = written(signatures(source, words, bands, rows), "signatures")
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    nodes = written(signed.where("n > 0").groupBy("set").agg(F.min("row").alias("node"), F.min(least).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
+    labels = _linked(source, nodes, words, percent)
+    joined = nodes.select("set", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    leasts = joined.groupBy("component").agg(F.min("least").alias("least"))
+    named = looked_up(joined.drop("least"), leasts, "component", by="node").select("set", "least")
+    return looked_up(signed.select("id", "row", "n", "set"), named, "set", by="row", how="left").drop("set")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """Per row of ``docs``: its id, ``n_shingles``, ``component_id`` (the least id it is linked to, over any number of links) and ``kept``.
 
@@ -278,22 +315,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     never name a component that has another id, and are kept only where all are null.
     An empty table gives no rows. Columns not named are ignored.
     """
-    source = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    signed = written(signatures(source, words, bands, rows), "signatures")
-    nodes = written(signed.where("n > 0").groupBy("set").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    labels = _linked(source, nodes.select("node", "n", F.explode("bands").alias("key")), words, percent)
-    named = nodes.select("set", "node", "least")
-    joined = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "component").select("set", "component_id")
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt")
-    by_salt = signed.where("n > 0").groupBy("set", salt).agg(F.count("*").alias("_n")).join(named, "set").select("set", "salt", "component_id")
-    out = signed.select("id", "n", "set", salt).join(by_salt, ["set", "salt"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    out = _grouped(docs, id_col, text_col, words, percent, bands, rows)
+    component = F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, **sizes: int) -> DataFrame:
-    """The rows of ``docs`` that stay: one text of each group, the one of the least id."""
-    kept = near_groups(docs, id_col, text_col, words, percent, **sizes).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
+    """The rows of ``docs`` that stay: one row of each group, the one of the least id (of texts that share that id, one).
+
+    Rows with null, empty and blank texts are in no group and all stay, repeated ones too.
+    """
+    grouped = _grouped(docs, id_col, text_col, words, percent, bands, rows)
+    kept = grouped.where("n = 0 or row = least.row").groupBy(F.col("row").alias("_near_row")).agg((F.max("n") > 0).alias("_near_set"))
+    named = docs.withColumn("_near_row", row_key(id_col, whole(text_col)))
+    # Rows that agree in id and text share their name: of those in a group one stays.
+    tie = F.when(F.col("_near_set"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return named.join(kept, "_near_row").withColumn("_near_tie", tie).dropDuplicates(["_near_row", "_near_tie"]).select(*[F.col(f"`{c}`") for c in docs.columns])

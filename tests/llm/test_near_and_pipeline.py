@@ -75,10 +75,11 @@ def test_chains_copies_and_unlike_hubs(spark):
     assert _got(near_groups(df, words=2)) == brute(rows, 2)
 
 
-def test_prefix_buckets_find_what_stars_left(spark, monkeypatch):
-    """With one hub a turn and tiny buckets counted as large, links come from the prefix buckets."""
-    monkeypatch.setattr(N, "SMALL", 1)
+def test_blocks_find_what_stars_left(spark, monkeypatch):
+    """With one turn of single stars and blocks of four nodes a side, most links come from the blocks."""
+    monkeypatch.setattr(N, "WORTH", 0)
     monkeypatch.setattr(N, "HUBS", 1)
+    monkeypatch.setattr(N, "SIDE", 4)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(500)]
     rows = []
@@ -89,14 +90,13 @@ def test_prefix_buckets_find_what_stars_left(spark, monkeypatch):
             for p in rng.sample(range(60), 3):
                 t[p] = rng.choice(words)
             rows.append((g * 10 + i, " ".join(t)))
-    got = _got(near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2, bands=48, rows=4))
-    assert sum(a != b for a, b in zip(got, brute(rows, 2), strict=True)) <= 2
+    assert _got(near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2)) == brute(rows, 2)
 
 
-@pytest.mark.parametrize("small", [1, 4])
-def test_divided_large_buckets_are_settled_whole(spark, monkeypatch, small):
+@pytest.mark.parametrize("side", [16, 4096])
+def test_divided_large_buckets_are_settled_whole(spark, monkeypatch, side):
     """At the production bands and rows: template texts that are unlike each hub but alike in pairs, by rare words or by common ones alone."""
-    monkeypatch.setattr(N, "SMALL", small)
+    monkeypatch.setattr(N, "SIDE", side)
     monkeypatch.setattr(N, "HUBS", 1)
     rng = random.Random(11)
     fresh = (f"u{i}" for i in range(10**6))
@@ -115,6 +115,32 @@ def test_divided_large_buckets_are_settled_whole(spark, monkeypatch, small):
         assert _got(near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=k)) == brute(rows, k)
 
 
+def test_pairs_in_very_large_buckets(spark):
+    """1,600 texts in 800 pairs: all share a passage of 60 %, the rest are common words, so buckets hold hundreds of nodes that are not alike."""
+    rng = random.Random(17)
+    shared, common = [f"s{i}" for i in range(120)], [f"c{i}" for i in range(400)]
+    rows = []
+    for i in range(800):
+        own = rng.choices(common, k=80)
+        other = list(own)
+        for p in rng.sample(range(80), 3):
+            other[p] = rng.choice(common)
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + other))]
+    assert _got(near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2)) == brute(rows, 2)
+
+
+def test_bitmaps_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 4, 5, 40, 900, 5000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: rng.integers(0, n + 1)], rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 2), dtype=np.uint64)]))
+            apart = sum(int(x).bit_count() for x in (N.parity_bits(a) ^ N.parity_bits(b)).view(np.uint64))
+            assert apart <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+
+
 def test_sketches_estimate_similarity():
     import numpy as np
 
@@ -133,6 +159,13 @@ def test_dedup_keeps_the_least(spark, odd, none):
     assert near_groups(none).count() == near_dedup(none).count() == 0
 
 
+def test_dedup_tells_texts_of_one_id_apart(spark):
+    """Ids that repeat name several texts: rows go by id and text, and of equal rows one stays; rows without words all stay."""
+    a, x = "a b c d e f g h", "x y z u v w r s"
+    df = spark.createDataFrame([(1, a), (1, x), (0, x), (2, a), (2, a), (1, a), (3, None), (3, None), (4, " ")], "doc_id bigint, text string")
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in near_dedup(df, words=2).collect()))) == sorted(map(repr, [(1, a), (0, x), (3, None), (3, None), (4, " ")]))
+
+
 def test_pipeline_stages_keep_columns_and_do_their_work(spark, tmp_path):
     """On a small corpus whose right result is known: junk, common lines, a near copy and a secret."""
     rng = random.Random(3)
