@@ -9,9 +9,11 @@ from semid.functions.vectors import let, unit
 
 # Patterns that results depend on.
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
-RUN = "[A-Za-z0-9]+|[^A-Za-z0-9\\s]|\\s+"
 CAMEL = "[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"
 CHUNK = 4
+PIECE = f"[A-Z][a-z]{{1,{CHUNK - 1}}}|[a-z]{{1,{CHUNK}}}|[A-Z]{{1,{CHUNK}}}(?![a-z])|[0-9]{{1,{CHUNK}}}|[^A-Za-z0-9\\s]"
+WORD = "(?U)\\S+"
+ENDS = "[\\s\\x1c-\\x1f\\x85\\p{Z}]+"
 SID_TOKEN = "^<SID_L(\\d+)_(\\d+)>$"
 SID_IN_TEXT = "<SID_L\\d+_\\d+>|<SID:[\\d-]+>"
 STRUCTURAL = ["<SID_START>", "<SID_SEP>", "<SID_END>"]
@@ -30,7 +32,11 @@ def identifiers(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs without white space (Unicode white space too)."""
-    return F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
+    return all_matches(text, WORD)
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def camel_parts(token: Column) -> Column:
@@ -40,17 +46,20 @@ def camel_parts(token: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """The fallback tokenizer: runs of letters and digits, or single other characters; runs are split at case changes and cut into chunks of four."""
+    """The fallback tokenizer: runs of letters and digits, or single other characters; runs are split at case changes and cut into chunks of four.
+
+    One expression finds the chunks themselves: a part that is longer than a chunk goes on as
+    a run of its last kind of letters, and upper-case letters leave the last before a lower-case one.
+    """
+    return all_matches(text, PIECE)
 
-    def cut(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(CHUNK)), lambda i: F.substring(p, i + 1, F.lit(CHUNK)))
 
-    runs = F.filter(all_matches(text, RUN), lambda r: F.trim(F.regexp_replace(r, "\\s", "")) != "")
-    return F.flatten(F.transform(F.flatten(F.transform(runs, camel_parts)), cut))
+def piece_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(PIECE))
 
 
 def subtokens(token: Column) -> Column:
-    return F.size(pieces(token))
+    return piece_count(token)
 
 
 def ngrams(items: Column, n: int) -> Column:
@@ -58,8 +67,8 @@ def ngrams(items: Column, n: int) -> Column:
 
 
 def surface(parts: Column) -> Column:
-    """Pieces as plain text: word marks become spaces, ends are stripped."""
-    return F.trim(F.array_join(F.transform(parts, lambda p: F.translate(p, "Ġ▁", "  ")), ""))
+    """Pieces as plain text: word marks become spaces, white space of all kinds is stripped from the ends."""
+    return F.regexp_replace(F.translate(F.array_join(parts, ""), "Ġ▁", "  "), f"^{ENDS}|{ENDS}$", "")
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -231,9 +240,16 @@ def mine_identifiers(texts: DataFrame, text_col: str = "text", min_frequency: in
 
 def mine_ngrams(texts: DataFrame, text_col: str = "text", sizes: tuple[int, ...] = (2, 3), min_frequency: int = 25) -> DataFrame:
     """Candidates among n-grams of pieces within a text, that are not identifiers. Of n-grams with one surface the most frequent counts (then the longer)."""
-    own = F.concat(*[F.transform(ngrams(F.col("_p"), n), lambda g: F.array_join(g, "\x00")) for n in sizes])
-    counts = texts.select(pieces(F.col(text_col)).alias("_p")).select(F.explode(own).alias("_g")).groupBy("_g").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= min_frequency)
-    parts = counts.withColumn("_parts", F.split("_g", "\x00")).withColumns({"token": surface(F.col("_parts")), "current_subtokens": F.size("_parts")})
+    most = max(sizes)
+    names = [f"_g{i}" for i in range(most)]
+    size = F.size("_p")
+    behind = [F.when(size > i, F.slice("_p", F.lit(i + 1), F.greatest(size - i, F.lit(0)))).alias(f"_g{i}") for i in range(most)]
+    rows = texts.select(pieces(F.col(text_col)).alias("_p")).where(size >= min(sizes)).select(F.explode(F.arrays_zip(*[F.coalesce(b, F.array().cast("array<string>")).alias(n) for b, n in zip(behind, names, strict=True)])).alias("_g")).select("_g.*")
+    # One pass counts the n-grams of all sizes, as grouping sets over the first n pieces; a text's end leaves some without their last piece.
+    counts = rows.groupingSets([names[:n] for n in sizes], *names).agg(F.count("*").alias("frequency"), F.grouping_id().alias("_id")).where(F.col("frequency") >= min_frequency)
+    n = F.element_at(F.create_map(*[F.lit(x) for k in sizes for x in ((1 << (most - k)) - 1, k)]), F.col("_id").cast("int"))
+    whole = counts.withColumn("_parts", F.slice(F.array(*names), F.lit(1), n)).where(F.forall("_parts", lambda p: p.isNotNull()))
+    parts = whole.withColumns({"token": surface(F.col("_parts")), "current_subtokens": F.size("_parts")})
     kept = parts.where((F.length("token") >= 3) & ~F.col("token").rlike(f"^{IDENTIFIER}$"))
     best = kept.groupBy("token").agg(F.max(F.struct("frequency", "current_subtokens")).alias("b")).select("token", "b.*")
     return best.withColumns({"score": F.col("frequency") * F.col("current_subtokens"), "strategy": F.lit("ngrams")})

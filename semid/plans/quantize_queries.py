@@ -143,7 +143,7 @@ ORACLES = {
     "ema_codebook_step": f"WITH {SUMS}, y AS (SELECT code, dim, 0.99 * 1.0 + (1 - 0.99) * n AS size, 0.99 * c + (1 - 0.99) * s AS total FROM z), t AS (SELECT sum(size) AS n FROM y WHERE dim = 0) SELECT code, CAST(dim AS INTEGER) AS dim, round(total / greatest((size + 1e-5) / (n + 8 * 1e-5) * n, 1e-5), 6) AS x FROM y, t",
     "codebook_usage": f"WITH {residual_sql()}, {LONG} SELECT level, round(count(DISTINCT code) / 8.0, 6) AS usage FROM l GROUP BY level",
     "dead_codes": f"WITH {residual_sql(False)}, {LONG}, e AS (SELECT CAST(l.range AS INTEGER) AS level, CAST(k.range AS INTEGER) AS code FROM range(1, 3) l, range(16) k) SELECT level, code FROM e WHERE (level, code) NOT IN (SELECT level, code FROM l)",
-    "sid_dense_matrix": f"WITH {residual_sql()} SELECT r.range AS id, coalesce(c1 || ',' || c2, '0,0') AS codes FROM range(2000) r LEFT JOIN (SELECT * FROM a WHERE id % 3 <> 0) a ON a.id = r.range",
+    "sid_dense_matrix": f"WITH {residual_sql()} SELECT r.id, coalesce(c1 || ',' || c2, '0,0') AS codes FROM (SELECT unnest(range(greatest(2000, max(vec_id) + 1))) AS id FROM embeddings) r LEFT JOIN a ON a.id = r.id",
     "sid_transpose_pivot": f"WITH {residual_sql()}, m AS (SELECT label, arg_min(c1, id) AS c1, arg_min(c2, id) AS c2 FROM a GROUP BY label), l AS (SELECT label, 1 AS level, c1 AS code FROM m UNION ALL SELECT label, 2, c2 FROM m) SELECT level, {', '.join(f'max(code) FILTER (label = {i}) AS l{i}' for i in range(10))} FROM l GROUP BY level",
     "soft_assignment": f"WITH {BEST0}, g AS (SELECT id, list(-dist ORDER BY code) AS z FROM d0 GROUP BY id), e AS (SELECT id, z, list_max(z) AS m, list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS s FROM g) SELECT id AS vec_id, round(1 / s, 6) AS top, round(ln(s) + m - z[1], 6) AS ce0 FROM e",
 }

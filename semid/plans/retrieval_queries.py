@@ -96,5 +96,5 @@ ORACLES = {
     "beam_search_constrained": f"WITH {BEAM} SELECT user_id, c1 || ',' || c2 AS codes, rank, round(prob, 6) AS prob FROM b",
     "sid_match_eval": f"WITH {BEAM}, g AS (SELECT label AS user_id, arg_min(c1, id) AS g1, arg_min(c2, id) AS g2 FROM a GROUP BY label) SELECT user_id, rank, c1 || ',' || c2 AS codes, CASE WHEN c1 = g1 AND c2 = g2 THEN 1 ELSE 0 END AS relevant FROM b JOIN g USING (user_id)",
     "prefix_semi_join": f"WITH {residual_sql()} SELECT DISTINCT c1 || ',' || c2 AS prefix FROM a",
-    "sampled_negatives_eval": "SELECT vec_id AS query_id, CAST(j.range AS INTEGER) AS j, CASE WHEN j.range = 0 THEN vec_id ELSE 1 + CAST('0x' || substr(md5(vec_id || '|' || j.range || '|42'), 1, 12) AS BIGINT) % 499 END AS key_id FROM embeddings, range(21) j WHERE vec_id % 50 = 0",
+    "sampled_negatives_eval": "SELECT vec_id AS query_id, CAST(j.range AS INTEGER) AS j, CASE WHEN j.range = 0 THEN vec_id ELSE 1 + CAST('0x' || substr(md5(vec_id || '|' || j.range || '|42'), 1, 12) AS BIGINT) % (SELECT max(vec_id) FROM embeddings) END AS key_id FROM embeddings, range(21) j WHERE vec_id % 50 = 0",
 }

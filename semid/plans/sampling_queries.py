@@ -82,7 +82,7 @@ ORACLES = {
     "mix_resample": resample_sql("(SELECT max(n) FROM s) * CAST(w AS DOUBLE) / (SELECT sum(CAST(w AS DOUBLE)) FROM s) * (SELECT count(*) FROM s)", 7),
     "format_bucket": f"WITH x AS (SELECT doc_id, {number(chr(34) + 'k' + chr(34))} % 1000 AS s FROM (SELECT doc_id, doc_id || '|' AS k FROM documents)) SELECT doc_id, CASE WHEN s < 700 THEN 'raw' WHEN s < 900 THEN 'sid_header' WHEN s < 1000 THEN 'sid_replace' ELSE 'raw' END AS format FROM x",
     "fim_render": f"WITH x AS (SELECT doc_id, text, least({A}, {B}) AS lo, greatest({A}, {B}) AS hi FROM documents) SELECT doc_id, md5(CASE WHEN length(text) < 16 THEN text ELSE '<FIM_PREFIX>' || substr(text, 1, lo) || '<FIM_SUFFIX>' || substr(text, hi + 1) || '<FIM_MIDDLE>' || substr(text, lo + 1, hi - lo) END) AS digest FROM x",
-    "mask_tokens": f"WITH x AS (SELECT doc_id, least(len(string_split(text, ' ')), 40) AS n, 300000 + 400 * ({number('doc_id || ' + chr(39) + '|42r' + chr(39))} % 1000) AS rate FROM documents), e AS (SELECT doc_id, i.range AS i, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || '|' || i.range || '|42'), i.range) AS r, n * rate // 1000000 AS k FROM x, range(40) i WHERE i.range < n) SELECT doc_id, coalesce(string_agg(i, ',' ORDER BY i) FILTER (r <= k), '') AS places FROM e GROUP BY doc_id",
+    "mask_tokens": f"WITH x AS (SELECT doc_id, len(string_split(text, ' ')) AS n, 300000 + 400 * ({number('doc_id || ' + chr(39) + '|42r' + chr(39))} % 1000) AS rate FROM documents), i AS (SELECT doc_id, n, rate, unnest(range(n)) AS i FROM x), e AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || '|' || i || '|42'), i) AS r, n * rate // 1000000 AS k FROM i) SELECT doc_id, coalesce(string_agg(i, ',' ORDER BY i) FILTER (r <= k), '') AS places FROM e GROUP BY doc_id",
     "hash_shuffle_limit": "SELECT doc_id FROM documents ORDER BY md5(doc_id || '|42'), doc_id LIMIT 100",
     "top_half_events": "WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT * FROM u ORDER BY n DESC, user_id LIMIT (SELECT greatest(1, count(*) // 2) FROM u)",
     "interleave_counts": "SELECT lang, count(*) AS n, CAST(floor(count(*) * CAST(0.25 AS DOUBLE) / 0.75) AS BIGINT) AS more FROM documents GROUP BY lang",

@@ -143,7 +143,7 @@ ORACLES = {
     "seq_min_length_filter": f"WITH {H} SELECT user_id, CAST(len(seq) AS INTEGER) AS n FROM h WHERE len(seq) >= 65",
     "next_k_labels": f"WITH {H} SELECT user_id, {J.format('list_concat(seq[1:len(seq) - 3], [-9, -1, -1])')} AS input, {J.format('seq[len(seq) - 2:]')} AS labels FROM h WHERE len(seq) >= 4",
     "identity_labels": f"WITH {P} SELECT user_id, CAST(pos AS INTEGER) AS col, item AS label FROM p",
-    "contiguous_subsequences": f"WITH {H}, t AS (SELECT user_id, seq[greatest(len(seq) - 11, 1):] AS s FROM h) SELECT user_id, CAST(a.range AS INTEGER) AS start, CAST(b.range AS INTEGER) AS length, {J.format('s[a.range:a.range + b.range - 1]')} AS sub FROM t, range(1, 12) a, range(2, 13) b WHERE a.range + b.range - 1 <= len(s)",
+    "contiguous_subsequences": f"WITH {H}, a AS (SELECT user_id, seq, unnest(range(1, len(seq))) AS a FROM h), b AS (SELECT user_id, seq, a, unnest(range(2, len(seq) - a + 2)) AS b FROM a) SELECT user_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS length, {J.format('seq[a:a + b - 1]')} AS sub FROM b",
     "id_to_sid_flatten": f"{CODES} SELECT user_id, string_agg(c1 || ',' || c2, ',' ORDER BY pos) AS codes FROM c GROUP BY user_id",
     "id_to_embedding": f"WITH {V} SELECT event_id, event_id % 500 AS item, round(vec[1], 6) AS first, CAST(len(vec) AS INTEGER) AS width FROM events JOIN v ON v.item = event_id % 500",
     "category_to_index_oov": "SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END AS idx FROM events",

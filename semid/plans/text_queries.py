@@ -18,7 +18,7 @@ def mine_identifiers(spark, sf_dir):
 
 
 def fallback_tokenize_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.pieces(F.col("text"))).alias("pieces"))
+    return _docs(spark, sf_dir).select("doc_id", T.piece_count(F.col("text")).alias("pieces"))
 
 
 def mine_ngrams(spark, sf_dir):
@@ -47,12 +47,12 @@ def top_n_tokens(spark, sf_dir):
 
 def compression_by_language(spark, sf_dir):
     """Fallback pieces against whole words, a language's rows and the total by one rollup."""
-    x = _docs(spark, sf_dir).select("lang", F.size(T.pieces(F.col("text"))).cast("bigint").alias("b"), F.size(T.words(F.col("text"))).cast("bigint").alias("a"))
+    x = _docs(spark, sf_dir).select("lang", T.piece_count(F.col("text")).cast("bigint").alias("b"), T.word_count(F.col("text")).cast("bigint").alias("a"))
     return x.rollup("lang").agg(F.sum("b").alias("before"), F.sum("a").alias("after")).select(F.coalesce("lang", F.lit("all")).alias("lang"), "before", "after", r6(F.col("after") / F.col("before")).alias("ratio"), r6(100 * (1 - F.col("after") / F.col("before"))).alias("reduction"))
 
 
 def bytes_per_token(spark, sf_dir):
-    x = _docs(spark, sf_dir).select("source", F.octet_length("text").cast("bigint").alias("bytes"), F.size(T.pieces(F.col("text"))).cast("bigint").alias("tokens"))
+    x = _docs(spark, sf_dir).select("source", F.octet_length("text").cast("bigint").alias("bytes"), T.piece_count(F.col("text")).cast("bigint").alias("tokens"))
     return x.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens")).withColumn("bytes_per_token", r6(F.col("bytes") / F.col("tokens")))
 
 
@@ -60,7 +60,7 @@ def ratio_percentiles(spark, sf_dir):
     """Median, and the element at min(n - 1, int(0.95 n)) of the sorted ratios, per source: positions come from a rank, no list is gathered."""
     from pyspark.sql import Window
 
-    x = _docs(spark, sf_dir).select("source", "doc_id", (F.size(T.words(F.col("text"))) / F.size(T.pieces(F.col("text")))).alias("ratio"))
+    x = _docs(spark, sf_dir).select("source", "doc_id", (T.word_count(F.col("text")) / T.piece_count(F.col("text"))).alias("ratio"))
     own = Window.partitionBy("source")
     y = x.withColumns({"n": F.count("*").over(own), "i": F.row_number().over(own.orderBy("ratio", "doc_id")) - 1})
     at = F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n")))
@@ -127,6 +127,7 @@ NAMES = "mine_identifiers fallback_tokenize_counts mine_ngrams candidates_merge_
 QUERIES = {n: globals()[n] for n in NAMES}
 
 SPACES = r"[\s\x0b\x85\xa0\p{Z}]+"
+ENDS = r"[\s\x0b\x1c-\x1f\x85\xa0\p{Z}]+"
 
 
 def pieces_sql(text: str) -> str:
@@ -145,7 +146,7 @@ ident AS (SELECT *, frequency * current_subtokens AS score FROM i2 WHERE current
 NGRAM = f"""{PIECES},
 g0 AS (SELECT p[i.range:i.range + n - 1] AS g FROM pc, (VALUES (2), (3)) v(n), LATERAL (SELECT unnest(range(1, len(p) - n + 2)) AS range) i),
 g1 AS (SELECT g, count(*) AS frequency FROM g0 GROUP BY g HAVING count(*) >= 25),
-g2 AS (SELECT trim(translate(array_to_string(g, ''), 'Ġ▁', '  '), ' ') AS token, frequency, CAST(len(g) AS INTEGER) AS k FROM g1),
+g2 AS (SELECT regexp_replace(translate(array_to_string(g, ''), 'Ġ▁', '  '), '^{ENDS}|{ENDS}$', '', 'g') AS token, frequency, CAST(len(g) AS INTEGER) AS k FROM g1),
 g3 AS (SELECT * FROM g2 WHERE length(token) >= 3 AND NOT regexp_full_match(token, '[A-Za-z_][A-Za-z0-9_]*')),
 g4 AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY frequency DESC, k DESC) AS rn FROM g3),
 ngram AS (SELECT token, frequency, k AS current_subtokens, frequency * k AS score FROM g4 WHERE rn = 1)"""
@@ -179,7 +180,7 @@ ORACLES = {
     "bytes_per_token": f"WITH {PIECES} SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(len(p)) AS BIGINT) AS tokens, round(sum(strlen(text)) / sum(len(p)), 6) AS bytes_per_token FROM pc GROUP BY source",
     "ratio_percentiles": f"WITH {PIECES}, x AS (SELECT source, {WORDS} / len(p) AS ratio FROM pc) SELECT source, round(median(ratio), 6) AS median, round(list_sort(list(ratio))[CAST(least(count(*) - 1, floor(0.95 * count(*))) AS BIGINT) + 1], 6) AS p95 FROM x GROUP BY source",
     "surface_occurrences": "SELECT doc_id, CAST((length(text) - length(replace(text, 'ation', ''))) / 5 AS BIGINT) AS n, CAST((length(text) - length(replace(text, 'ation', ''))) / 5 AS BIGINT) AS by_subtokens FROM documents",
-    "hash_embed": f"WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '{SPACES}'), lambda w: w <> '') AS ws FROM benchmark), h AS (SELECT item_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: CAST('0x' || right(md5(array_to_string(ws[i:i + 2], ' ')), 2) AS INTEGER))) AS d FROM w), c AS (SELECT item_id, d, count(*) AS n FROM h GROUP BY ALL), e AS (SELECT b.item_id, r.range AS d, coalesce(n, 0) AS n FROM benchmark b CROSS JOIN range(256) r LEFT JOIN c ON c.item_id = b.item_id AND c.d = r.range) SELECT item_id, round(max(n) / sqrt(sum(n * n)), 6) AS top, CAST(count(*) FILTER (n > 0) AS INTEGER) AS used, string_agg(CASE WHEN n > 0 THEN '1' ELSE '0' END, '' ORDER BY d) AS places FROM e GROUP BY item_id",
+    "hash_embed": f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{SPACES}'), lambda w: w <> '') AS ws FROM documents), h AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: CAST('0x' || right(md5(array_to_string(ws[i:i + 2], ' ')), 2) AS INTEGER))) AS d FROM w), c AS (SELECT doc_id, d, count(*) AS n FROM h GROUP BY ALL), e AS (SELECT b.doc_id, r.range AS d, coalesce(n, 0) AS n FROM documents b CROSS JOIN range(256) r LEFT JOIN c ON c.doc_id = b.doc_id AND c.d = r.range) SELECT doc_id, round(max(n) / sqrt(sum(n * n)), 6) AS top, CAST(count(*) FILTER (n > 0) AS INTEGER) AS used, string_agg(CASE WHEN n > 0 THEN '1' ELSE '0' END, '' ORDER BY d) AS places FROM e GROUP BY doc_id",
     "wiki_clean": f"SELECT doc_id, md5({wiki_sql(WIKI)}) AS digest FROM documents",
     "html_strip": f"SELECT page_id, md5(trim({HTML}, ' ')) AS digest FROM pages",
     "slugify": r"SELECT page_id, lower(trim(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '_')) AS slug, lower(regexp_replace(url, '[^A-Za-z0-9]+', '', 'g')) AS compact, regexp_replace(url, '\.[^./]*$', '') AS stem FROM pages",
