@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semid.llm import queries as L
 from semid.llm.exact_dedup import exact_dedup, exact_groups
-from semid.llm.line_dedup import LineRuns, dedup_lines, document_hashes, line_runs
+from semid.llm.line_dedup import LineRuns, dedup_lines, line_runs, line_table
 from semid.llm.secret_scan import RULES, postings, redact, scan_report, secret_spans, vocabulary
 from semid.llm.trigrams import derive
 
@@ -69,13 +69,21 @@ def test_lines_of_odd_rows(spark, odd, none, least_docs):
 
 
 def test_runs_compact_and_know_what_they_have_seen(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    a, b = line_runs(docs, batches=1), line_runs(docs, batches=7, fanout=2)
-    assert sum(map(len, b.levels)) <= 3 and a.all().exceptAll(b.all()).count() == b.all().exceptAll(a.all()).count() == 0
-    again = LineRuns(spark, b.folder, 2, b.state)
-    rows = document_hashes(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), 1)
-    new = document_hashes(spark.createDataFrame([(1, "never seen before")], "_id bigint, _text string"), 1)
-    assert again.unseen(rows).count() == 0 and again.unseen(new).count() == 1
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.unhex(F.md5(F.col("doc_id").cast("string"))).alias("_row"), F.col("text").alias("_text"))
+    lines = line_table(docs)
+    a, b = (line_runs(lines.withColumn("batch", F.pmod(F.xxhash64("_row"), F.lit(n))), n) for n in (1, 7))
+    assert [len(x) for x in b.levels] == [1, 1, 1] and a.totals().exceptAll(b.totals()).count() == b.totals().exceptAll(a.totals()).count() == 0
+    held = [b._read(p) for p in b.paths]
+    assert sum(x.count() for x in held) == a.totals().count() == lines.select("hash").distinct().count()
+    again = LineRuns(spark, b.folder, state=b.state)
+    new = line_table(spark.createDataFrame([(b"x", "never seen before")], "_row binary, _text string"))
+    assert again.unseen(lines).count() == 0 and again.unseen(new).count() == 1
+    again.add(new.select("hash"))
+    assert again.totals().count() == a.totals().count() + 1
+    plan = again.unseen(again._read(again.paths[0]))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "SortMergeJoin" in plan and "Exchange" not in plan
+    for r in (a, b, again):
+        r.forget()
 
 
 def test_trigram_queries():
