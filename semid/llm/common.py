@@ -54,3 +54,16 @@ def let(value: Column, body) -> Column:
 def row_key(id_col: str, text: Column) -> Column:
     """Equal for rows that agree in id and text (any results for them agree too)."""
     return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), text)))
+
+
+def running(xs: Column, zero: Column, merge) -> Column:
+    """For each element of an array, ``merge`` over all elements before it, starting with ``zero``. Arrays grow in blocks, so long ones are not copied at every step."""
+    size = 64
+
+    def scan(ys: Column, begin: Column) -> Column:
+        step = lambda acc, y: F.struct(merge(acc["at"], y).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(ys, F.struct(begin.alias("at"), F.slice(F.array(begin), F.lit(1), F.lit(0)).alias("out")), step, lambda acc: acc["out"])
+
+    blocks = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda b: F.slice(xs, b * size + 1, F.lit(size)))).otherwise(F.slice(F.array(xs), F.lit(1), F.lit(0)))
+    of_block = lambda b: F.aggregate(b, zero, merge)
+    return let(blocks, lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, of_block), zero), scan)))

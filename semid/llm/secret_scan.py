@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, whole
+from .common import let, row_key, running, whole
 from .trigrams import derive
 
 
@@ -41,7 +41,8 @@ BASE = (
     Rule("hex", "[0-9a-f]{32,}"),
 )
 MORE = (
-    Rule("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # To its END line, over the few hyphens that a key's header lines hold; where no END line follows, the BEGIN line alone.
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----)?"),
     Rule("forge", "gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
 )
@@ -81,16 +82,15 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], grams: list[str]) -> D
 
 def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
     """Spans of ``rule`` in code points: lengths of the pieces between matches and of the matches, summed up in order."""
-    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("g"))
+    found = F.arrays_zip(F.split(text, rule.pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("g"))
+    sizes = F.transform(found, lambda x: F.struct(F.length(x["p"]).alias("p"), F.length(x["m"]).alias("m"), F.length(x["g"]).alias("g")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("pos"), F.when(F.length(x["g"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(xs: Column) -> Column:
+        before = running(F.transform(xs, lambda x: x["p"] + F.coalesce(x["m"], F.lit(0))), F.lit(0), lambda acc, n: acc + n)
+        all_spans = F.zip_with(xs, before, lambda x, at: F.struct((at + x["p"]).alias("start"), F.lit(kind).alias("kind"), (at + x["p"] + x["m"]).alias("end"), x["g"].alias("size")))
+        return F.transform(F.filter(all_spans, lambda s: s["size"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    return let(sizes, spans)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -132,12 +132,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     text = F.col("_doc")[text_col]
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["pos"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("[secret]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def cut(chars: Column) -> Column:
+        covered = running(F.transform("spans", lambda s: s["end"]), F.lit(0), lambda acc, end: F.greatest(acc, end))
+        between = lambda begin, end: F.array_join(F.slice(chars, begin + 1, end - begin), "")
+        pieces = F.zip_with("spans", covered, lambda s, at: F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit("[secret]"))).otherwise(""))
+        last = F.array_max(F.transform("spans", lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), let(last, lambda at: between(at, F.size(chars))))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    clean = let(F.split(text, ""), cut)
     found = secret_spans(rows, id_col, text_col, carry=("_doc",))
     return found.select(*[F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
