@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import whole, written
 
 
 def sha256(text: Column) -> Column:
@@ -36,19 +36,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("digest", digest(F.col("text"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     salted = base.groupBy("digest", "salt", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
     winners = salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    known = winners.groupBy("digest").agg(F.count("*").alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
+    known = written(winners.groupBy("digest").agg(F.count("*").alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")), "digests")
     by_salt = base.groupBy("digest", "salt").agg(F.count("*").alias("_n"))
     one = by_salt.join(known.where("texts = 1"), "digest").select("digest", "salt", "keep_id", "group_size")
     out = base.select("id", "digest", "salt").join(one, ["digest", "salt"]).select("id", "keep_id", "group_size", "digest")
-    # Digests shared by different texts: none under SHA-256, so the broadcast side has no rows.
-    # (The second condition never holds; it keeps the columns, so that both uses of ``known`` share their exchanges.)
-    several = F.broadcast(known.where("texts > 1 or (group_size < 0 and keep_id is null)").select("digest"))
-    rest = base.select("id", "digest", "text").join(several, "digest", "left_semi").join(winners, ["digest", "text"]).select("id", "keep_id", "group_size", "digest")
-    both = out.unionByName(rest)
-    return both.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    several = known.where("texts > 1").select("digest")
+    if not several.isEmpty():  # digests shared by different texts: never under SHA-256
+        rest = base.select("id", "digest", "text").join(several, "digest", "left_semi").join(winners, ["digest", "text"])
+        out = out.unionByName(rest.select("id", "keep_id", "group_size", "digest"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the one with the largest id (of rows with equal text and id, one)."""
-    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.dropDuplicates([id_col, text_col]).join(kept, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_keep_id"), F.col("digest").alias("_keep_digest")).distinct()
+    named = docs.withColumn("_exact_digest", sha256(whole(text_col)))
+    found = named.join(kept, (F.col("_exact_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    return found.dropDuplicates([id_col, "_exact_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
