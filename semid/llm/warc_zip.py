@@ -18,6 +18,7 @@ import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,16 +42,25 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(page_id) -> str:
+    """The page's name in headers and indexes: its id percent-encoded, so that no space or line break can break them; a null id has a name that no id has."""
+    return "urn:nopage" if page_id is None else "urn:page:" + quote(str(page_id), safe="")
+
+
+def page_of(name: str | None) -> str | None:
+    return unquote(name.removeprefix("urn:page:")) if name and name.startswith("urn:page:") else None
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """A response, or a revisit of the page ``refers_to``, whose block ends after the HTTP header."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    fields = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:page:{page_id}>"}
+    fields = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<{urn(page_id)}>"}
     if url is not None:
         fields["WARC-Target-URI"] = re.sub(r"[\r\n]+", "%0A", url)
     fields |= {"WARC-Date": DATE, "WARC-Payload-Digest": f"sha1:{digest(payload)}"}
     if refers_to is not None:
-        fields |= {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": REVISIT}
+        fields |= {"WARC-Refers-To": f"<{urn(refers_to)}>", "WARC-Profile": REVISIT}
     fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
@@ -95,7 +105,7 @@ class _Archive:
     def add(self, page_id, raw: bytes) -> None:
         packed = gzip.compress(raw, 1, mtime=0)
         self.data.write(packed)
-        self.lines.append(f"urn:page:{page_id} {DATE} " + json.dumps({"filename": DATA, "offset": self.offset, "length": len(packed)}))
+        self.lines.append(f"{urn(page_id)} {DATE} " + json.dumps({"filename": DATA, "offset": self.offset, "length": len(packed)}))
         self.offset += len(packed)
 
     def close(self) -> None:
@@ -217,7 +227,7 @@ def read_records(ranges: DataFrame, id_type: str = "bigint", with_payload: bool
                 response = warc["WARC-Type"] == "response"
                 if response and (digest(payload) != sha1 or len(payload) != int(http["Content-Length"])):
                     raise ValueError(f"broken record at {offset} of {path}")
-                name = lambda key: warc[key][len("<urn:page:") : -1] if key in warc else None
+                name = lambda key: page_of(warc[key][1:-1]) if key in warc else None
                 rows.append((name("WARC-Record-ID"), int(http["Content-Length"]), sha1, warc["WARC-Type"], name("WARC-Refers-To"), *((payload.decode() if response else None,) if with_payload else ())))
             columns = list(zip(*rows, strict=True)) or [()] * (6 if with_payload else 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(columns)], names)

@@ -33,6 +33,15 @@ def test_round_trip(spark):
     assert archive_round_trip(spark, df.where("page_id > 100")).count() == 0
 
 
+def test_ids_of_any_text(spark):
+    ids = ["a b", "x\r\nEvil: 1", "100%", "é", "", "None", None, "q>", "a b"]
+    df = spark.createDataFrame([(i, None, f"<p>{k % 4}</p>") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = archive_round_trip(spark, df).collect()
+    assert sorted(repr(r["page_id"]) for r in got) == sorted(map(repr, ids))
+    least = {h: min(i for k, i in enumerate(ids) if k % 4 == h and i is not None) for h in range(4)}
+    assert {r["page_id"]: r["refers_to"] for r in got if r["refers_to"] is not None} == {i: least[k % 4] for k, i in enumerate(ids) if i is not None and i != least[k % 4]}
+
+
 def test_archives_roll_over_and_are_read_by_range(spark, tmp_path):
     df = spark.createDataFrame([(i, f"u{i}", str(i) * 3000) for i in range(50)], "page_id bigint, url string, html string").coalesce(1)
     manifest = write_archives(mark_revisits(df), f"file://{tmp_path}/a", archive_bytes=500)
