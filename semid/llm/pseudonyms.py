@@ -7,8 +7,19 @@ value's format and passes its checks, different values stay different, and equal
 values stay equal in all documents. Letters of mail addresses are not numbers:
 their local part becomes a keyed hash and the domain a reserved one.
 
-Only these spellings are found: phones with + and separators, IBANs without spaces,
-and ISO dates without a time. Others stay in the text.
+These spellings are found; others stay in the text:
+
+* mail addresses; IBANs, compact or in groups of four, whose check digits are right;
+* cards of 13 to 19 digits, with single spaces or hyphens, that pass Luhn's check;
+* phones with + and a country code, compact or with separators, and ten digits as
+  ``(743) 555-3824``, ``743-555-3824`` or ``743.555.3824``;
+* social security numbers ``123-45-6789``; IPv4 addresses;
+* dates of 1900 to 2099 as ``1999-12-31``, also before a time (``1999-12-31T10:00``), and
+  day first as ``31/12/1999`` or ``31.12.1999``. Month-first dates stay unless they can be
+  read day first.
+
+All spellings of a value get one pseudonym. The key is read by a scalar subquery, so that
+no plan, event log or explanation shows it.
 """
 
 from __future__ import annotations
@@ -26,12 +37,16 @@ ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
 
-def _prf(key: str, tweak: str, round_no: Column, value: Column) -> Column:
+def _key(key: str | Column) -> Column:
+    return F.lit(key) if isinstance(key, str) else key
+
+
+def _prf(key: str | Column, tweak: str, round_no: Column, value: Column) -> Column:
     """60 bits of a keyed hash."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), round_no.cast("string"), value.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", _key(key), F.lit(tweak), round_no.cast("string"), value.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(high: Column, low: Column, a: Column, b: Column, key: str, tweak: str) -> Column:
+def feistel(high: Column, low: Column, a: Column, b: Column, key: str | Column, tweak: str) -> Column:
     """A keyed permutation of the pairs high < a, low < b, as a struct (hi, lo). ``a`` and ``b`` stay below 2**60."""
 
     def step(acc: Column, r: Column) -> Column:
@@ -43,7 +58,7 @@ def feistel(high: Column, low: Column, a: Column, b: Column, key: str, tweak: st
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(high.cast("long").alias("hi"), low.cast("long").alias("lo")), step)
 
 
-def permute_digits(digits: Column, key: str, tweak: str) -> Column:
+def permute_digits(digits: Column, key: str | Column, tweak: str) -> Column:
     """A string of 2 to 34 digits as another one of its length."""
 
     def run(d: Column) -> Column:
@@ -76,34 +91,34 @@ def only_digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     def new(d: Column) -> Column:
         body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
         return let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
-    return F.when(luhn_sum(only_digits(m)) % 10 == 0, fill(m, let(only_digits(m), new))).otherwise(m)
+    return F.when(luhn_sum(only_digits(m)) % 10 == 0, fill(m, let(only_digits(m), new)))
 
 
-def _phone(m: Column, key: str) -> Column:
-    """The country code stays; the digits behind it are permuted."""
-    head = F.regexp_extract(m, "^\\+[0-9]{1,3}(?=[ .(-])", 0)
+def _phone(m: Column, key: Column) -> Column:
+    """The country code stays; the digits behind it are permuted, as are all digits of a number without one."""
+    head = F.regexp_extract(m, COUNTRY, 0)
     rest = F.substring(m, F.length(head) + 1, F.length(m))
     return F.concat(head, fill(rest, permute_digits(only_digits(rest), key, "phone")))
 
 
-def _address(m: Column, key: str) -> Column:
+def _address(m: Column, key: Column) -> Column:
     """Four numbers of 0 to 255, as two pairs."""
 
     def run(o: Column) -> Column:
         n = [F.get(o, F.lit(i)).cast("long") for i in range(4)]
         pair = feistel(n[0] * 256 + n[1], n[2] * 256 + n[3], F.lit(65536), F.lit(65536), key, "address")
         out = let(pair, lambda p: F.concat_ws(".", *[x.cast("long").cast("string") for x in (F.floor(p["hi"] / 256), p["hi"] % 256, F.floor(p["lo"] / 256), p["lo"] % 256)]))
-        return F.when(n[0].between(0, 255) & n[1].between(0, 255) & n[2].between(0, 255) & n[3].between(0, 255), out).otherwise(m)
+        return F.when(n[0].between(0, 255) & n[1].between(0, 255) & n[2].between(0, 255) & n[3].between(0, 255), out)
 
     return let(F.split(m, "[.]"), run)
 
 
-def _social(m: Column, key: str) -> Column:
+def _social(m: Column, key: Column) -> Column:
     """Areas 001 to 899 but 666, groups 01 to 99, serial numbers 0001 to 9999."""
 
     def run(o: Column) -> Column:
@@ -117,25 +132,32 @@ def _social(m: Column, key: str) -> Column:
             return F.concat_ws("-", F.lpad(back.cast("string"), 3, "0"), F.lpad((p["hi"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["lo"] + 1).cast("string"), 4, "0"))
 
         valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-        return F.when(valid, let(pair, spell)).otherwise(m)
+        return F.when(valid, let(pair, spell))
 
     return let(F.split(m, "-"), run)
 
 
-def _date(m: Column, key: str) -> Column:
-    """ISO dates of 1900 to 2099, by their day's number."""
+def _date(m: Column, key: Column) -> Column:
+    """Dates of 1900 to 2099 by their day's number, year first with hyphens or day first with another separator."""
     b = next(x for x in range(270, 1, -1) if DAYS % x == 0)
+    sep = F.when(m.contains("-"), "-").otherwise(F.substring(m, 3, 1))
 
     def run(n: Column) -> Column:
         pair = feistel(F.floor(n / b), n % b, F.lit(DAYS // b), F.lit(b), key, "date")
-        return let(pair, lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["hi"] * b + p["lo"]).cast("int")), "yyyy-MM-dd"))
+        day = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["hi"] * b + p["lo"]).cast("int")))
+
+        def spell(d: Column) -> Column:
+            year, month, of_month = (F.date_format(d, x) for x in ("yyyy", "MM", "dd"))
+            return F.when(sep == "-", F.concat_ws("-", year, month, of_month)).otherwise(F.concat(of_month, sep, month, sep, year))
 
-    day = F.try_to_date(m, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.expr("null")
+        return let(day, spell)
+
+    day = F.when(sep == "-", F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(m, ".", "/"), "dd/MM/yyyy"))
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    return F.coalesce(F.when(number.between(0, DAYS - 1), let(number, run)), m)
+    return F.when(number.between(0, DAYS - 1), let(number, run))
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Column) -> Column:
     """Country codes and letters stay; the digits of the account are permuted and the check digits worked out anew."""
 
     def mod97(x: Column) -> Column:
@@ -150,13 +172,19 @@ def _iban(m: Column, key: str) -> Column:
             return F.concat(country, F.lpad((98 - mod97(F.concat(acct, country, F.lit("00")))).cast("string"), 2, "0"), acct)
 
         good = mod97(F.concat(account, country, F.substring(s, 3, 2))) == 1
-        return F.when(good & F.length(only_digits(account)).between(2, 34), let(new, checked)).otherwise(s)
+        return F.when(good & F.length(only_digits(account)).between(2, 34), fill(m, only_digits(let(new, checked))))
+
+    return let(F.replace(m, F.lit(" "), F.lit("")), run)
+
 
-    return let(m, run)
+def _mail(m: Column, key: Column) -> Column:
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", _key(key), F.lit("mail"), F.lower(m)), 256), 1, 16), F.lit("@example.org"))
 
 
-def _mail(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(m)), 256), 1, 16), F.lit("@example.org"))
+# Country calling codes, which are of one, two or three digits.
+COUNTRY = "^\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+NATIONAL = "(?<![A-Za-z0-9+.-])(?:\\([0-9]{3}\\)[ -]?[0-9]{3}[ .-]|[0-9]{3}-[0-9]{3}-|[0-9]{3}\\.[0-9]{3}\\.)[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])"
+DAY, MONTH = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])"
 
 
 @dataclass(frozen=True)
@@ -168,40 +196,42 @@ class Kind:
 
 KINDS = (
     Kind("mail", "[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", _mail),
-    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", _iban),
+    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", _iban),
     Kind("card", "(?<![A-Za-z0-9+.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", _card),
-    Kind("phone", "(?<![A-Za-z0-9])\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{2,4}\\)|[0-9]{2,4})(?:[ .-][0-9]{2,5}){1,4}(?![A-Za-z0-9])", _phone),
+    Kind("phone", f"(?<![A-Za-z0-9])\\+(?:[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{2,4}}\\)|[0-9]{{2,4}})(?:[ .-][0-9]{{2,5}}){{1,4}}|[1-9][0-9]{{7,14}})(?![A-Za-z0-9])|{NATIONAL}", _phone),
     Kind("social", "(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", _social),
     Kind("address", "(?<![A-Za-z0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\\.[0-9])", _address),
-    Kind("date", "(?<![A-Za-z0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![A-Za-z0-9-])", _date),
+    Kind("date", f"(?<![A-Za-z0-9-])(?:19|20)[0-9]{{2}}-{MONTH}-{DAY}(?![A-SU-Za-z0-9-]|T(?![0-9]{{2}}:))|(?<![A-Za-z0-9./-])(?:{DAY}/{MONTH}/|{DAY}\\.{MONTH}\\.)(?:19|20)[0-9]{{2}}(?![A-Za-z0-9/-]|\\.[0-9])", _date),
 )
 
 
-def _replaced(text: Column, kind: Kind, key: str) -> Column:
+def _replaced(text: Column, kind: Kind, key: Column) -> Column:
     """A struct of the text with the kind's values replaced, and how many were."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     parts = F.arrays_zip(F.split(text, kind.pattern, -1).alias("p"), found.alias("m"))
     new = F.transform(parts, lambda z: F.struct(z["p"].alias("p"), z["m"].alias("m"), F.when(z["m"].isNotNull(), kind.permute(z["m"], key)).alias("q")))
 
     def joined(zs: Column) -> Column:
-        whole = F.array_join(F.transform(zs, lambda z: F.concat(z["p"], F.coalesce(z["q"], F.lit("")))), "")
-        return F.struct(whole.alias("text"), F.size(F.filter(zs, lambda z: z["m"] != z["q"])).cast("long").alias("n"))
+        whole = F.array_join(F.transform(zs, lambda z: F.concat(z["p"], F.coalesce(z["q"], z["m"], F.lit("")))), "")
+        return F.struct(whole.alias("text"), F.size(F.filter(zs, lambda z: z["q"].isNotNull())).cast("long").alias("n"))
 
     return let(new, joined)
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row its id, the ``carry`` columns, ``n_<kind>`` (values replaced) and ``clean_text``.
+    """Per row its id, the ``carry`` columns, ``n_<kind>`` (values that passed their check and were permuted) and ``clean_text``.
 
     Values that fail their kind's check stay and do not count. Null texts stay null
-    with no values; repeated rows get equal results; columns not named are ignored.
+    with no values; repeated rows get equal results; an empty table gives no rows;
+    columns not named are ignored, whatever their names.
     """
-    named = [F.col(c) for c in dict.fromkeys((id_col, *carry))]
-    out = docs.select(*named, F.struct(F.col(text_col).alias("text"), *[F.lit(0).cast("long").alias(k.name) for k in kinds]).alias("_s"))
-    state = F.col("_s")
+    names = list(dict.fromkeys((id_col, *carry)))
+    secret = docs.sparkSession.sql("SELECT * FROM VALUES (:k) AS t(k)", args={"k": key}).scalar()
+    state = F.struct(F.col(text_col).alias("text"), *[F.lit(0).cast("long").alias(k.name) for k in kinds])
+    out = docs.select(F.struct(*[F.col(c).alias(c) for c in names]).alias("named"), state.alias("s"), secret.alias("key"))
     for kind in kinds:
-        text = state["text"]
+        text = F.col("s.text")
         none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-        out = out.withColumn("_r", F.when(text.rlike(kind.pattern), _replaced(text, kind, key)).otherwise(none))
-        out = out.withColumn("_s", F.struct(F.col("_r.text").alias("text"), *[(F.col("_r.n") if k is kind else state[k.name]).alias(k.name) for k in kinds]))
-    return out.select(*named, *[F.col("_s")[k.name].alias(f"n_{k.name}") for k in kinds], F.col("_s.text").alias("clean_text"))
+        out = out.withColumn("r", F.when(text.rlike(kind.pattern), _replaced(text, kind, F.col("key"))).otherwise(none))
+        out = out.withColumn("s", F.struct(F.col("r.text").alias("text"), *[(F.col("r.n") if k is kind else F.col("s")[k.name]).alias(k.name) for k in kinds]))
+    return out.select(*[F.col("named")[c].alias(c) for c in names], *[F.col("s")[k.name].alias(f"n_{k.name}") for k in kinds], F.col("s.text").alias("clean_text"))
