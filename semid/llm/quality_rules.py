@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RE, BLANKS, let, whole
+from .common import BLANK_RE, BLANKS, let, whole, written
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     stats = statistics(rows, "_id", "_text", carry=("_label",)).where(~base_failed())
-    got = [r.asDict() for r in stats.select("_id", "_label", *FEATURES).limit(2 * most_rows).collect()]
+    one = stats.groupBy("_id").agg(F.min(F.struct("_label", *FEATURES)).alias("_s")).select("_id", "_s.*")  # of rows that repeat an id one is learned from
+    got = [r.asDict() for r in written(one, "labelled").collect()]
     got.sort(key=lambda r: (str(r["_id"]), *[r[f] for f in FEATURES]))
     return learn([r | {"bad": 1 - r["_label"], "held": hashlib.md5(str(r["_id"]).encode()).digest()[0] % 3 == 0} for r in got])
 
