@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytepairs import REMEMBERED, Unsafe, cut, ends_in_space, ranks
+from .bytepairs import LONGEST, REMEMBERED, Unsafe, cut, ends_in_space, ranks
 from .common import whole
 
 BLOCK_CHARS = 24_000_000
@@ -70,10 +70,14 @@ class Block(dict):
         if ends_in_space(piece):
             raise Unsafe
         if (words := self.known.get(piece)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            words = self.known[piece] = self.split(" " + piece)
-        out = self[piece] = self.of(words)
+            words = self.split(" " + piece)
+            if len(piece) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = words
+        out = self.of(words)
+        if len(piece) <= LONGEST:
+            self[piece] = out
         return out
 
     def add(self, row_id, text: str) -> None:
@@ -186,9 +190,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                 out = []
                 for word in _unpacked(lengths, words):
                     if (ids := known.get(word)) is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        ids = known[word] = array("I", encode_word(word)).tobytes()
+                        ids = array("I", encode_word(word)).tobytes()
+                        if len(word) <= LONGEST:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            known[word] = ids
                     out.append(ids)
                 packed.append((_planes(array("I", map(len, out)).tobytes()), _planes(b"".join(out))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["block", "places", "lengths", "ids"])

@@ -7,8 +7,8 @@ import json
 from array import array
 from functools import lru_cache
 
-#: Chunks remembered by a worker; beyond, it starts anew.
-REMEMBERED = 400_000
+#: Chunks remembered by a worker, each of up to ``LONGEST`` characters; beyond, it starts anew.
+REMEMBERED, LONGEST = 400_000, 64
 #: Below this code point the libraries' Unicode tables surely agree.
 PLAIN = "ɐ"
 
@@ -77,9 +77,11 @@ class ChunkEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if ends_in_space(piece):
             raise Unsafe
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[piece] = self.ids(" " + piece)
+        out = self.ids(" " + piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:

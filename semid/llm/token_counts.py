@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import whole
 
 MARK = "▁"
-REMEMBERED = 500_000
+#: Pre-tokens remembered by a worker, each of up to ``LONGEST`` characters.
+REMEMBERED, LONGEST = 500_000, 64
 
 
 class TokenCounter(dict):
@@ -43,10 +44,11 @@ class TokenCounter(dict):
 
     def __missing__(self, word: str) -> int:
         n = len(self.sp.encode(word)) if word else 1
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self.update(self.single)
-        self[word] = n
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+                self.update(self.single)
+            self[word] = n
         return n
 
     def count(self, text: str) -> int:

@@ -127,6 +127,25 @@ def test_postings_list_rows_by_trigram(spark):
     assert got == {(1, "tok"), (1, "oke"), (1, "ken")}
 
 
+def test_repeated_ids_are_told_apart_by_text(spark):
+    df = spark.createDataFrame([(5, "A"), (9, "B"), (5, "B"), (9, "B"), (1, None), (1, "")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["text"] or "") for r in exact_dedup(df).collect()) == [(1, ""), (5, "A"), (9, "B")]
+
+
 def test_redaction(odd):
     rows = {r["doc_id"]: r for r in redact(odd).collect()}
     assert rows[11]["text"] == "[secret]\" [secret] [secret]" and rows[1]["text"] is None and rows[4]["spans"] == 5 and len(rows[10]["text"]) == 300_000
+
+
+def test_private_keys_are_redacted_to_their_end(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nMIIE" + "abc+/=\n" * 40 + "-----END RSA PRIVATE KEY-----"
+    df = spark.createDataFrame([(1, f"x {key} y {key} z"), (2, "-----BEGIN PRIVATE KEY----- without an end"), (3, "-" * 50_000 + "-----BEGIN PRIVATE KEY-----" + " - a" * 50_000)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in redact(df).collect()}
+    assert got[1] == "x [secret] y [secret] z" and got[2] == "[secret] without an end" and "[secret]" in got[3]
+
+
+def test_many_secrets_in_one_text(spark):
+    """8,000 spans in one text, some overlapping, against the spans cut out in order."""
+    text = "é" + " secret=abcdefgh1 0123456789abcdef0123456789abcdef token = 0123456789abcdef0123456789abcdef," * 2700
+    got = redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["text"]
+    assert got == "é" + " [secret] [secret] [secret]," * 2700
