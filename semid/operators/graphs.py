@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semid.functions.vectors import unit
+from semid.session import scratch
 
 MARKER = "__COMMIT__"
 
@@ -61,7 +62,7 @@ def children(definitions: DataFrame, name: str = "name", parent: str = "parent")
 def ancestors(definitions: DataFrame, depth: int = 32) -> DataFrame:
     """(name, ancestor, depth), itself at 0. Chains stop at a missing parent, and at a name they have passed already.
 
-    One join for each level, until no chain grows; ``depth`` is an error bound, not a cut:
+    One join for each level, written to the shared folder, until no chain grows; ``depth`` is an error bound, not a cut:
     a longer chain raises.
     """
     links = definitions.select(F.col("name").alias("at"), "parent").where("parent is not null")
@@ -70,6 +71,9 @@ def ancestors(definitions: DataFrame, depth: int = 32) -> DataFrame:
     out = [front]
     for level in range(1, depth + 1):
         front = front.join(links, "at").join(known, F.col("parent") == F.col("parent_known")).where(~F.array_contains("path", F.col("parent"))).select("name", F.col("parent").alias("at"), F.lit(level).alias("depth"), F.concat("path", F.array("parent")).alias("path"))
+        path, kind = scratch(front.sparkSession, "ancestors"), front.schema
+        front.write.parquet(path)
+        front = front.sparkSession.read.schema(kind).parquet(path)
         if front.isEmpty():
             return reduce(DataFrame.unionByName, out).select("name", F.col("at").alias("ancestor"), "depth")
         out.append(front)
@@ -115,3 +119,19 @@ def consistency(assigned: DataFrame, group: str, codes: str = "codes") -> DataFr
         per = assigned.groupBy(group, F.slice(codes, 1, h).alias("p")).agg(F.count("*").alias("n")).groupBy(group).agg(F.max("n").alias("m"), F.sum("n").alias("n")).where("n >= 2")
         shares.append(per.agg(F.count("*").alias(f"groups{h}"), F.coalesce(F.avg(F.col("m") / F.col("n")), F.lit(0.0)).alias(f"share{h}")))
     return shares[0].crossJoin(F.broadcast(shares[1])).select(F.col("groups1").alias("groups"), F.round("share1", 4).alias("l1_consistency"), F.round("share2", 4).alias("l2_consistency"))
+
+
+def siblings(members: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Adds ``siblings``: the sorted distinct values of the other members of a row's group (the methods of a class), without its own; none is an empty list. Rows with a null in ``group`` have none."""
+    of = members.groupBy(*group).agg(F.sort_array(F.collect_set(value)).alias("_all"))
+    return members.join(of, group, "left").withColumn("siblings", F.coalesce(F.array_remove("_all", F.col(value)), F.array().cast("array<string>"))).drop("_all")
+
+
+def weighted_views(views: dict, weights: dict[str, float]):
+    """One vector of several views of an entity: their mean by the weights above 0, normalised."""
+    used = {v: w for v, w in weights.items() if w > 0}
+    total, out = sum(used.values()), None
+    for name, w in used.items():
+        part = F.transform(views[name], lambda x, w=w: x * (w / total))
+        out = part if out is None else F.zip_with(out, part, lambda x, y: x + y)
+    return unit(out, 1e-8)

@@ -7,12 +7,14 @@ assignment is a projection of the items, without a join or a row for each pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semid.functions.vectors import let, sqdist, subtract, unit, vector_of
+from semid.functions.vectors import sqdist, subtract, unit, vector_of
+from semid.operators.sampling import ranked
 
 
 def codebook_rows(codebook: DataFrame) -> list[list[list[float]]]:
@@ -24,19 +26,20 @@ def codebook_rows(codebook: DataFrame) -> list[list[list[float]]]:
 
 
 def centroids_column(centroids: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
+    """All centroids as one literal: JSON keeps every digit, and Spark reads it once when it plans."""
+    return F.from_json(F.lit(json.dumps([[float(x) for x in c] for c in centroids])), "array<array<double>>")
 
 
-def nearest(vec: Column, centroids: Column) -> Column:
-    """A struct (dist, code) of the nearest centroid; the lowest code wins ties."""
-    return F.array_min(F.transform(centroids, lambda c, i: F.struct(sqdist(vec, c).alias("dist"), i.alias("code"))))
+def nearest(vec: Column, centroids: Column, distance: Callable[[Column, Column], Column] = sqdist) -> Column:
+    """A struct (dist, code) of the centroid nearest by ``distance``; the lowest code wins ties."""
+    return F.array_min(F.transform(centroids, lambda c, i: F.struct(distance(vec, c).alias("dist"), i.alias("code"))))
 
 
-def assign(items: DataFrame, codebook: DataFrame, vec_col: str = "vec", normalize: bool = True, engine: str = "sql") -> DataFrame:
+def assign(items: DataFrame, codebook: DataFrame, vec_col: str = "vec", normalize: bool = True, engine: str = "sql", distance: Callable[[Column, Column], Column] = sqdist) -> DataFrame:
     """Adds ``codes`` (array<int>), ``residual`` and ``quantized`` by the residual loop: at each level normalise what is left (if asked), take the nearest centroid, subtract it.
 
     ``engine='sql'`` evaluates expressions; ``'arrow'`` multiplies matrices in batches,
-    for wide vectors and large codebooks.
+    for wide vectors and large codebooks, by squared distances only.
     """
     levels = codebook_rows(codebook)
     if engine == "arrow":
@@ -44,7 +47,7 @@ def assign(items: DataFrame, codebook: DataFrame, vec_col: str = "vec", normaliz
     out = items.withColumn("residual", F.col(vec_col).cast("array<double>")).withColumn("codes", F.array().cast("array<int>")).withColumn("quantized", F.transform("residual", lambda x: F.lit(0.0)))
     for level in levels:
         out = out.withColumn("_r", unit(F.col("residual")) if normalize else F.col("residual"))
-        out = out.withColumn("_c", nearest(F.col("_r"), centroids_column(level))["code"])
+        out = out.withColumn("_c", nearest(F.col("_r"), centroids_column(level), distance)["code"])
         out = out.withColumn("_v", F.get(centroids_column(level), F.col("_c")))
         out = out.withColumns({"residual": subtract(F.col("_r"), F.col("_v")), "codes": F.concat("codes", F.array("_c")), "quantized": F.zip_with("quantized", "_v", lambda x, y: x + y)})
     return out.drop("_r", "_c", "_v")
@@ -74,9 +77,9 @@ def _assign_arrow(items: DataFrame, levels: list, vec_col: str, normalize: bool)
 
 
 def collision_digit(items: DataFrame, codes_col: str = "codes", order_col: str = "id") -> DataFrame:
-    """Adds ``digit``: 0 where the codes are unique, else 1, 2, ... by ``order_col``."""
-    own = Window.partitionBy(codes_col)
-    return items.withColumn("digit", F.when(F.count("*").over(own) > 1, F.row_number().over(own.orderBy(order_col))).otherwise(0))
+    """Adds ``digit``: 0 where the codes are unique, else 1, 2, ... by the numeric ``order_col``."""
+    out = ranked(items, codes_col, F.col(order_col), [order_col], "_rank")
+    return out.withColumn("digit", F.when(F.col("_rank_n") > 1, F.col("_rank").cast("int")).otherwise(0)).drop("_rank", "_rank_n")
 
 
 def level_codes(assigned: DataFrame, codes_col: str = "codes") -> DataFrame:
@@ -142,8 +145,9 @@ def kmeans_plus_plus(items: DataFrame, k: int, seed: int = 0, vec_col: str = "ve
     rows = items.select(F.col(vec_col).cast("array<double>").alias("v"), F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))).alias("h")).orderBy("h").limit(buffer).collect()
     x, rng = np.asarray([r["v"] for r in rows]), np.random.default_rng(seed)
     chosen = [int(rng.integers(len(x)))]
+    d = np.full(len(x), np.inf)
     while len(chosen) < k:
-        d = np.min(((x[:, None, :] - x[chosen][None]) ** 2).sum(2), axis=1)
+        d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(1))
         chosen.append(int(rng.choice(len(x), p=d / d.sum())) if d.sum() > 0 else int(rng.integers(len(x))))
     return x[chosen].tolist()
 
@@ -154,8 +158,8 @@ def random_seeds(items: DataFrame, k: int, seed: int = 0, vec_col: str = "vec",
     return [list(rows[i % len(rows)]["v"]) for i in range(k)]
 
 
-def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, seed: int = 0, normalize: bool = True, vec_col: str = "vec", id_col: str = "id", tolerance: float = 0.0, rule: str = "minibatch") -> DataFrame:
-    """Residual k-means, one level after the other: seed, update ``steps`` times (or until no centroid moves more than ``tolerance``), then quantize what is left. Returns (level, code, vec).
+def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, seed: int = 0, normalize: bool = True, vec_col: str = "vec", id_col: str = "id", tolerance: float = 0.0, rule: str = "minibatch", seeds_of: Callable[..., list[list[float]]] = kmeans_plus_plus) -> DataFrame:
+    """Residual k-means, one level after the other: seed (by ``kmeans_plus_plus``, ``random_seeds`` or a function like them), update ``steps`` times (or until no centroid moves more than ``tolerance``), then quantize what is left. Returns (level, code, vec).
 
     Items that are read in each step should be cached or written by the caller.
     """
@@ -165,7 +169,7 @@ def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, se
     for level in range(levels):
         if normalize:
             left = left.withColumn("vec", unit(F.col("vec")))
-        centroids = kmeans_plus_plus(left, size, seed + level, "vec", "id")
+        centroids = seeds_of(left, size, seed + level, "vec", "id")
         counts, sizes, sums = [0.0] * size, [0.0] * size, [[0.0] * len(centroids[0]) for _ in range(size)]
         for _ in range(steps):
             before = centroids

@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semid.functions.vectors import dot
+
+def _packed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """(ids, vecs, width) of up to ``most`` rows (id, vec) each: vectors as one run of doubles."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                x = np.asarray(part.column("vec").to_pylist(), dtype=float).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], ["ids", "vecs", "width"])
+
+    return rows.select(F.col(id_col).cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "ids array<bigint>, vecs binary, width int")
 
 
-def top_k_by_dot(queries: DataFrame, keys: DataFrame, k: int, blocks: int = 1) -> DataFrame:
+def top_k_by_dot(queries: DataFrame, keys: DataFrame, k: int, query_block: int = 256, key_block: int = 4096) -> DataFrame:
     """(query_id, key_id, score, rank): each query's ``k`` best keys by dot product, ties by the lower key.
 
-    ``queries`` (query_id, vec) is the stated, smaller side. Each of ``blocks`` blocks of
-    keys keeps its own k best of a query before blocks are merged, so no task ranks all keys.
+    ``queries`` (query_id, vec) is a stated set; ``keys`` is (key_id, vec). Both are packed
+    into blocks; a pair of blocks gives the ``k`` best of its keys for each of its queries,
+    so neither all scores nor all queries are ever rows, or in one task, at once. Sums run
+    in the order of the dimensions, so that equal keys tie.
     """
-    q = queries.select("query_id", F.col("vec").cast("array<double>").alias("qv"))
-    pairs = keys.select("key_id", F.col("vec").cast("array<double>").alias("kv")).withColumn("block", F.pmod(F.xxhash64("key_id"), F.lit(blocks))).crossJoin(F.broadcast(q)).select("query_id", "key_id", "block", dot(F.col("qv"), F.col("kv")).alias("score"))
-    order = [F.desc("score"), F.asc("key_id")]
-    if blocks > 1:
-        pairs = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("block")
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for qi, qv, ki, kv, width in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vecs", "ids", "vecs", "width")), strict=True):
+                q, x, ids = np.frombuffer(qv).reshape(-1, width), np.frombuffer(kv).reshape(-1, width), np.asarray(ki)
+                scores = np.zeros((len(q), len(x)))
+                for d in range(width):
+                    scores += q[:, d, None] * x[None, :, d]
+                best = [np.lexsort((ids, -s))[:k] for s in scores]
+                columns = [np.repeat(qi, [len(o) for o in best]), np.concatenate([ids[o] for o in best]), np.concatenate([s[o] for s, o in zip(scores, best, strict=True)])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "key_id", "score"])
+
+    q = _packed(queries, "query_id", query_block).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    best = q.crossJoin(_packed(keys, "key_id", key_block)).mapInArrow(run, "query_id bigint, key_id bigint, score double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id"))).where(F.col("rank") <= k)
 
 
 def prefixes(codes: DataFrame, h: int, codes_col: str = "codes") -> DataFrame:

@@ -24,20 +24,39 @@ def shuffled(df: DataFrame, key: str, seed: int = 42, limit: int | None = None)
     return out.limit(limit) if limit is not None else out
 
 
+def ranked(df: DataFrame, group: str, number: Column, order: list, name: str, buckets: int = 256) -> DataFrame:
+    """Adds ``name``, the rank from 1 of each row in its group by ``order``, and ``name``_n, the group's size. ``number`` never falls along that order.
+
+    A group's approximate percentiles of ``number`` cut it into buckets, in order; rows are
+    ranked within their bucket and behind all rows of those before, so that a very large
+    group is ranked in as many tasks. The percentiles may be inexact, the ranks are not.
+    """
+    rows = df.withColumn("_number", number.cast("double"))
+    bounds = rows.groupBy(F.col(group).alias("_group")).agg(F.percentile_approx("_number", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("_bounds"))
+    placed = rows.join(bounds, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_number"))), F.lit(-1))).drop("_bounds", "_group")
+    held = placed.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_at")).agg(F.count("*").alias("_c"))
+    own = Window.partitionBy("_group")
+    before = held.select("_group", "_at", F.coalesce(F.sum("_c").over(own.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(own).alias(f"{name}_n"))
+    within = placed.withColumn(name, F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)))
+    out = within.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at")))
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_number", "_bucket", "_group", "_at", "_before")
+
+
 def stratified_split(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """Adds ``split``: in each stratum the first max(1, floor(n * fraction)) rows in hash order are 'eval' (none of a single row), the rest 'train'."""
-    own = Window.partitionBy(stratum)
-    n, rank = F.count("*").over(own), F.row_number().over(own.orderBy(hash_key(key, seed), key))
-    return df.withColumn("split", F.when((n > 1) & (rank <= F.greatest(F.lit(1), F.floor(n * fraction))), "eval").otherwise("train"))
+    h = hash_key(key, seed)
+    out = ranked(df, stratum, hash_number(h), [h, key], "_rank")
+    first = F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_rank_n") * fraction))
+    return out.withColumn("split", F.when((F.col("_rank_n") > 1) & first, "eval").otherwise("train")).drop("_rank", "_rank_n")
 
 
 def resample(df: DataFrame, group: str, key: str, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """Draws with replacement: ``targets`` (group, target) rows of each group, every draw a slot whose hash names a row's rank in its group."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1)
+    """Draws with replacement: ``targets`` (group, target) rows of each group, every draw a slot whose hash names a row's rank in its group by the numeric ``key``."""
+    rows = ranked(df, group, F.col(key), [key], "_rank").withColumn("_rank", F.col("_rank") - 1).drop("_rank_n")
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     slots = targets.join(sizes, group).where("target > 0").select(group, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("target").cast("long") - 1)).alias("slot"))
-    drawn = slots.withColumn("_rank", F.pmod(hash_number(F.md5(F.concat_ws("|", F.col(group).cast("string"), F.col("slot").cast("string"), F.lit(str(seed))))), F.col("_n")).cast("int"))
-    return drawn.drop("_n").join(ranked, [group, "_rank"]).drop("_rank")
+    drawn = slots.withColumn("_rank", F.pmod(hash_number(F.md5(F.concat_ws("|", F.col(group).cast("string"), F.col("slot").cast("string"), F.lit(str(seed))))), F.col("_n")))
+    return drawn.drop("_n").join(rows, [group, "_rank"]).drop("_rank")
 
 
 def weighted_targets(df: DataFrame, group: str, weights: dict[str, float]) -> DataFrame:
@@ -109,3 +128,16 @@ def assign_files(sizes: list[tuple[str, int]], workers: int, how: str = "greedy"
         out[w].append(path)
         load[w] += size
     return out
+
+
+def sampled_subsequences(seq: Column, key: Column, n: int, seed: int = 42) -> Column:
+    """Parts of two or more neighbouring items: all of them where there are at most ``n``, else ``n`` draws, which may repeat. A part's number counts parts by their end, then their start."""
+    total = (F.size(seq) * (F.size(seq) - 1) / 2).cast("bigint")
+    draw = lambda j: F.pmod(hash_number(F.md5(F.concat_ws("|", key.cast("string"), j.cast("string"), F.lit(str(seed))))), total)
+
+    def part(i: Column) -> Column:
+        end = F.floor((1 + F.sqrt(1 + 8 * i.cast("double"))) / 2).cast("int")
+        return let(end, lambda e: let((i - (e.cast("bigint") * (e - 1) / 2).cast("bigint")).cast("int"), lambda start: F.slice(seq, start + 1, e - start + 1)))
+
+    numbers = F.when(total <= n, F.sequence(F.lit(0).cast("bigint"), total - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw))
+    return F.when(total > 0, F.transform(numbers, part)).otherwise(F.slice(F.array(seq), F.lit(1), F.lit(0)))

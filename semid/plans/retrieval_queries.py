@@ -13,7 +13,7 @@ def _ranked(spark, sf_dir, k=10):
     it = items(spark, sf_dir)
     queries = it.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
     keys = it.where("id % 50 <> 0").select(F.col("id").alias("key_id"), "vec")
-    return R.top_k_by_dot(queries, keys, k, blocks=16)
+    return R.top_k_by_dot(queries, keys, k)
 
 
 def _relevant(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semid.functions import text as T
+from semid.operators.sampling import ranked
 from semid.plans.common import joined, r6, table
 from semid.plans.quantize_queries import assigned, residual_sql
 
@@ -57,14 +58,12 @@ def bytes_per_token(spark, sf_dir):
 
 
 def ratio_percentiles(spark, sf_dir):
-    """Median, and the element at min(n - 1, int(0.95 n)) of the sorted ratios, per source: positions come from a rank, no list is gathered."""
-    from pyspark.sql import Window
-
+    """Median, and the element at min(n - 1, int(0.95 n)) of the sorted ratios, per source: positions come from ranks, no list is gathered."""
     x = _docs(spark, sf_dir).select("source", "doc_id", (T.word_count(F.col("text")) / T.piece_count(F.col("text"))).alias("ratio"))
-    own = Window.partitionBy("source")
-    y = x.withColumns({"n": F.count("*").over(own), "i": F.row_number().over(own.orderBy("ratio", "doc_id")) - 1})
-    at = F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n")))
-    return y.groupBy("source").agg(r6(F.median("ratio")).alias("median"), r6(F.max(F.when(F.col("i") == at, F.col("ratio")))).alias("p95"))
+    y = ranked(x, "source", F.col("ratio"), ["ratio", "doc_id"], "r").withColumns({"i": F.col("r") - 1, "n": F.col("r_n")})
+    value = lambda at: F.max(F.when(F.col("i") == at, F.col("ratio")))
+    middle = (value(F.floor((F.col("n") - 1) / 2)) + value(F.floor(F.col("n") / 2))) / 2
+    return y.groupBy("source").agg(r6(middle).alias("median"), r6(value(F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n"))))).alias("p95"))
 
 
 def surface_occurrences(spark, sf_dir):
