@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semid.functions.vectors import unit
+from semid.functions.vectors import scale, unit
 from semid.session import scratch
 
 MARKER = "__COMMIT__"
@@ -132,6 +132,6 @@ def weighted_views(views: dict, weights: dict[str, float]):
     used = {v: w for v, w in weights.items() if w > 0}
     total, out = sum(used.values()), None
     for name, w in used.items():
-        part = F.transform(views[name], lambda x, w=w: x * (w / total))
+        part = scale(views[name], F.lit(w / total))
         out = part if out is None else F.zip_with(out, part, lambda x, y: x + y)
     return unit(out, 1e-8)
