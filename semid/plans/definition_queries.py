@@ -24,8 +24,8 @@ def extract_python_entities(spark, sf_dir):
 
 def extract_csharp_entities(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    text = F.format_string("namespace RimWorld.N%d\n{\n  public class Comp%d : ThingComp\n  {\n    public override void Tick() { }\n    private int Count(int x) { return x; }\n  }\n}\n", "n_regionkey", "n_nationkey")
-    x = N.extract_entities(n.select(F.concat(F.lit("f"), "n_nationkey", F.lit(".cs")).alias("rel_path"), text.alias("text")), "csharp", roots=("RimWorld",))
+    text = F.format_string("namespace Acme.N%d\n{\n  public class Comp%d : ThingComp\n  {\n    public override void Tick() { }\n    private int Count(int x) { return x; }\n  }\n}\n", "n_regionkey", "n_nationkey")
+    x = N.extract_entities(n.select(F.concat(F.lit("f"), "n_nationkey", F.lit(".cs")).alias("rel_path"), text.alias("text")), "csharp", roots=("Acme",))
     return x.select("name", "kind", "parent", F.array_join("children", ",").alias("methods"))
 
 
@@ -49,7 +49,7 @@ def category_rules(spark, sf_dir):
 
 
 def class_link_join(spark, sf_dir):
-    values = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.concat(F.lit("RimWorld.Comp"), F.col("n_regionkey")).alias("value"))
+    values = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.concat(F.lit("Acme.Comp"), F.col("n_regionkey")).alias("value"))
     classes = table(spark, sf_dir, "region").select(F.concat(F.lit("Comp"), F.col("r_regionkey")).alias("class"))
     return class_links(values, classes).select("class", F.array_join("defs", ",").alias("defs"))
 

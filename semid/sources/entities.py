@@ -139,6 +139,7 @@ def xml_definitions(files: DataFrame, types: list[str] | None = None) -> DataFra
     refs = references(texts, heads.where("not abstract").select("name"))
     maps = fields.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "value")))).alias("fields"))
     out = heads.join(maps.withColumnRenamed("name", "handle"), "handle", "left").join(children(links).withColumnRenamed("name", "handle"), "handle").join(refs, "name", "left")
+    # The two namespaces that definitions are filed under.
     space = F.when(F.col("def_type").isin("JobDef", "WorkTypeDef"), "Verse").otherwise("RimWorld")
     return out.where("not abstract and name <> ''").select("name", "def_type", "label", "description", "parent", "fields", "file_path", space.alias("namespace"), "children", F.coalesce("refs", F.array().cast("array<string>")).alias("references"))
 
