@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytepairs import LONGEST, REMEMBERED, Unsafe, cut, ends_in_space, ranks
-from .common import whole
+from .common import whole, written
 
 BLOCK_CHARS = 24_000_000
-#: Hash buckets of words for each shuffle partition.
-BUCKETS = 4
+#: Hash buckets of words for each shuffle partition, and the most that a block is divided into. Beyond, a bucket is
+#: dealt in parts by block, so that rows of words grow with the input and not with its square.
+BUCKETS, MOST_BUCKETS = 4, 4096
 
 
 @lru_cache(1)
@@ -151,18 +152,23 @@ def _blocks(batches: Iterator, pattern: str) -> Iterator[tuple[int, Block]]:
         yield block.name(part << 24 | k), block
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, stored: bool = False) -> DataFrame:
     """Per row its id, n_tokens, ids_sha256 and decoded_sha256; with ``with_ids`` also ``ids`` (array<int>) and ``decoded`` (binary).
 
     Null and empty texts have no tokens. Repeated rows and null ids each give a row; an
-    empty table gives none; columns not named are ignored. The texts are read twice: if
-    the second reading gave other rows or another order, blocks would not match their
-    words and the query fails rather than giving wrong ids, so write such an input first.
+    empty table gives none; columns not named are ignored. The texts are read twice and
+    both readings must give the same rows in the same order, also after an executor is
+    lost. A stored table does (``stored``); anything else is written to the shared folder first.
     """
     import pyarrow as pa
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * parts
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not stored:
+        rows = written(rows, "bpe-texts")
+    # As many partitions as the scan has splits, so that a task's share does not grow with the input.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    buckets = min(BUCKETS * parts, MOST_BUCKETS)
+    shares = -(-BUCKETS * parts // buckets)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, block in _blocks(batches, pattern):
@@ -219,13 +225,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         return pa.table([texts.column("id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=["id", *names])
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    rows = rows.select("id", whole("text").alias("text"))
     kind = dict(rows.dtypes)["id"]
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(rows.schema["id"].dataType)
-    words = rows.mapInArrow(words_of, "block long, bucket int, places binary, lengths binary, words binary").repartition(parts, "bucket")
+    words = rows.mapInArrow(words_of, "block long, bucket int, places binary, lengths binary, words binary").repartition(parts, "bucket", F.pmod("block", F.lit(shares)))
     encoded = words.mapInArrow(ids_of, "block long, places binary, lengths binary, ids binary")
     texts = rows.mapInArrow(texts_of, f"block long, id {kind}, places binary")
-    out = texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
+    out = texts.repartition(parts, "block").groupBy("block").cogroup(encoded.repartition(parts, "block").groupBy("block")).applyInArrow(assemble, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
     return out.withColumnRenamed("id", id_col)

@@ -69,7 +69,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stored=True)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from conftest import ODD  # noqa: F401
 
+from semid.llm import bpe_words
 from semid.llm.bpe_words import encode
 from semid.llm.packing import best_pattern, pack, padding, plan
 from semid.llm.token_counts import token_counts
@@ -62,6 +63,14 @@ def test_words_encode_and_decode_as_the_library(docs, texts, odd, none):
     assert encode(odd, path, public_tokenizers.PATTERN).count() == len(ODD) and encode(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_buckets_in_shares_and_inputs_of_no_order_give_the_same(spark, docs, texts, monkeypatch):
+    args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = sorted(encode(docs, *args).collect())
+    monkeypatch.setattr(bpe_words, "MOST_BUCKETS", 5)
+    monkeypatch.setattr(bpe_words, "BLOCK_CHARS", 20_000)
+    assert sorted(encode(docs.repartition(7), *args).collect()) == want and len(want) == len(texts)
+
+
 def _check_pieces(rows, texts):
     from tokenizers import Tokenizer
 
