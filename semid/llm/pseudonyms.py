@@ -9,16 +9,18 @@ their local part becomes a keyed hash and the domain a reserved one.
 
 These spellings are found; others stay in the text:
 
-* mail addresses; IBANs, compact or in groups of four, whose check digits are right;
+* mail addresses; IBANs, compact or in groups of four, whose check digits are right (in groups,
+  a listed country's number ends after its length, whatever word follows);
 * cards of 13 to 19 digits, with single spaces or hyphens, that pass Luhn's check;
 * phones with + and a country code, compact or with separators, and ten digits as
   ``(743) 555-3824``, ``743-555-3824`` or ``743.555.3824``;
 * social security numbers ``123-45-6789``; IPv4 addresses;
 * dates of 1900 to 2099 as ``1999-12-31``, also before a time (``1999-12-31T10:00``), and
-  day first as ``31/12/1999`` or ``31.12.1999``. Month-first dates stay unless they can be
-  read day first.
+  day first as ``31/12/1999`` or ``31.12.1999``. ``12/31/1999``, which can't be read day first,
+  is month first.
 
-All spellings of a value get one pseudonym. The key is read by a scalar subquery, so that
+All spellings of a value get one pseudonym. So a month-first date may become one that, taken
+by itself, can be read either way. The key is read by a scalar subquery, so that
 no plan, event log or explanation shows it.
 """
 
@@ -138,9 +140,10 @@ def _social(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
-    """Dates of 1900 to 2099 by their day's number, year first with hyphens or day first with another separator."""
+    """Dates of 1900 to 2099 by their day's number: year first with hyphens, else day first, or month first where the second number is no month."""
     b = next(x for x in range(270, 1, -1) if DAYS % x == 0)
     sep = F.when(m.contains("-"), "-").otherwise(F.substring(m, 3, 1))
+    month_first = (sep == "/") & (F.substring(m, 4, 2) > "12")
 
     def run(n: Column) -> Column:
         pair = feistel(F.floor(n / b), n % b, F.lit(DAYS // b), F.lit(b), key, "date")
@@ -148,11 +151,11 @@ def _date(m: Column, key: Column) -> Column:
 
         def spell(d: Column) -> Column:
             year, month, of_month = (F.date_format(d, x) for x in ("yyyy", "MM", "dd"))
-            return F.when(sep == "-", F.concat_ws("-", year, month, of_month)).otherwise(F.concat(of_month, sep, month, sep, year))
+            return F.when(sep == "-", F.concat_ws("-", year, month, of_month)).when(month_first, F.concat_ws("/", month, of_month, year)).otherwise(F.concat(of_month, sep, month, sep, year))
 
         return let(day, spell)
 
-    day = F.when(sep == "-", F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(m, ".", "/"), "dd/MM/yyyy"))
+    day = F.when(sep == "-", F.try_to_date(m, "yyyy-MM-dd")).when(month_first, F.try_to_date(m, "MM/dd/yyyy")).otherwise(F.try_to_date(F.translate(m, ".", "/"), "dd/MM/yyyy"))
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
     return F.when(number.between(0, DAYS - 1), let(number, run))
 
@@ -184,7 +187,21 @@ def _mail(m: Column, key: Column) -> Column:
 # Country calling codes, which are of one, two or three digits.
 COUNTRY = "^\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 NATIONAL = "(?<![A-Za-z0-9+.-])(?:\\([0-9]{3}\\)[ -]?[0-9]{3}[ .-]|[0-9]{3}-[0-9]{3}-|[0-9]{3}\\.[0-9]{3}\\.)[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])"
-DAY, MONTH = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])"
+DAY, LATE_DAY, MONTH = "(?:0[1-9]|[12][0-9]|3[01])", "(?:1[3-9]|2[0-9]|3[01])", "(?:0[1-9]|1[0-2])"
+# The lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped_iban() -> str:
+    """IBANs in groups of four: of a listed country in as many groups as its length needs, of others in as many as there are."""
+    rest = lambda n: f"(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    listed = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{rest(n)}" for n, names in IBAN_LENGTHS.items())
+    return f"(?:{listed}|[A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)"
+
+
 
 
 @dataclass(frozen=True)
@@ -196,12 +213,12 @@ class Kind:
 
 KINDS = (
     Kind("mail", "[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", _mail),
-    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", _iban),
+    Kind("iban", f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_grouped_iban()})(?![A-Za-z0-9])", _iban),
     Kind("card", "(?<![A-Za-z0-9+.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", _card),
     Kind("phone", f"(?<![A-Za-z0-9])\\+(?:[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{2,4}}\\)|[0-9]{{2,4}})(?:[ .-][0-9]{{2,5}}){{1,4}}|[1-9][0-9]{{7,14}})(?![A-Za-z0-9])|{NATIONAL}", _phone),
     Kind("social", "(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", _social),
     Kind("address", "(?<![A-Za-z0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\\.[0-9])", _address),
-    Kind("date", f"(?<![A-Za-z0-9-])(?:19|20)[0-9]{{2}}-{MONTH}-{DAY}(?![A-SU-Za-z0-9-]|T(?![0-9]{{2}}:))|(?<![A-Za-z0-9./-])(?:{DAY}/{MONTH}/|{DAY}\\.{MONTH}\\.)(?:19|20)[0-9]{{2}}(?![A-Za-z0-9/-]|\\.[0-9])", _date),
+    Kind("date", f"(?<![A-Za-z0-9-])(?:19|20)[0-9]{{2}}-{MONTH}-{DAY}(?![A-SU-Za-z0-9-]|T(?![0-9]{{2}}:))|(?<![A-Za-z0-9./-])(?:{DAY}/{MONTH}/|{MONTH}/{LATE_DAY}/|{DAY}\\.{MONTH}\\.)(?:19|20)[0-9]{{2}}(?![A-Za-z0-9/-]|\\.[0-9])", _date),
 )
 
 

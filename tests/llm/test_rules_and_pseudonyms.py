@@ -160,7 +160,7 @@ def _new_social(m, key):
 
 
 def _new_date(m, key):
-    form = "%Y-%m-%d" if "-" in m else f"%d{m[2]}%m{m[2]}%Y"
+    form = "%Y-%m-%d" if "-" in m else "%m/%d/%Y" if m[2] == "/" and int(m[3:5]) > 12 else f"%d{m[2]}%m{m[2]}%Y"
     try:
         n = (datetime.strptime(m, form) - datetime(1900, 1, 1)).days
     except ValueError:
@@ -187,6 +187,7 @@ NEW = {"mail": _new_mail, "iban": _new_iban, "card": _new_card, "phone": _new_ph
 SPELLINGS = [
     "+17435553824 and (743) 555-3824 and 743-555-3824 and 743.555.3824 and +1 (743) 555-3824", "+49151 234 5678 or +49 151 2345678, +358 40 123 4567; 1743-555-38241 and 743-555-3824-1",
     "DE89 3704 0044 0532 0130 00, DE89370400440532013000, DE88 3704 0044 0532 0130 00", "31/12/1999 31.12.1999 1999-12-31 1999-12-31T10:00 1999-12-31Tea 31/12.1999 30/02/1999 12/31/1999 01.02.2003.",
+    "DE89 3704 0044 0532 0130 00 THE and GB82 WEST 1234 5698 7654 32 IBAN, BE71 0961 2345 6769 PAID, BE71 0961 2345 6769 12; XX00 1234 5678 AB", "02/30/1999 13/31/1999 12/31/1999/1",
     "é(743) 555-3824é mail a@b.co, c@d.co" + " 4994226020900891" * 300, "1.2.3.4 256.1.1.1 1.2.3.4.5 078-05-1120 900-12-1234 001-01-0001", "٣(743) 555-3824 ①",
 ]
 
@@ -212,6 +213,19 @@ def test_pseudonyms_by_brute_force(spark, sf_dir, odd):
     assert P.pseudonymize(odd, "k", carry=("key", "n", "spans")).columns[:4] == ["doc_id", "key", "n", "spans"] and P.pseudonymize(odd, "k").count() == len(ODD)
 
 
+def test_month_first_dates_and_ibans_before_words(spark):
+    text = "12/31/1999 1999-12-31 31/12/1999; DE89 3704 0044 0532 0130 00 THE; GB82 WEST 1234 5698 7654 32 IBAN; BE71 0961 2345 6769 PAID; BE71096123456769"
+    r = P.pseudonymize(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "k").first()
+    assert (r["n_date"], r["n_iban"]) == (3, 4)
+    m = re.fullmatch(r"(\d\d)/(\d\d)/(\d{4}) (\d{4})-(\d\d)-(\d\d) (\d\d)/(\d\d)/(\d{4}); (DE[\d ]{25}) THE; (GB\d\d WEST[\d ]{18}) IBAN; (BE[\d ]{17}) PAID; (BE\d{14})", r["clean_text"])
+    assert m and (m[3], m[1], m[2]) == (m[4], m[5], m[6]) == (m[9], m[8], m[7]) and m[12].replace(" ", "") == m[13] and m[13] != "BE71096123456769"
+    for n, names in P.IBAN_LENGTHS.items():
+        for c in names.split():
+            plain = f"{c}00" + "1" * (n - 4)
+            spelled = " ".join(plain[i : i + 4] for i in range(0, n, 4))
+            assert re.fullmatch(P._grouped_iban(), spelled) and re.match(P._grouped_iban() + "(?![A-Z0-9])", spelled + " WORD")[0] == spelled
+
+
 def test_the_key_is_in_no_plan(spark):
     df = P.pseudonymize(spark.createDataFrame(PRIVATE, "doc_id bigint, text string"), "an uncommon key")
     assert "an uncommon key" not in df._jdf.queryExecution().toString()
