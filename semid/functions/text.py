@@ -260,5 +260,11 @@ def merge_candidates(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(first.select("token"), "token", "left_anti"))
 
 
+def reranked(candidates: DataFrame, signals: DataFrame) -> DataFrame:
+    """Candidates with their score raised by their token's signal, (token, signal); tokens without one have 0."""
+    signal = F.coalesce("signal", F.lit(0.0))
+    return candidates.join(signals, "token", "left").withColumns({"score": F.col("score") * (1 + signal), "signal": signal, "strategy": F.concat("strategy", F.lit("+gradient"))})
+
+
 def top_tokens(candidates: DataFrame, n: int) -> DataFrame:
     return candidates.orderBy(F.desc("score"), "token").limit(n)

@@ -64,6 +64,22 @@ def cross_entropy(logits: Column, label: Column) -> Column:
     return let(F.array_max(logits), lambda m: F.ln(total(F.transform(logits, lambda x: F.exp(x - m)))) + m - F.get(logits, label))
 
 
+def weighted_squared_error(x: Column, y: Column, weight: Column | float = 1.0) -> Column:
+    """A row's part of the loss: summed over rows it is the batch's."""
+    return weight * sqdist(x, y)
+
+
+def quantization_loss(x: Column, q: Column, beta: float = 0.25) -> Column:
+    """A row's squared error once for the code and ``beta`` times for the encoder; both have one value."""
+    return (1 + beta) * sqdist(x, q)
+
+
+def squeeze(v: Column) -> Column:
+    """A list of lists without its dimension of size one: lists of one item each, or one list. Other shapes are an error."""
+    fits = (F.size(v) == 1) | F.forall(v, lambda x: F.size(x) == 1)
+    return F.when(fits, F.flatten(v)).otherwise(F.raise_error(F.lit("no dimension of size one")).cast("array<double>"))
+
+
 def rotation_trick(x: Column, q: Column, eps: float = 1e-6) -> Column:
     """``x`` rotated and rescaled onto ``q``: the value equals ``q``; the closed form is |q|/|x| * (x - 2 w (w.x) + 2 q^ (x^.x))."""
 

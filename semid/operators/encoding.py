@@ -1,4 +1,4 @@
-"""Text columns as padded ids with masks."""
+"""Text columns as padded ids with masks, and vectors scored by a feed-forward network."""
 
 from __future__ import annotations
 
@@ -33,3 +33,27 @@ def text_to_ids(rows: DataFrame, text_col: str, tokenizer_file: str, length: int
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.select("*").mapInArrow(run, f"{kinds}, `{text_col}_ids` array<int>, `{text_col}_mask` array<int>")
+
+
+def feed_forward(rows: DataFrame, vec_col: str, layers: list[tuple[list[list[float]], list[float]]], out: str = "scores") -> DataFrame:
+    """Adds ``out`` (array<double>): the vector through linear layers (weights as width x outputs, biases), each but the last cut off below 0. Null vectors give null.
+
+    The weights are the model's, fixed by configuration; they travel with the tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    net = [(np.asarray(w, dtype=float), np.asarray(b, dtype=float)) for w, b in layers]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vecs = batch.column(vec_col).to_pylist()
+            x = np.asarray([v for v in vecs if v is not None], dtype=float).reshape(-1, len(net[0][0]))
+            for i, (w, b) in enumerate(net):
+                x = (x if i == 0 else np.maximum(x, 0.0)) @ w + b
+            found = iter(x.tolist())
+            scores = [None if v is None else next(found) for v in vecs]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.list_(pa.float64()))], [*batch.schema.names, out])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.select("*").mapInArrow(run, f"{kinds}, `{out}` array<double>")

@@ -92,6 +92,13 @@ def parse_progress(value: Column) -> Column:
     return F.when(s.endswith("%"), clamp(F.substring(s, F.lit(1), F.length(s) - 1).try_cast("double") / 100)).when(s.rlike(fraction), F.when(b != 0, a / b).otherwise(0.0)).otherwise(clamp(s.try_cast("double")))
 
 
+def random_actions(key: Column, seed: int = 0) -> Column:
+    """One to ``MOST_ACTIONS`` actions by hash draws of the key, none of which needs a place on the screen."""
+    names = [a[0] for a in ACTIONS if a[0] not in ("select_at", "drag_select")]
+    draw = lambda j, n: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)), j)), 1, 12), 16, 10).cast("bigint"), F.lit(n)).cast("int")
+    return F.transform(F.sequence(F.lit(0), draw(F.lit("n"), MOST_ACTIONS)), lambda j: F.get(F.array(*map(F.lit, names)), draw(j.cast("string"), len(names))))
+
+
 def total_of(values: Column) -> Column:
     return F.aggregate(F.coalesce(values, F.array().cast("array<double>")), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semid.functions.vectors import dot, unit
+
 
 def _packed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     """(ids, vecs, width) of up to ``most`` rows (id, vec) each: vectors as one run of doubles."""
@@ -52,6 +54,33 @@ def top_k_by_dot(queries: DataFrame, keys: DataFrame, k: int, query_block: int =
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id"))).where(F.col("rank") <= k)
 
 
+def full_cross_entropy(queries: DataFrame, keys: DataFrame, normalize: bool = True, query_block: int = 256, key_block: int = 4096) -> DataFrame:
+    """(query_id, loss): the cross entropy of each query's ``label`` against all keys by dot product; a query whose label has no key gives no row.
+
+    ``queries`` is (query_id, label, vec), a stated set, and ``keys`` (key_id, vec). A pair of
+    blocks gives a query's largest score and the sum of exponentials below it; these are combined.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for qi, qv, kv, width in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vecs", "vecs", "width")), strict=True):
+                scores = np.frombuffer(qv).reshape(-1, width) @ np.frombuffer(kv).reshape(-1, width).T
+                top = scores.max(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int64()), pa.array(top), pa.array(np.exp(scores - top[:, None]).sum(axis=1))], ["query_id", "top", "total"])
+
+    vec = F.col("vec").cast("array<double>")
+    queries, keys = (x.withColumn("vec", unit(vec) if normalize else vec) for x in (queries, keys))
+    q = _packed(queries, "query_id", query_block).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    parts = q.crossJoin(_packed(keys, "key_id", key_block)).mapInArrow(run, "query_id bigint, top double, total double")
+    parts = parts.withColumn("most", F.max("top").over(Window.partitionBy("query_id")))
+    sums = parts.groupBy("query_id").agg(F.max("most").alias("most"), F.sum(F.col("total") * F.exp(F.col("top") - F.col("most"))).alias("total"))
+    wanted = queries.select("query_id", F.col("label").alias("key_id"), F.col("vec").alias("qv")).join(keys.select("key_id", F.col("vec").alias("kv")), "key_id")
+    return sums.join(wanted, "query_id").select("query_id", (F.ln("total") + F.col("most") - dot(F.col("qv"), F.col("kv"))).alias("loss"))
+
+
 def prefixes(codes: DataFrame, h: int, codes_col: str = "codes") -> DataFrame:
     """The distinct first ``h`` digits of all items."""
     return codes.select(F.slice(codes_col, 1, h).alias("prefix")).distinct()
@@ -94,18 +123,30 @@ def ranked_hits(predictions: DataFrame, labels: DataFrame, codes_col: str = "cod
     return predictions.join(wanted, ["user_id", codes_col], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
 
 
-def ranking_metrics(ranked: DataFrame, ks: list[int], query: str = "query_id") -> DataFrame:
-    """(query, k, recall, ndcg) for every k. ``ranked`` is (query, rank, relevant); ideal orders and totals come from the candidate list itself, and a query without a relevant candidate scores 0."""
+#: Metrics by name: each from a query's sums at k (hits, all relevant, both gains, the first relevant rank, k).
+METRICS: dict[str, Callable[[], Column]] = {
+    "recall": lambda: F.col("hits") / F.greatest(F.lit(1), F.least("all", "k")),
+    "ndcg": lambda: F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0),
+    "precision": lambda: F.col("hits") / F.col("k"),
+    "hit": lambda: (F.col("hits") > 0).cast("double"),
+    "mrr": lambda: F.coalesce(1 / F.col("first"), F.lit(0.0)),
+}
+
+
+def ranking_metrics(ranked: DataFrame, ks: list[int], query: str = "query_id", metrics: tuple[str, ...] = ("recall", "ndcg")) -> DataFrame:
+    """(query, k and a column for each of ``METRICS`` named) for every k. ``ranked`` is (query, rank, relevant); ideal orders and totals come from the candidate list itself, and a query without a relevant candidate scores 0."""
     ideal = Window.partitionBy(query).orderBy(F.desc("relevant"), "rank")
     x = ranked.withColumn("ideal", F.row_number().over(ideal)).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    within = F.col("rank") <= F.col("k")
     gain = lambda at: F.sum(F.when(F.col(at) <= F.col("k"), F.col("relevant") / F.log2(F.col(at) + 1.0)).otherwise(0.0))
-    sums = x.groupBy(query, "k").agg(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("relevant")).otherwise(0)).alias("hits"), F.sum("relevant").alias("all"), gain("rank").alias("dcg"), gain("ideal").alias("idcg"))
-    return sums.select(query, "k", (F.col("hits") / F.greatest(F.lit(1), F.least("all", "k"))).alias("recall"), F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
+    first = F.min(F.when(within & (F.col("relevant") > 0), F.col("rank")))
+    sums = x.groupBy(query, "k").agg(F.sum(F.when(within, F.col("relevant")).otherwise(0)).alias("hits"), F.sum("relevant").alias("all"), gain("rank").alias("dcg"), gain("ideal").alias("idcg"), first.alias("first"))
+    return sums.select(query, "k", *[METRICS[m]().alias(m) for m in metrics])
 
 
-def mean_metrics(per_query: DataFrame) -> DataFrame:
+def mean_metrics(per_query: DataFrame, metrics: tuple[str, ...] = ("recall", "ndcg")) -> DataFrame:
     """(name, value), named as metric@k, over all queries."""
-    long = per_query.select("k", F.explode(F.create_map(F.lit("recall"), F.col("recall"), F.lit("ndcg"), F.col("ndcg"))).alias("metric", "value"))
+    long = per_query.select("k", F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
     return long.groupBy(F.concat_ws("@", "metric", F.col("k").cast("string")).alias("name")).agg(F.avg("value").alias("value"))
 
 

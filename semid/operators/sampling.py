@@ -113,9 +113,9 @@ def masked_places(n: Column, key: Column, seed: int = 42, lowest: float = 0.3, h
 
 
 def top_half(df: DataFrame, score: str, key: str) -> DataFrame:
-    """The better half of the rows, at least one."""
-    n = df.count()
-    return df.orderBy(F.desc(score), key).limit(max(1, n // 2))
+    """The better half of the rows by the numeric ``score``, at least one; ties by ``key``. Rows are ranked in buckets of scores, those of one score together."""
+    out = ranked(df.withColumn("_all", F.lit(0)), "_all", -F.col(score), [F.desc(score), key], "_rank")
+    return out.where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_rank_n") / 2))).drop("_all", "_rank", "_rank_n")
 
 
 def assign_files(sizes: list[tuple[str, int]], workers: int, how: str = "greedy") -> list[list[str]]:

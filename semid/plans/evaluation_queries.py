@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from semid.functions import text as T
 from semid.functions import vectors as V
-from semid.operators import encoding, evaluation, graphs, retrieval, sampling, sequences
-from semid.plans.common import ITEMS_SQL, dot_sql, items, joined, r6, table
+from semid.operators import encoding, episodes, evaluation, graphs, retrieval, sampling, sequences
+from semid.plans.common import ITEMS_SQL, dot_sql, items, joined, r6, sq, table, unit_sql
 from semid.plans.sampling_queries import number
 from semid.plans.sequence_queries import H, histories
+from semid.plans.text_queries import IDENT
 from semid.session import scratch
 from semid.sources import files, sinks
 
@@ -116,13 +117,77 @@ def prediction_rows(spark, sf_dir):
     return sinks.prediction_rows(x, "keys", "seq")
 
 
-NAMES = "exact_match_edit_ratio completion_means dense_eval_negatives text_to_ids weighted_views sibling_sids sampled_subsequences probe_accuracy group_means gather_places text_helpers warmup_cosine rotation_trick parquet_round_trip json_splits_round_trip prediction_rows".split()
+def full_batch_loss(spark, sf_dir):
+    """Queries 0, 50, 100 ... against all vectors; the label is the next one."""
+    it = items(spark, sf_dir)
+    asked = it.where("id % 50 = 0").select(F.col("id").alias("query_id"), (F.col("id") + 1).alias("label"), "vec")
+    return retrieval.full_cross_entropy(asked, it.select(F.col("id").alias("key_id"), "vec")).select("query_id", r6("loss").alias("loss"))
+
+
+def quantization_losses(spark, sf_dir):
+    x, q = F.col("vec"), F.reverse("vec")
+    losses = {"weighted": F.sum(V.weighted_squared_error(x, q, 1 + F.col("id") % 3)), "quantization": F.sum(V.quantization_loss(x, q)), "mse": F.avg(V.sqdist(x, q) / F.size(x))}
+    return items(spark, sf_dir).groupBy("label").agg(*[F.round(c, 4).alias(n) for n, c in losses.items()])
+
+
+def squeezed_vectors(spark, sf_dir):
+    it = items(spark, sf_dir).select("id", F.transform("vec", lambda x: F.array(x)).alias("column"), F.array("vec").alias("row"))
+    column, row = V.squeeze(F.col("column")), V.squeeze(F.col("row"))
+    return it.select(F.col("id").alias("vec_id"), F.size(column).alias("n"), r6(F.get(column, F.lit(0))).alias("v0"), r6(F.get(row, F.lit(63))).alias("v63"))
+
+
+def feed_forward_scores(spark, sf_dir):
+    """64 to 4 to 2, with weights by a rule."""
+    weights = lambda m, n: ([[((7 * i + 3 * j) % 11 - 5) / 10 for j in range(n)] for i in range(m)], [j / 10 for j in range(n)])
+    out = encoding.feed_forward(items(spark, sf_dir).select("id", "vec"), "vec", [weights(64, 4), weights(4, 2)])
+    return out.select(F.col("id").alias("vec_id"), r6(F.get("scores", F.lit(0))).alias("s0"), r6(F.get("scores", F.lit(1))).alias("s1"))
+
+
+def random_policy(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", joined(episodes.random_actions(F.col("event_id"))).alias("actions"))
+
+
+def candidates_reranked(spark, sf_dir):
+    """Identifiers of even length have a tenth of it as their signal."""
+    found = T.mine_identifiers(table(spark, sf_dir, "documents").select("text"))
+    signals = found.where(F.length("token") % 2 == 0).select("token", (F.length("token") / 10).alias("signal"))
+    return T.reranked(found, signals).select("token", "frequency", r6("signal").alias("signal"), r6("score").alias("score"), "strategy")
+
+
+def registered_metrics(spark, sf_dir):
+    """All metrics of the registry over the 20 nearest of each asked vector; those of its own label are relevant."""
+    it = items(spark, sf_dir)
+    asked = it.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"), "vec")
+    near = retrieval.top_k_by_dot(asked, it.select(F.col("id").alias("key_id"), "vec"), 20)
+    ranked = near.join(asked.select("query_id", "wanted"), "query_id").join(it.select(F.col("id").alias("key_id"), "label"), "key_id")
+    names = tuple(retrieval.METRICS)
+    per_query = retrieval.ranking_metrics(ranked.select("query_id", "rank", (F.col("label") == F.col("wanted")).cast("int").alias("relevant")), [1, 5, 20], metrics=names)
+    return retrieval.mean_metrics(per_query, names).select("name", r6("value").alias("value"))
+
+
+NAMES = "exact_match_edit_ratio completion_means dense_eval_negatives text_to_ids weighted_views sibling_sids sampled_subsequences probe_accuracy group_means gather_places text_helpers warmup_cosine rotation_trick parquet_round_trip json_splits_round_trip prediction_rows full_batch_loss quantization_losses squeezed_vectors feed_forward_scores random_policy candidates_reranked registered_metrics".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 VIEW = "0.4 / 0.9 * vec[{i}] + 0.2 / 0.9 * vec[65 - {i}] + 0.3 / 0.9 * vec[{i}] * vec[{i}]"
 PART_SID = "'<SID_L1_' || lpad(CAST(p_partkey % 64 AS VARCHAR), 2, '0') || '><SID_L2_' || lpad(CAST(p_partkey // 64 % 64 AS VARCHAR), 2, '0') || '>'"
 KEY = number("query_id || '|' || j || '|42'")
+POLICY = [a[0] for a in episodes.ACTIONS if a[0] not in ("select_at", "drag_select")]
+LAYER = "list_transform(range({n}), lambda j: list_sum(list_transform(range({m}), lambda i: {v}[i + 1] * ((7 * i + 3 * j) % 11 - 5) / 10)) + j / 10)"
 ORACLES = {
+    "full_batch_loss": f"""WITH {ITEMS_SQL}, u AS (SELECT id, {unit_sql("vec")} AS v FROM it),
+s AS (SELECT q.id AS query_id, k.id AS key_id, {dot_sql("q.v", "k.v")} AS s FROM u q CROSS JOIN u k WHERE q.id % 50 = 0)
+SELECT query_id, round(ln(sum(exp(s))) - max(s) FILTER (key_id = query_id + 1), 6) AS loss FROM s GROUP BY query_id HAVING count(*) FILTER (key_id = query_id + 1) > 0""",
+    "quantization_losses": f"WITH {ITEMS_SQL}, e AS (SELECT id, label, len(vec) AS n, {sq('vec', 'list_reverse(vec)')} AS e FROM it) SELECT label, round(sum((1 + id % 3) * e), 4) AS weighted, round(1.25 * sum(e), 4) AS quantization, round(avg(e / n), 4) AS mse FROM e GROUP BY label",
+    "squeezed_vectors": f"WITH {ITEMS_SQL} SELECT id AS vec_id, CAST(len(vec) AS INTEGER) AS n, round(vec[1], 6) AS v0, round(vec[64], 6) AS v63 FROM it",
+    "feed_forward_scores": f"WITH {ITEMS_SQL}, a AS (SELECT id, list_transform({LAYER.format(n=4, m=64, v='vec')}, lambda x: greatest(x, 0)) AS h FROM it), b AS (SELECT id, {LAYER.format(n=2, m=4, v='h')} AS s FROM a) SELECT id AS vec_id, round(s[1], 6) AS s0, round(s[2], 6) AS s1 FROM b",
+    "random_policy": f"WITH n AS (SELECT event_id, unnest(range({number(chr(39) + chr(39) + ' || event_id || ' + chr(39) + '|0|n' + chr(39))} % {episodes.MOST_ACTIONS} + 1)) AS j FROM events) SELECT event_id, string_agg(({POLICY})[{number('event_id || ' + chr(39) + '|0|' + chr(39) + ' || j')} % {len(POLICY)} + 1], ',' ORDER BY j) AS actions FROM n GROUP BY event_id",
+    "candidates_reranked": f"WITH {IDENT}, s AS (SELECT *, CASE WHEN length(token) % 2 = 0 THEN length(token) / 10 ELSE 0 END AS signal FROM ident) SELECT token, frequency, round(signal, 6) AS signal, round(score * (1 + signal), 6) AS score, 'identifiers+gradient' AS strategy FROM s",
+    "registered_metrics": f"""WITH {ITEMS_SQL}, s AS (SELECT q.id AS query_id, k.id AS key_id, CAST(k.label = q.label AS INTEGER) AS rel, {dot_sql("q.vec", "k.vec")} AS s FROM it q CROSS JOIN it k WHERE q.id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key_id) AS rank FROM s QUALIFY rank <= 20),
+i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS ideal FROM r),
+q AS (SELECT query_id, k, sum(CASE WHEN rank <= k THEN rel ELSE 0 END) AS hits, sum(rel) AS n, sum(CASE WHEN rank <= k THEN rel / log2(rank + 1.0) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= k THEN rel / log2(ideal + 1.0) ELSE 0 END) AS idcg, min(rank) FILTER (rank <= k AND rel = 1) AS first FROM i, (VALUES (1), (5), (20)) v(k) GROUP BY query_id, k),
+m AS (SELECT k, unnest([{{'m': 'recall', 'v': hits / greatest(1, least(n, k))}}, {{'m': 'ndcg', 'v': CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END}}, {{'m': 'precision', 'v': hits / k}}, {{'m': 'hit', 'v': CASE WHEN hits > 0 THEN 1 ELSE 0 END}}, {{'m': 'mrr', 'v': coalesce(1 / first, 0)}}]) AS x FROM q)
+SELECT x.m || '@' || k AS name, round(avg(x.v), 6) AS value FROM m GROUP BY x.m, k""",
     "dense_eval_negatives": f"""WITH {ITEMS_SQL}, q AS (SELECT id AS query_id, vec AS qv FROM it WHERE id % 50 = 0), j AS (SELECT *, unnest(range(21)) AS j FROM q),
 d AS (SELECT query_id, qv, j, CASE WHEN j = 0 THEN query_id + 1 ELSE 1 + {KEY} % (SELECT max(id) FROM it) END AS key_id FROM j),
 s AS (SELECT query_id, j, {dot_sql("qv", "it.vec")} AS score FROM d JOIN it ON it.id = key_id),

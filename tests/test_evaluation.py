@@ -63,3 +63,25 @@ def test_text_to_ids_by_the_library(spark, sf_dir):
         ids = own.encode(r["text"] or "", add_special_tokens=False).ids[:128]
         assert got[r["doc_id"]]["n"] == len(ids) and got[r["doc_id"]]["length"] == 128
         assert got[r["doc_id"]]["ids"] == hashlib.md5(",".join(map(str, ids + [0] * (128 - len(ids)))).encode()).hexdigest()
+
+
+def test_feed_forward_squeeze_and_losses_of_odd_rows(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from semid.functions import vectors as V
+    from semid.operators import encoding, retrieval, sampling
+
+    df = spark.createDataFrame([(1, [1.0, -2.0]), (2, None), (2, None), (3, [0.0, 0.0])], "id int, vec array<double>")
+    net = [([[1.0, -1.0], [0.0, 1.0]], [0.5, 0.0]), ([[2.0], [3.0]], [-1.0])]
+    got = [(r["id"], r["scores"]) for r in encoding.feed_forward(df, "vec", net).orderBy("id").collect()]
+    assert got == [(1, [2.0]), (2, None), (2, None), (3, [0.0])] and encoding.feed_forward(df.where("id > 9"), "vec", net).count() == 0
+    shapes = spark.createDataFrame([([[1.0], [2.0]],), ([[1.0, 2.0]],), ([[5.0]],), ([],)], "v array<array<double>>")
+    assert [r[0] for r in shapes.select(V.squeeze(F.col("v"))).collect()] == [[1.0, 2.0], [1.0, 2.0], [5.0], []]
+    with pytest.raises(Exception, match="dimension"):
+        spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],)], "v array<array<double>>").select(V.squeeze(F.col("v"))).collect()
+    keys = df.where("vec is not null").select(F.col("id").alias("key_id"), "vec")
+    asked = spark.createDataFrame([(1, 1, [100.0, 900.0]), (2, 7, [1.0, 1.0])], "query_id int, label int, vec array<double>")
+    want = {1: 1700.0}  # scores -1700 and 0; the label 7 has no vector
+    assert {r["query_id"]: round(r["loss"], 9) for r in retrieval.full_cross_entropy(asked, keys, normalize=False, query_block=1, key_block=1).collect()} == want
+    assert sampling.top_half(df.limit(0), "id", "id").count() == 0 and {r["id"] for r in sampling.top_half(df.where("id <> 2"), "id", "id").collect()} == {3}
