@@ -7,8 +7,9 @@ sequence of its pre-tokens' places in that list. The words of all blocks are
 shuffled by hash, those of one block and hash bucket packed into one row; where
 equal words meet, the word is encoded once, and its ids go back to all blocks and
 places that asked. A block's ids and texts then meet
-and each text is put together by position. Decoding looks its ids up in the
-table of the tokens' bytes, which is as large as the vocabulary.
+and each text is put together by position. Decoding joins the table of the
+tokens' bytes, which is as large as the vocabulary: the distinct ids of a block
+are joined with it, and a text's bytes are those of its ids by position.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytepairs import LONGEST, REMEMBERED, Unsafe, cut, ends_in_space, ranks
@@ -45,14 +46,9 @@ def word_encoder(rank_file: str, pattern: str) -> Callable[[bytes], list[int]]:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(rank_file), special_tokens={})._encode_single_piece
 
 
-@lru_cache(1)
-def token_bytes(rank_file: str) -> list[bytes]:
-    """The token-byte table: the bytes of each id."""
-    table = ranks(rank_file)
-    out = [b""] * (max(table.values()) + 1)
-    for token, rank in table.items():
-        out[rank] = token
-    return out
+def token_table(spark: SparkSession, rank_file: str) -> DataFrame:
+    """The token-byte table (token, bytes): one row for each entry of the vocabulary."""
+    return spark.createDataFrame([(rank, token) for token, rank in ranks(rank_file).items()], "token int, bytes binary")
 
 
 class Block(dict):
@@ -188,10 +184,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             ids = pa.array([i.as_py() for i, _ in block.texts], id_type)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.int64()), ids, pa.array([_planes(p) for _, p in block.texts], pa.binary())], ["block", "id", "places"])
 
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+        """With each batch, the ids of the words of each of its rows."""
         encode_word, known = word_encoder(rank_file, pattern), {}
         for batch in batches:
-            packed = []
+            rows = []
             for lengths, words in zip(batch.column("lengths").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 out = []
                 for word in _unpacked(lengths, words):
@@ -202,19 +199,39 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                                 known.clear()
                             known[word] = ids
                     out.append(ids)
-                packed.append((_planes(array("I", map(len, out)).tobytes()), _planes(b"".join(out))))
+                rows.append(out)
+            yield batch, rows
+
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in encoded_rows(batches):
+            packed = [(_planes(array("I", map(len, out)).tobytes()), _planes(b"".join(out))) for out in rows]
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["block", "places", "lengths", "ids"])
 
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct ids of each block's words in a batch."""
+        import numpy as np
+
+        for batch, rows in encoded_rows(batches):
+            raw: dict[int, list[bytes]] = {}
+            for name, out in zip(batch.column("block").to_pylist(), rows, strict=True):
+                raw.setdefault(name, []).extend(out)
+            for name, out in raw.items():
+                used = np.unique(np.frombuffer(b"".join(out), "<u4")).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), name, np.int64)), pa.array(used)], ["block", "token"])
+
     def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        of_words = words.filter(words.column("token").is_null())
+        of_tokens = words.filter(words.column("token").is_valid())
         table: dict[int, bytes] = {}
-        for places, lengths, ids in zip(*(words.column(c).to_pylist() for c in ("places", "lengths", "ids")), strict=True):
+        for places, lengths, ids in zip(*(of_words.column(c).to_pylist() for c in ("places", "lengths", "ids")), strict=True):
             raw, at = array("I", _unplanes(ids)).tobytes(), 0
             for place, n in zip(_unplanes(places), _unplanes(lengths), strict=True):
                 table[place] = raw[at : at + n]
                 at += n
         if len(texts) == 0:
             raise ValueError("the texts were not the same on their second reading; write them as a table first")
-        of, bytes_of, rows = table.__getitem__, token_bytes(rank_file).__getitem__, []
+        of, rows = table.__getitem__, []
+        bytes_of = dict(zip(of_tokens.column("token").to_pylist(), of_tokens.column("bytes").to_pylist(), strict=True)).__getitem__
         for packed in texts.column("places").to_pylist():
             raw = b"".join(map(of, _unplanes(packed)))
             ids = array("I", raw)
@@ -232,6 +249,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     id_type = to_arrow_type(rows.schema["id"].dataType)
     words = rows.mapInArrow(words_of, "block long, bucket int, places binary, lengths binary, words binary").repartition(parts, "bucket", F.pmod("block", F.lit(shares)))
     encoded = words.mapInArrow(ids_of, "block long, places binary, lengths binary, ids binary")
+    # The table has the vocabulary's size, whatever the input.
+    tokens = words.mapInArrow(tokens_of, "block long, token int").distinct().join(F.broadcast(token_table(docs.sparkSession, rank_file)), "token")
+    encoded = encoded.unionByName(tokens, allowMissingColumns=True)
     texts = rows.mapInArrow(texts_of, f"block long, id {kind}, places binary")
     out = texts.repartition(parts, "block").groupBy("block").cogroup(encoded.repartition(parts, "block").groupBy("block")).applyInArrow(assemble, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
     return out.withColumnRenamed("id", id_col)
