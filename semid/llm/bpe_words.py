@@ -208,16 +208,20 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["block", "places", "lengths", "ids"])
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct ids of each block's words in a batch."""
+        """The distinct ids of each block's words in a batch, as one row: no more than the ids of these words."""
         import numpy as np
 
         for batch, rows in encoded_rows(batches):
             raw: dict[int, list[bytes]] = {}
             for name, out in zip(batch.column("block").to_pylist(), rows, strict=True):
                 raw.setdefault(name, []).extend(out)
-            for name, out in raw.items():
-                used = np.unique(np.frombuffer(b"".join(out), "<u4")).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), name, np.int64)), pa.array(used)], ["block", "token"])
+            used = [_planes(np.unique(np.frombuffer(b"".join(out), "<u4")).tobytes()) for out in raw.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(raw), pa.int64()), pa.array(used, pa.binary())], ["block", "used"])
+
+    def tokens_once(key: tuple, rows: pa.Table) -> pa.Table:
+        """The distinct ids of a block: no more than the vocabulary's size."""
+        used = sorted(set().union(*map(_unplanes, rows.column("used").to_pylist())))
+        return pa.table([pa.array([key[0].as_py()] * len(used), pa.int64()), pa.array(used, pa.int32())], names=["block", "token"])
 
     def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
         of_words = words.filter(words.column("token").is_null())
@@ -250,7 +254,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     words = rows.mapInArrow(words_of, "block long, bucket int, places binary, lengths binary, words binary").repartition(parts, "bucket", F.pmod("block", F.lit(shares)))
     encoded = words.mapInArrow(ids_of, "block long, places binary, lengths binary, ids binary")
     # The table has the vocabulary's size, whatever the input.
-    tokens = words.mapInArrow(tokens_of, "block long, token int").distinct().join(F.broadcast(token_table(docs.sparkSession, rank_file)), "token")
+    tokens = words.mapInArrow(tokens_of, "block long, used binary").groupBy("block").applyInArrow(tokens_once, "block long, token int").join(F.broadcast(token_table(docs.sparkSession, rank_file)), "token")
     encoded = encoded.unionByName(tokens, allowMissingColumns=True)
     texts = rows.mapInArrow(texts_of, f"block long, id {kind}, places binary")
     out = texts.repartition(parts, "block").groupBy("block").cogroup(encoded.repartition(parts, "block").groupBy("block")).applyInArrow(assemble, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
