@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from semid.plans.quantize_queries import assigned
@@ -65,3 +66,31 @@ def test_hash_embed_of_all_documents(spark, sf_dir):
         n = Counter(int(hashlib.md5(" ".join(ws[i : i + 3]).encode()).hexdigest()[-2:], 16) for i in range(len(ws)))
         top = max(n.values(), default=0) / max(sum(c * c for c in n.values()) ** 0.5, 1e-8)
         assert abs(got[d][0] - top) < 1e-6 and got[d][1:] == (len(n), "".join("1" if i in n else "0" for i in range(256)))
+
+
+def test_learned_codes_by_plain_clustering(spark, sf_dir):
+    """Two levels of eight codes, three updates each, seed 7: seeds drawn by squared distance, means weighed by all items a code has had."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, left = [r["vec_id"] for r in rows], np.asarray([r["embedding"] for r in rows], dtype=float)
+    codes = []
+    for seed in (7, 8):
+        left = left / np.maximum(np.linalg.norm(left, axis=1, keepdims=True), 1e-12)
+        near = lambda book, x=left: ((x[:, None, :] - book[None]) ** 2).sum(2).argmin(1)
+        order, rng = sorted(range(len(ids)), key=lambda i: hashlib.md5(f"{ids[i]}|{seed}".encode()).hexdigest()), np.random.default_rng(seed)
+        pool = left[order]
+        book = pool[[rng.integers(len(pool))]]
+        while len(book) < 8:
+            least = ((pool[:, None, :] - book[None]) ** 2).sum(2).min(1)
+            book = np.vstack([book, pool[rng.choice(len(pool), p=least / least.sum())]])
+        had = np.zeros(8)
+        for _ in range(3):
+            code = near(book)
+            for k in set(code.tolist()):
+                mine = left[code == k]
+                had[k] += len(mine)
+                book[k] += (mine.mean(0) - book[k]) * len(mine) / had[k]
+        codes.append(near(book).tolist())
+        left = left - book[codes[-1]]
+    got = {r["vec_id"]: (r["c1"], r["c2"]) for r in QUERIES["kmeans_learned_codes"](spark, sf_dir).collect()}
+    assert got == dict(zip(ids, zip(*codes, strict=True), strict=True))
+    assert all(len(set(level)) > 4 for level in codes)
