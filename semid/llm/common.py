@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ``[\x20\x09-\x0D]``, the white space of every contract here.
@@ -41,6 +41,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def globally_ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` (read from a stored table) with their places in ``order`` from 1 on as column ``name``.
+
+    The order is cut into ranges, each of which a task sorts and numbers; a range begins
+    behind the rows of the ranges before it. The numbered rows are written, so that a
+    repeated task can't number them anew. Only rows that are equal in all of ``order`` can't be divided.
+    """
+    spark = rows.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 2_000_000)
+    numbered = written(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), name)
+    split = numbered.withColumn("_range", F.shiftrightunsigned("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND((1 << 33) - 1))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = split.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_begin"))
+    joined = split.join(F.broadcast(begins), "_range")  # a row for each range
+    return joined.select(*rows.columns, (F.col("_begin") + F.col("_place") + 1).alias(name))
+
+
 def whole(text: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

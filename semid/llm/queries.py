@@ -13,9 +13,13 @@ from .near_dedup import near_groups
 from .packing import pack
 from .pseudonyms import pseudonymize
 from .quality_rules import fit, judge
+from .resampling import resample
 from .secret_scan import BASE, RULES, scan_report
+from .sharding import shard_rows
 from .token_counts import token_counts
 from .warc_zip import archive_round_trip
+from .whitening import fit as fit_whitener
+from .whitening import identity_error, whiten
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +80,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = fit_whitener(vectors)
+    rows = whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(identity_error(vectors, model)).alias("identity_error"),
+    )
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -137,6 +160,9 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op11_hash_ring": op11_hash_ring,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op1_secret_scan": _op1_sql(),
