@@ -49,7 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the one with the largest id (of rows with equal text and id, one)."""
-    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_keep_id"), F.col("digest").alias("_keep_digest")).distinct()
-    named = docs.withColumn("_exact_digest", sha256(whole(text_col)))
-    found = named.join(kept, (F.col("_exact_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
-    return found.dropDuplicates([id_col, "_exact_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("keep_id"), F.col("digest").alias("keep_digest")).distinct()
+    named = docs.select(F.col(id_col).alias("id"), sha256(whole(text_col)).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    found = named.join(kept, (F.col("digest") == F.col("keep_digest")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return found.dropDuplicates(["id", "digest"]).select(*[F.col("doc")[c].alias(c) for c in docs.columns])

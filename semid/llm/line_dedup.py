@@ -31,16 +31,18 @@ def line_hash(key: Column) -> Column:
 
 
 RUN = "hash binary, docs long"
+#: Lines of a whole corpus that a bucket is to take, about.
+BUCKET = 8_000_000
 
 
 class LineRuns:
-    """Runs by level and the ledger. ``state`` names their folders and is all that must be remembered between batches, also of other sessions."""
+    """Runs by level and the ledger. ``state`` names their folders and is all that must be remembered between batches, also of other sessions. Buckets follow ``lines``, the number expected in all; they are fixed once runs exist."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 2, state: dict | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 2, state: dict | None = None, lines: int = 0):
         self.spark, self.fanout = spark, fanout
         self.folder = folder or fresh_path(spark, "line-runs")
         state = state or {}
-        self.buckets: int = state.get("buckets") or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets: int = state.get("buckets") or max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines // BUCKET)
         self.levels: list[list[str]] = [list(x) for x in state.get("levels", [])]
         self.ledger: list[str] = list(state.get("ledger", []))
         self.tables: dict[str, str] = {}
@@ -137,9 +139,13 @@ def line_table(rows: DataFrame, least: int = 1) -> DataFrame:
 
 def line_runs(lines: DataFrame, batches: int = 3, fanout: int = 2) -> LineRuns:
     """The runs of a table of lines (batch, hash, first), taken in ``batches``."""
-    runs = LineRuns(lines.sparkSession, fanout=fanout)
-    for b in range(batches):
-        runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("hash"))
+    runs = LineRuns(lines.sparkSession, fanout=fanout, lines=lines.count())
+    try:
+        for b in range(batches):
+            runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("hash"))
+    except Exception:
+        runs.forget()
+        raise
     return runs
 
 
@@ -156,8 +162,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text counts that text once; repeated rows count as documents of their own; an empty
     table gives no rows. Columns that are not named are ignored.
     """
-    named = [F.col(c) for c in dict.fromkeys((id_col, *carry))]
-    rows = docs.select(*named, whole(text_col).alias("_text")).withColumn("_row", row_key(id_col, F.col("_text")))
+    names = list(dict.fromkeys((id_col, *carry)))
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("_named"), F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
+    rows = rows.select("_named", "_text", row_key("_id", F.col("_text")).alias("_row"))
     batches = batches or batches_of(docs)
     # One reading of the texts serves the runs and, by its positions, the lines to drop.
     placed = line_table(rows, least).withColumn("batch", F.pmod(F.xxhash64("_row"), F.lit(batches)).cast("int"))
@@ -166,9 +173,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = docs.sparkSession.read.schema("_row binary, pos int, hash binary, first boolean, batch int").parquet(path)
     own = runs or line_runs(lines, batches)
     # A table of its own, so that both sides of the join are plain exchanges and a very common line's rows can be split.
-    common = written(own.totals(least_docs).select("hash"), "common-lines")
-    if runs is None:
-        own.forget()
+    try:
+        common = written(own.totals(least_docs).select("hash"), "common-lines")
+    finally:
+        if runs is None:
+            own.forget()
     hits = lines.select("_row", "pos", "hash").join(common, "hash", "left_semi")
     drop = hits.groupBy("_row").agg(F.collect_set("pos").alias("_drop"))
 
@@ -178,9 +187,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     split = F.split("_text", "\n", -1)
     out = rows.join(drop, "_row", "left")
-    return out.select(
-        *named,
+    done = out.select(
+        "_named",
         F.size(split).cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(let(split, without)).alias("kept_text"),
     )
+    return done.select(*[F.col("_named")[c].alias(c) for c in names], "n_lines", "n_dropped", "kept_text")

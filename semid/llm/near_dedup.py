@@ -327,7 +327,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     grouped = _grouped(docs, id_col, text_col, words, percent, bands, rows)
     kept = grouped.where("n = 0 or row = least.row").groupBy(F.col("row").alias("_near_row")).agg((F.max("n") > 0).alias("_near_set"))
-    named = docs.withColumn("_near_row", row_key(id_col, whole(text_col)))
+    named = docs.select(row_key(id_col, whole(text_col)).alias("_near_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     # Rows that agree in id and text share their name: of those in a group one stays.
     tie = F.when(F.col("_near_set"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
-    return named.join(kept, "_near_row").withColumn("_near_tie", tie).dropDuplicates(["_near_row", "_near_tie"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.join(kept, "_near_row").withColumn("_near_tie", tie).dropDuplicates(["_near_row", "_near_tie"]).select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -19,6 +19,10 @@ These spellings are found; others stay in the text:
   day first as ``31/12/1999`` or ``31.12.1999``. ``12/31/1999``, which can't be read day first,
   is month first.
 
+All values are found in the text as it came: a kind looks at what the kinds before it in
+``KINDS`` left of it, never at their pseudonyms, and all values are replaced together at the
+end. So an IBAN's groups are no card, and a phone's digits behind its + are none either.
+
 All spellings of a value get one pseudonym. So a month-first date may become one that, taken
 by itself, can be read either way. The key is read by a scalar subquery, so that
 no plan, event log or explanation shows it.
@@ -32,7 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running
 
 ROUNDS = 8
 #: Proleptic days from 1900-01-01 to 2099-12-31.
@@ -206,33 +210,50 @@ def _grouped_iban() -> str:
 
 @dataclass(frozen=True)
 class Kind:
+    """Values that match ``pattern`` and that ``permute`` gives a pseudonym (null: not valid). Every text with such a value matches ``hint``, which is quick to look for."""
+
     name: str
     pattern: str
     permute: Callable[[Column, str], Column]
+    hint: str
 
 
+#: In the order of their right to a stretch of text that several could claim.
 KINDS = (
-    Kind("mail", "[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", _mail),
-    Kind("iban", f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_grouped_iban()})(?![A-Za-z0-9])", _iban),
-    Kind("card", "(?<![A-Za-z0-9+.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", _card),
-    Kind("phone", f"(?<![A-Za-z0-9])\\+(?:[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{2,4}}\\)|[0-9]{{2,4}})(?:[ .-][0-9]{{2,5}}){{1,4}}|[1-9][0-9]{{7,14}})(?![A-Za-z0-9])|{NATIONAL}", _phone),
-    Kind("social", "(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", _social),
-    Kind("address", "(?<![A-Za-z0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\\.[0-9])", _address),
-    Kind("date", f"(?<![A-Za-z0-9-])(?:19|20)[0-9]{{2}}-{MONTH}-{DAY}(?![A-SU-Za-z0-9-]|T(?![0-9]{{2}}:))|(?<![A-Za-z0-9./-])(?:{DAY}/{MONTH}/|{MONTH}/{LATE_DAY}/|{DAY}\\.{MONTH}\\.)(?:19|20)[0-9]{{2}}(?![A-Za-z0-9/-]|\\.[0-9])", _date),
+    Kind("mail", "(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", _mail, "@"),
+    Kind("iban", f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_grouped_iban()})(?![A-Za-z0-9])", _iban, "[A-Z]{2}[0-9]{2}[A-Z0-9 ]"),
+    Kind("phone", f"(?<![A-Za-z0-9])\\+(?:[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{2,4}}\\)|[0-9]{{2,4}})(?:[ .-][0-9]{{2,5}}){{1,4}}|[1-9][0-9]{{7,14}})(?![A-Za-z0-9])|{NATIONAL}", _phone, "\\+[0-9]|\\([0-9]{3}\\)|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"),
+    Kind("card", "(?<![A-Za-z0-9+.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", _card, "[0-9](?:[ -]?[0-9]){12}"),
+    Kind("social", "(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", _social, "[0-9]-[0-9]{2}-[0-9]{4}"),
+    Kind("address", "(?<![A-Za-z0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\\.[0-9])", _address, "[0-9]\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]"),
+    Kind("date", f"(?<![A-Za-z0-9-])(?:19|20)[0-9]{{2}}-{MONTH}-{DAY}(?![A-SU-Za-z0-9-]|T(?![0-9]{{2}}:))|(?<![A-Za-z0-9./-])(?:{DAY}/{MONTH}/|{MONTH}/{LATE_DAY}/|{DAY}\\.{MONTH}\\.)(?:19|20)[0-9]{{2}}(?![A-Za-z0-9/-]|\\.[0-9])", _date, "(?:19|20)[0-9]{2}-[01][0-9]-|[0-9][./][0-9]{2}[./](?:19|20)[0-9]"),
 )
+#: Stands for a found value while further kinds are looked for: no value holds it.
+MARK = "\ue000"
+
+
+def _marks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(MARK), F.lit("")))
+
+
+def _found(text: Column, new: Column, kind: Kind, key: Column) -> Column:
+    """The text with the kind's values marked, too, what all marks stand for, in order, and how many values the kind has."""
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    parts = F.arrays_zip(F.split(text, kind.pattern, -1).alias("p"), matches.alias("m"))
+    tried = F.transform(parts, lambda z: F.struct(z["p"].alias("p"), z["m"].alias("m"), F.when(z["m"].isNotNull(), kind.permute(z["m"], key)).alias("q"), _marks(z["p"]).alias("c")))
 
+    def put(zs: Column) -> Column:
+        marked = F.array_join(F.transform(zs, lambda z: F.concat(z["p"], F.when(z["q"].isNotNull(), MARK).otherwise(F.coalesce(z["m"], F.lit(""))))), "")
+        own = F.filter(F.transform(zs, lambda z: z["q"]), lambda q: q.isNotNull())
 
-def _replaced(text: Column, kind: Kind, key: Column) -> Column:
-    """A struct of the text with the kind's values replaced, and how many were."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, kind.pattern, -1).alias("p"), found.alias("m"))
-    new = F.transform(parts, lambda z: F.struct(z["p"].alias("p"), z["m"].alias("m"), F.when(z["m"].isNotNull(), kind.permute(z["m"], key)).alias("q")))
+        def merged(before: Column) -> Column:
+            each = F.zip_with(zs, before, lambda z, at: F.concat(F.slice(new, at + 1, z["c"]), F.when(z["q"].isNotNull(), F.array(z["q"])).otherwise(F.array().cast("array<string>"))))
+            return F.flatten(each)
 
-    def joined(zs: Column) -> Column:
-        whole = F.array_join(F.transform(zs, lambda z: F.concat(z["p"], F.coalesce(z["q"], z["m"], F.lit("")))), "")
-        return F.struct(whole.alias("text"), F.size(F.filter(zs, lambda z: z["q"].isNotNull())).cast("long").alias("n"))
+        values = F.when(F.size(new) == 0, own).otherwise(let(running(F.transform(zs, lambda z: z["c"]), F.lit(0), lambda acc, c: acc + c), merged))
+        return F.struct(marked.alias("text"), values.alias("new"), F.size(own).cast("long").alias("n"))
 
-    return let(new, joined)
+    return let(tried, put)
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -244,11 +265,14 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     names = list(dict.fromkeys((id_col, *carry)))
     secret = docs.sparkSession.sql("SELECT * FROM VALUES (:k) AS t(k)", args={"k": key}).scalar()
-    state = F.struct(F.col(text_col).alias("text"), *[F.lit(0).cast("long").alias(k.name) for k in kinds])
-    out = docs.select(F.struct(*[F.col(c).alias(c) for c in names]).alias("named"), state.alias("s"), secret.alias("key"))
+    text, none = F.col(text_col), F.lit(0).cast("long")
+    marks = F.when(F.contains(text, F.lit(MARK)), F.array_repeat(F.lit(MARK), _marks(text))).otherwise(F.array().cast("array<string>"))  # a text's own marks stand for themselves
+    out = docs.select(F.struct(*[F.col(c).alias(c) for c in names]).alias("named"), F.struct(text.alias("text"), marks.alias("new"), none.alias("n")).alias("s"), secret.alias("key"), F.struct(none.alias("none")).alias("counts"))
     for kind in kinds:
-        text = F.col("s.text")
-        none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-        out = out.withColumn("r", F.when(text.rlike(kind.pattern), _replaced(text, kind, F.col("key"))).otherwise(none))
-        out = out.withColumn("s", F.struct(F.col("r.text").alias("text"), *[(F.col("r.n") if k is kind else F.col("s")[k.name]).alias(k.name) for k in kinds]))
-    return out.select(*[F.col("named")[c].alias(c) for c in names], *[F.col("s")[k.name].alias(f"n_{k.name}") for k in kinds], F.col("s.text").alias("clean_text"))
+        seen = F.col("s.text").rlike(kind.hint) & F.col("s.text").rlike(kind.pattern)
+        out = out.withColumn("s", F.when(seen, _found(F.col("s.text"), F.col("s.new"), kind, F.col("key"))).otherwise(F.struct(F.col("s.text").alias("text"), F.col("s.new").alias("new"), none.alias("n"))))
+        out = out.withColumn("counts", F.col("counts").withField(kind.name, F.col("s.n")))
+    pieces = F.split("s.text", MARK, -1)
+    clean = F.when(F.size("s.new") == 0, F.col("s.text")).otherwise(F.array_join(F.zip_with(pieces, "s.new", lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), ""))
+    done = out.select("named", "counts", clean.alias("clean_text"))
+    return done.select(*[F.col("named")[c].alias(c) for c in names], *[F.col("counts")[k.name].alias(f"n_{k.name}") for k in kinds], "clean_text")

@@ -40,9 +40,17 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]{12,}"),
     Rule("hex", "[0-9a-f]{32,}"),
 )
+KEY = "[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+BASE64 = "[A-Za-z0-9+/=]"
+#: What follows a BEGIN line without an END line: header lines, then whole lines of base64 of a usual length, then a shorter one.
+CUT_OFF = (
+    f"(?:\\r?\\n[A-Za-z-]+: [^\\n]*){{0,8}}(?:\\r?\\n)?(?:\\x20?{BASE64}{{16,}})?"
+    + "(?:" + "|".join(f"(?:{end}{BASE64}{{{n}}})+" for n in (76, 70, 64) for end in ("\\n", "\\r\\n")) + ")?"
+    + f"(?:\\r?\\n{BASE64}{{16,}})?"
+)
 MORE = (
-    # To its END line, over the few hyphens that a key's header lines hold; where no END line follows, the BEGIN line alone.
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----)?"),
+    # To the next END line, whatever stands between, else over the lines that can be the key's.
+    Rule("pem", f"-----BEGIN {KEY}(?:[\\s\\S]*?-----END {KEY}|{CUT_OFF})"),
     Rule("forge", "gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
 )
@@ -100,16 +108,16 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``rules``. Null texts are empty and have no spans; repeated rows each give a row;
     an empty table gives none. Columns that are not named are ignored.
     """
-    grams = vocabulary(rules)
-    rows = docs.select(*[F.col(c) for c in dict.fromkeys((id_col, *carry))], whole(text_col).alias("_text")).withColumn("_key", row_key(id_col, F.col("_text")))
-    index = postings(rows.select(F.col("_key").alias("key"), F.col("_text").alias("text")), grams)
-    found = candidates(index, rules, grams).select(F.col("key").alias("_key"), F.col("rules").alias("_rules"))
-    joined = rows.join(found, "_key", "left")
-    text, spans = F.col("_text"), []
+    grams, names = vocabulary(rules), list(dict.fromkeys((id_col, *carry)))
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("named"), F.col(id_col).alias("id"), whole(text_col).alias("text")).select("named", "text", row_key("id", F.col("text")).alias("key"))
+    found = candidates(postings(rows.select("key", "text"), grams), rules, grams)
+    joined = rows.join(found, "key", "left")
+    text, spans = F.col("text"), []
     for i, r in enumerate(rules):
-        asked = F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0 if derive(r.pattern) else F.lit(True)
+        asked = F.col("rules").bitwiseAND(F.lit(1 << i)) != 0 if derive(r.pattern) else F.lit(True)
         spans.append(F.when(asked & text.rlike(r.pattern), rule_spans(text, r, i)).otherwise(F.array().cast(SPANS)))
-    return joined.select(*[F.col(c) for c in dict.fromkeys((id_col, *carry))], F.sort_array(F.concat(*spans)).alias("spans"))
+    done = joined.select("named", F.sort_array(F.concat(*spans)).alias("spans"))
+    return done.select(*[F.col("named")[c].alias(c) for c in names], "spans")
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -127,18 +135,33 @@ def scan_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select(id_col, *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
+def cut_out(text: Column, spans: Column, instead: str, block: int = 128) -> Column:
+    """``text`` with its spans (by start) replaced, overlapping ones together. It is cut into a stretch for each ``block`` of spans and those at the spans, so that neither many spans nor a long text is read again for each span."""
+    covered = running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda acc, end: F.greatest(acc, end))
+    placed = F.zip_with(spans, covered, lambda s, at: F.struct(s["start"].alias("start"), s["end"].alias("end"), at.alias("at")))
+
+    def stretches(zs: Column) -> Column:
+        def one(b: Column) -> Column:
+            part = F.slice(zs, b * block + 1, F.lit(block))
+            low = F.get(zs, b * block)["at"]
+            high = F.coalesce(F.get(zs, (b + 1) * block)["at"], F.length(text))
+            last = F.array_max(F.transform(part, lambda z: F.greatest(z["end"], z["at"])))
+
+            def pieces(chunk: Column) -> Column:
+                kept = F.transform(part, lambda z: F.when(z["start"] >= z["at"], F.concat(F.substring(chunk, z["at"] - low + 1, z["start"] - z["at"]), F.lit(instead))).otherwise(""))
+                return F.concat(F.array_join(kept, ""), F.substring(chunk, last - low + 1, high - last))
+
+            return let(F.substring(text, low + 1, high - low), pieces)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(zs) - 1) / block).cast("int")), one), "")
+
+    return let(placed, stretches)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every secret's span replaced by ``[secret]``; overlapping spans are replaced together. Texts without secrets, null ones too, stay as they are."""
     rows = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     text = F.col("_doc")[text_col]
-
-    def cut(chars: Column) -> Column:
-        covered = running(F.transform("spans", lambda s: s["end"]), F.lit(0), lambda acc, end: F.greatest(acc, end))
-        between = lambda begin, end: F.array_join(F.slice(chars, begin + 1, end - begin), "")
-        pieces = F.zip_with("spans", covered, lambda s, at: F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit("[secret]"))).otherwise(""))
-        last = F.array_max(F.transform("spans", lambda s: s["end"]))
-        return F.concat(F.array_join(pieces, ""), let(last, lambda at: between(at, F.size(chars))))
-
-    clean = let(F.split(text, ""), cut)
-    found = secret_spans(rows, id_col, text_col, carry=("_doc",))
-    return found.select(*[F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
+    clean = F.when(F.size("spans") > 0, cut_out(text, F.col("spans"), "[secret]")).otherwise(text)
+    done = secret_spans(rows, id_col, text_col, carry=("_doc",)).select("_doc", clean.alias("_clean"))
+    return done.select(*[F.col("_clean").alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -67,7 +67,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html, refers_to) as archives in ``folder``, a new one after ``archive_bytes``, and returns the manifest (path, records).
+    """Writes ``pages`` (page_id, url, html, refers_to) as archives in ``folder``, a new one after ``archive_bytes``, and returns the manifest (path, records, bytes).
 
     Archives carry their task attempt in their name, and only those of attempts that
     succeeded are in the manifest, a table in the shared folder, so lost executors and
@@ -92,9 +92,9 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 256 << 20
                     archive = archive.close()
         if archive:
             archive.close()
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([len(a.lines) for _, a in made], pa.int64())], ["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), *[pa.array(x, pa.int64()) for x in ([len(a.lines) for _, a in made], [a.offset for _, a in made])]], ["path", "records", "bytes"])
 
-    return written(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long"), "manifest")
+    return written(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
 class _Archive:
@@ -237,6 +237,10 @@ def read_records(ranges: DataFrame, id_type: str = "bigint", with_payload: bool
     return out.withColumns({c: F.expr(f"try_cast({c} as {id_type})") for c in ("page_id", "refers_to")})
 
 
+#: Bytes of archives that a reading task is to take, about.
+READ = 64 << 20
+
+
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", least: int = 0) -> DataFrame:
     """``pages`` as (page_id, url, html, refers_to): of equal payloads of at least ``least`` bytes all but the least id's refer to that."""
     rows = pages.select(F.col(id_col).alias("page_id"), (F.col(url_col) if url_col in pages.columns else F.lit(None)).cast("string").alias("url"), whole(html_col).alias("html"))
@@ -245,20 +249,21 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     firsts = by_salt.groupBy("key").agg(F.min("first").alias("first"))
     found = by_salt.select("key", "salt").join(firsts, "key")
     joined = keyed.join(found, ["key", "salt"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", least: int = 0, folder: str | None = None, with_payload: bool = False) -> DataFrame:
     """Writes a record for each row of ``pages`` and reads all records back from the archives.
 
     Null payloads are empty, null addresses are left out of the record. Rows that repeat
-    the least id of their payload are responses all; a null id is written as such, is
-    never referred to unless all ids of the payload are null (then all are responses), and
-    comes back as null. An empty table gives no rows. Columns not named are ignored.
+    the least id of their payload are responses all; a null id is written as such, refers
+    to the least id of its payload (if all are null, all are responses), and comes back
+    as null. An empty table gives no rows. Columns not named are ignored.
     """
     folder = folder or fresh_path(spark, "archives")
     manifest = write_archives(mark_revisits(pages, id_col, html_col, url_col, least), folder)
     ranges = locate_records(manifest)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // READ)
     id_type = dict(pages.dtypes)[id_col]
     return read_records(ranges.repartition(parts, "path", F.floor(F.col("offset") / (8 << 20))), id_type, with_payload).withColumnRenamed("page_id", id_col)

@@ -149,3 +149,50 @@ def test_many_secrets_in_one_text(spark):
     text = "é" + " secret=abcdefgh1 0123456789abcdef0123456789abcdef token = 0123456789abcdef0123456789abcdef," * 2700
     got = redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["text"]
     assert got == "é" + " [secret] [secret] [secret]," * 2700
+
+
+def test_private_keys_of_any_form(spark):
+    """Many hyphens in the header lines, keys of another program, keys cut off before their END line."""
+    body = "\n".join("abcd+/12" * 8 for _ in range(20))
+    wide = "\r\n".join("Zm9v" * 19 for _ in range(300))
+    rows = [
+        (1, f"a -----BEGIN EC PRIVATE KEY-----\nNote: {'-x' * 500}\n\n{body}\n-----END EC PRIVATE KEY----- b"),
+        (2, f"a -----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x-y v2\n\n{body}\n=abcd\n-----END PGP PRIVATE KEY BLOCK----- b"),
+        (3, f"a -----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC,00\n\n{body}\nabcd1234abcd1234==\nand then prose"),
+        (4, f"a -----BEGIN PRIVATE KEY-----\r\n{wide}\r\nand then prose"),
+        (5, "a -----BEGIN PRIVATE KEY----- is how such a file begins"),
+        (6, "-----BEGIN PRIVATE KEY-----\n" + ("Zm9v" * 16 + "\n") * 20_000 + "prose"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == got[2] == "a [secret] b"
+    assert got[3] == "a [secret]\nand then prose" and got[4] == "a [secret]\r\nand then prose"
+    assert got[5] == "a [secret] is how such a file begins" and got[6] == "[secret]\nprose"
+
+
+def test_one_secret_in_a_long_text(spark):
+    text = "é word " * 1_000_000
+    df = spark.createDataFrame([(1, f"{text}token=abcdefgh1 {text}")], "doc_id bigint, text string")
+    assert redact(df).first()["text"] == f"{text}[secret] {text}"
+
+
+CLASHES = ("_near_row", "_near_set", "_near_tie", "_exact_digest", "_keep_id", "_text", "_row", "_drop", "_named", "_id", "_doc", "named", "doc", "text_", "s", "p", "counts", "rest", "task", "point", "arc", "enough", "score", "_place")
+
+
+def test_columns_of_any_name_are_carried(spark):
+    """Own names of the operators as extra columns: none is lost or changed."""
+    from semid.llm.near_dedup import near_dedup
+    from semid.llm.pseudonyms import pseudonymize
+    from semid.llm.quality_rules import DecisionList, judge
+    from semid.llm.resampling import resample
+    from semid.llm.sharding import shard_rows
+
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)], "doc_id bigint, text string").selectExpr("*", *[f"{i} as {c}" for i, c in enumerate(CLASHES)])
+    want = list(range(len(CLASHES)))
+    ways = [exact_dedup(df), near_dedup(df), redact(df), secret_spans(df, carry=CLASHES), dedup_lines(df, carry=CLASHES), pseudonymize(df, "k", carry=CLASHES)]
+    other = [c for c in CLASHES if c != "score"]
+    for out in ways:
+        rows = out.collect()
+        assert rows and all([r[c] for c in CLASHES] == want for r in rows)
+    for out in (shard_rows(df, 3, carry=other), resample(df, df, carry=other), judge(df, DecisionList(()), carry=other)):
+        rows = out.collect()
+        assert len(rows) == 3 and all([r[c] for c in other] == [want[CLASHES.index(c)] for c in other] for r in rows)

@@ -17,7 +17,7 @@ def _want(rows, least=0):
     for i, _, h in rows:
         p = (h or "").encode()
         f = first.get(h or "") if len(p) >= least else None
-        again = i is not None and f is not None and i != f
+        again = f is not None and i != f
         out.append((i, len(p), digest(p), "revisit" if again else "response", f if again else None))
     return sorted(map(repr, out))
 
@@ -39,7 +39,13 @@ def test_ids_of_any_text(spark):
     got = archive_round_trip(spark, df).collect()
     assert sorted(repr(r["page_id"]) for r in got) == sorted(map(repr, ids))
     least = {h: min(i for k, i in enumerate(ids) if k % 4 == h and i is not None) for h in range(4)}
-    assert {r["page_id"]: r["refers_to"] for r in got if r["refers_to"] is not None} == {i: least[k % 4] for k, i in enumerate(ids) if i is not None and i != least[k % 4]}
+    assert {r["page_id"]: r["refers_to"] for r in got if r["refers_to"] is not None} == {i: least[k % 4] for k, i in enumerate(ids) if i != least[k % 4]}
+
+
+def test_null_ids_beside_equal_payloads(spark):
+    df = spark.createDataFrame([(None, "u", "<p>"), (5, "u", "<p>"), (3, "u", "<p>"), (None, "u", "alone"), (None, "u", "alone")], "page_id bigint, url string, html string")
+    got = sorted(repr((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"])) for r in archive_round_trip(spark, df).collect())
+    assert got == sorted(map(repr, [(None, 3, "revisit", 3), (5, 3, "revisit", 3), (3, 3, "response", None), (None, 5, "response", None), (None, 5, "response", None)]))
 
 
 def test_archives_roll_over_and_are_read_by_range(spark, tmp_path):
