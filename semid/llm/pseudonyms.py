@@ -86,11 +86,14 @@ def luhn_sum(digits: Column) -> Column:
 def fill(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced by ``digits``, in order."""
 
-    def step(acc: Column, c: Column) -> Column:
-        is_digit = c.rlike("^[0-9]$")
-        return F.struct(F.when(is_digit, acc["i"] + 1).otherwise(acc["i"]).alias("i"), F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["i"], F.lit(1))).otherwise(c)).alias("out"))
+    def run(d: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            is_digit = c.between("0", "9")
+            return F.struct(F.when(is_digit, acc["i"] + 1).otherwise(acc["i"]).alias("i"), F.concat(acc["out"], F.when(is_digit, F.substring(d, acc["i"], F.lit(1))).otherwise(c)).alias("out"))
+
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+    return let(digits, run)
 
 
 def only_digits(x: Column) -> Column:
@@ -240,15 +243,17 @@ def _found(text: Column, new: Column, kind: Kind, key: Column) -> Column:
     """The text with the kind's values marked, too, what all marks stand for, in order, and how many values the kind has."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     parts = F.arrays_zip(F.split(text, kind.pattern, -1).alias("p"), matches.alias("m"))
-    tried = F.transform(parts, lambda z: F.struct(z["p"].alias("p"), z["m"].alias("m"), F.when(z["m"].isNotNull(), kind.permute(z["m"], key)).alias("q"), _marks(z["p"]).alias("c")))
+    tried = F.transform(parts, lambda z, i: F.struct(i.alias("i"), z["p"].alias("p"), z["m"].alias("m"), F.when(z["m"].isNotNull(), kind.permute(z["m"], key)).alias("q"), _marks(z["p"]).alias("c")))
 
     def put(zs: Column) -> Column:
         marked = F.array_join(F.transform(zs, lambda z: F.concat(z["p"], F.when(z["q"].isNotNull(), MARK).otherwise(F.coalesce(z["m"], F.lit(""))))), "")
         own = F.filter(F.transform(zs, lambda z: z["q"]), lambda q: q.isNotNull())
 
         def merged(before: Column) -> Column:
-            each = F.zip_with(zs, before, lambda z, at: F.concat(F.slice(new, at + 1, z["c"]), F.when(z["q"].isNotNull(), F.array(z["q"])).otherwise(F.array().cast("array<string>"))))
-            return F.flatten(each)
+            """Marks by their number, values by the number of marks before them."""
+            old = F.transform(new, lambda v, j: F.struct(j.alias("a"), F.lit(1).alias("b"), F.lit(0).alias("i"), v.alias("v")))
+            more = F.zip_with(zs, before, lambda z, at: F.struct((at + z["c"]).alias("a"), F.lit(0).alias("b"), z["i"].alias("i"), z["q"].alias("v")))
+            return F.transform(F.sort_array(F.concat(old, F.filter(more, lambda x: x["v"].isNotNull()))), lambda x: x["v"])
 
         values = F.when(F.size(new) == 0, own).otherwise(let(running(F.transform(zs, lambda z: z["c"]), F.lit(0), lambda acc, c: acc + c), merged))
         return F.struct(marked.alias("text"), values.alias("new"), F.size(own).cast("long").alias("n"))
