@@ -77,8 +77,8 @@ def _assign_arrow(items: DataFrame, levels: list, vec_col: str, normalize: bool)
 
 
 def collision_digit(items: DataFrame, codes_col: str = "codes", order_col: str = "id") -> DataFrame:
-    """Adds ``digit``: 0 where the codes are unique, else 1, 2, ... by the numeric ``order_col``."""
-    out = ranked(items, codes_col, F.col(order_col), [order_col], "_rank")
+    """Adds ``digit``: 0 where the codes are unique, else 1, 2, ... by ``order_col``."""
+    out = ranked(items, codes_col, [order_col], "_rank")
     return out.withColumn("digit", F.when(F.col("_rank_n") > 1, F.col("_rank").cast("int")).otherwise(0)).drop("_rank", "_rank_n")
 
 

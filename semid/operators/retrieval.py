@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semid.functions.vectors import dot, unit
+from semid.session import scratch
 
 
 def _packed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
@@ -26,6 +28,17 @@ def _packed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     return rows.select(F.col(id_col).cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "ids array<bigint>, vecs binary, width int")
 
 
+def _best(query_ids, q, key_ids, x, k: int) -> list:
+    """Query ids, key ids and scores of each query's ``k`` best keys, as columns. Sums run in the order of the dimensions, so that equal keys tie."""
+    import numpy as np
+
+    scores = np.zeros((len(q), len(x)))
+    for d in range(q.shape[1]):
+        scores += q[:, d, None] * x[None, :, d]
+    best = [np.lexsort((key_ids, -s))[:k] for s in scores]
+    return [np.repeat(query_ids, [len(o) for o in best]), np.concatenate([key_ids[o] for o in best]), np.concatenate([s[o] for s, o in zip(scores, best, strict=True)])]
+
+
 def top_k_by_dot(queries: DataFrame, keys: DataFrame, k: int, query_block: int = 256, key_block: int = 4096) -> DataFrame:
     """(query_id, key_id, score, rank): each query's ``k`` best keys by dot product, ties by the lower key.
 
@@ -41,12 +54,7 @@ def top_k_by_dot(queries: DataFrame, keys: DataFrame, k: int, query_block: int =
 
         for batch in batches:
             for qi, qv, ki, kv, width in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vecs", "ids", "vecs", "width")), strict=True):
-                q, x, ids = np.frombuffer(qv).reshape(-1, width), np.frombuffer(kv).reshape(-1, width), np.asarray(ki)
-                scores = np.zeros((len(q), len(x)))
-                for d in range(width):
-                    scores += q[:, d, None] * x[None, :, d]
-                best = [np.lexsort((ids, -s))[:k] for s in scores]
-                columns = [np.repeat(qi, [len(o) for o in best]), np.concatenate([ids[o] for o in best]), np.concatenate([s[o] for s, o in zip(scores, best, strict=True)])]
+                columns = _best(np.asarray(qi), np.frombuffer(qv).reshape(-1, width), np.asarray(ki), np.frombuffer(kv).reshape(-1, width), k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "key_id", "score"])
 
     q = _packed(queries, "query_id", query_block).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
@@ -54,6 +62,121 @@ def top_k_by_dot(queries: DataFrame, keys: DataFrame, k: int, query_block: int =
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id"))).where(F.col("rank") <= k)
 
 
+def _celled(rows: DataFrame, id_col: str, cells: list[list[float]]) -> DataFrame:
+    """(id, vec, cell): each vector's nearest of the ``cells``; null vectors are left out."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        centres = np.asarray(cells)
+        for batch in batches:
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cell = np.argmin((centres * centres).sum(1) - 2 * x @ centres.T, axis=1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(cell, pa.int32())], ["id", "vec", "cell"])
+
+    named = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    return named.mapInArrow(run, "id bigint, vec array<double>, cell int")
+
+
+BLOCK = "cell int, part int, block string, ids array<bigint>, vecs binary, width int, centre array<double>, radius double, norm double"
+
+
+def _cell_blocks(rows: DataFrame, id_col: str, cells: list[list[float]], most: int) -> DataFrame:
+    """Blocks of up to ``most`` vectors of one cell, with their mean, the largest distance from it and the mean's norm; a table in the shared folder. A cell of many vectors is packed in as many parts."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def packed(at: tuple[int, int], number: int, ids: list, vecs: list) -> pa.RecordBatch:
+            x = np.stack(vecs)
+            centre = x.mean(axis=0)
+            radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
+            row = [at[0], at[1], f"{at[0]}-{at[1]}-{number}", ids, x.tobytes(), x.shape[1], centre.tolist(), radius, float(np.linalg.norm(centre))]
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
+
+        now, number, ids, vecs = None, 0, [], []
+        for batch in batches:
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for i, (id_, cell, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "cell", "part")), strict=True)):
+                if ids and ((cell, part) != now or len(ids) == most):
+                    yield packed(now, number, ids, vecs)
+                    number, ids, vecs = (number + 1 if (cell, part) == now else 0), [], []
+                now = (cell, part)
+                ids.append(id_)
+                vecs.append(x[i])
+        if ids:
+            yield packed(now, number, ids, vecs)
+
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "cells")
+    _celled(rows, id_col, cells).write.parquet(path)
+    celled = spark.read.schema("id bigint, vec array<double>, cell int").parquet(path)
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"))
+    dealt = celled.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))  # a row for each cell
+    blocks, path = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "id").select("id", "vec", "cell", "part").mapInArrow(run, BLOCK), scratch(spark, "blocks")
+    blocks.write.parquet(path)
+    return spark.read.schema(BLOCK).parquet(path)
+
+
+class Pruned(NamedTuple):
+    top: DataFrame  # query_id, key_id, score, rank
+    blocks: DataFrame  # one row: pairs of blocks in all, and those that were skipped unread
+
+
+def top_k_pruned(queries: DataFrame, keys: DataFrame, k: int, cells: list[list[float]], query_block: int = 256, key_block: int = 4096, probes: int = 1) -> Pruned:
+    """As ``top_k_by_dot``, but key blocks that can't hold any of a query block's ``k`` best keys are skipped.
+
+    Queries and keys are packed by their nearest of ``cells`` (any vectors will do, close
+    ones prune best). Each query first meets ``probes`` parts of its own cell; its k-th best
+    score there is a bound that its final k-th best can't be below. By Cauchy-Schwarz no
+    key x of a block with mean c and radius r scores above q.c + |q| r; with the query
+    block's own mean and radius that gives a bound for the pair of blocks, which Spark
+    tests when it joins them, and the single queries' bounds leave out queries of the
+    pairs that remain. Blocks whose bound equals a score are read, so ties come out as
+    they do in the full scan. Nothing is left out without a bound.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for block, qi, qv, low, ki, kv, width, centre, radius in zip(*(batch.column(c).to_pylist() for c in ("q_block", "q_ids", "q_vecs", "low", "ids", "vecs", "width", "centre", "radius")), strict=True):
+                q, x, qi = np.frombuffer(qv).reshape(-1, width), np.frombuffer(kv).reshape(-1, width), np.asarray(qi)
+                if low:
+                    lowest, norms = dict(low), np.linalg.norm(q, axis=1)
+                    most = q @ np.asarray(centre) + norms * radius + 1e-9 * norms * (np.linalg.norm(centre) + radius)
+                    may = most >= np.asarray([lowest.get(i, -np.inf) for i in qi.tolist()])
+                    q, qi = q[may], qi[may]
+                if not len(q):
+                    continue
+                ids, found, scores = _best(qi, q, np.asarray(ki), x, k)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(scores)], ["q_block", "query_id", "key_id", "score"])
+
+    out = "q_block string, query_id bigint, key_id bigint, score double"
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
+    first = lambda x: x.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    q = _cell_blocks(queries, "query_id", cells, query_block).select(*[F.col(c).alias(f"q_{c}") for c in ("cell", "block", "ids", "vecs", "centre", "radius", "norm")])
+    x = _cell_blocks(keys, "key_id", cells, key_block)
+    own = (F.col("q_cell") == F.col("cell")) & (F.col("part") < probes)
+    probed, path = q.withColumn("low", F.lit(None).cast("map<bigint,double>")).join(x, own).mapInArrow(run, out), scratch(queries.sparkSession, "probed")
+    probed.write.parquet(path)
+    probed = queries.sparkSession.read.schema(out).parquet(path)
+    lows = first(probed).groupBy("q_block", "query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") == k)
+    lows = lows.groupBy(F.col("q_block")).agg(F.map_from_entries(F.collect_list(F.struct("query_id", "low"))).alias("low"), F.min("low").alias("lowest"))  # a query block's ids at most
+    q = q.join(lows, "q_block", "left").withColumn("lowest", F.when(F.size("low") == F.size("q_ids"), F.col("lowest")))
+    reach = (F.col("q_norm") + F.col("q_radius")) * (F.col("norm") + F.col("radius"))
+    most = dot(F.col("q_centre"), F.col("centre")) + F.col("q_norm") * F.col("radius") + F.col("norm") * F.col("q_radius") + F.col("q_radius") * F.col("radius") + 1e-9 * reach
+    met = ~own & (F.col("lowest").isNull() | (most >= F.col("lowest")))
+    rest = q.join(x, met).mapInArrow(run, out)
+    shape = ["q_cell", "q_block", "q_centre", "q_radius", "q_norm", "lowest"]
+    pairs = q.select(*shape).crossJoin(x.select("cell", "part", "centre", "radius", "norm"))
+    blocks = pairs.agg(F.count("*").alias("pairs"), F.count_if(~own & ~met).alias("skipped"))
+    return Pruned(first(probed.unionByName(rest)).drop("q_block"), blocks)
+
+
 def full_cross_entropy(queries: DataFrame, keys: DataFrame, normalize: bool = True, query_block: int = 256, key_block: int = 4096) -> DataFrame:
     """(query_id, loss): the cross entropy of each query's ``label`` against all keys by dot product; a query whose label has no key gives no row.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semid.functions.vectors import let
+from semid.session import scratch
 
 
 def hash_key(key: str | Column, seed: int | str = 42) -> Column:
@@ -24,35 +25,57 @@ def shuffled(df: DataFrame, key: str, seed: int = 42, limit: int | None = None)
     return out.limit(limit) if limit is not None else out
 
 
-def ranked(df: DataFrame, group: str, number: Column, order: list, name: str, buckets: int = 256) -> DataFrame:
-    """Adds ``name``, the rank from 1 of each row in its group by ``order``, and ``name``_n, the group's size. ``number`` never falls along that order.
+def placed(rows: DataFrame, order: list, name: str, most: int = 2_000_000) -> DataFrame:
+    """``rows`` with their places from 1 in ``order``, a list of columns.
 
-    A group's approximate percentiles of ``number`` cut it into buckets, in order; rows are
-    ranked within their bucket and behind all rows of those before, so that a very large
-    group is ranked in as many tasks. The percentiles may be inexact, the ranks are not.
+    The order is cut into ranges of about ``most`` rows, each sorted and numbered by one
+    task, behind all rows of the ranges before it. Numbered rows are a table in the shared
+    folder, so that a repeated task can't number them anew. Only rows equal in all of
+    ``order`` can't be divided.
     """
-    rows = df.withColumn("_number", number.cast("double"))
-    bounds = rows.groupBy(F.col(group).alias("_group")).agg(F.percentile_approx("_number", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("_bounds"))
-    placed = rows.join(bounds, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_number"))), F.lit(-1))).drop("_bounds", "_group")
-    held = placed.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_at")).agg(F.count("*").alias("_c"))
-    own = Window.partitionBy("_group")
-    before = held.select("_group", "_at", F.coalesce(F.sum("_c").over(own.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(own).alias(f"{name}_n"))
-    within = placed.withColumn(name, F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)))
-    out = within.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at")))
-    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_number", "_bucket", "_group", "_at", "_before")
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "placed")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // most)
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    numbered = spark.read.schema(dealt.schema).parquet(path).withColumns({"_range": F.shiftrightunsigned("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = numbered.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin"))
+    joined = numbered.join(F.broadcast(begins), "_range")  # a row for each range
+    return joined.withColumn(name, F.col("_begin") + F.col("_at") + 1).drop("_range", "_at", "_begin")
+
+
+def ranked(df: DataFrame, group: str, order: list, name: str, large: int = 1_000_000) -> DataFrame:
+    """Adds ``name``, the rank from 1 of each row in its group by ``order``, and ``name``_n, the group's size.
+
+    Groups are counted first. Where none has more than ``large`` rows a window does it all;
+    the rows of larger ones are placed in ranges of group and order, and their ranks are
+    their places behind their group's first. A null group is one too.
+    """
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(group)
+    plain = lambda x: x.withColumns({name: F.row_number().over(own.orderBy(*order)).cast("bigint"), f"{name}_n": F.count("*").over(own)})
+    hot = sizes.where(F.col("_n") > large).select("_group")
+    if hot.isEmpty():
+        return plain(df)
+    hot, same = F.broadcast(hot), F.col(group).eqNullSafe(F.col("_group"))  # a row for each ``large`` rows at most
+    numbered = placed(df.join(hot, same, "left_semi"), [group, *order], "_place")
+    firsts = numbered.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"), F.count("*").alias(f"{name}_n"))
+    wide = numbered.join(F.broadcast(firsts), same).withColumn(name, F.col("_place") - F.col("_first") + 1)
+    small = plain(df.join(hot, same, "left_anti"))
+    return small.unionByName(wide.select(small.columns))
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """Adds ``split``: in each stratum the first max(1, floor(n * fraction)) rows in hash order are 'eval' (none of a single row), the rest 'train'."""
     h = hash_key(key, seed)
-    out = ranked(df, stratum, hash_number(h), [h, key], "_rank")
+    out = ranked(df, stratum, [h, key], "_rank")
     first = F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_rank_n") * fraction))
     return out.withColumn("split", F.when((F.col("_rank_n") > 1) & first, "eval").otherwise("train")).drop("_rank", "_rank_n")
 
 
 def resample(df: DataFrame, group: str, key: str, targets: DataFrame, seed: int = 42) -> DataFrame:
     """Draws with replacement: ``targets`` (group, target) rows of each group, every draw a slot whose hash names a row's rank in its group by the numeric ``key``."""
-    rows = ranked(df, group, F.col(key), [key], "_rank").withColumn("_rank", F.col("_rank") - 1).drop("_rank_n")
+    rows = ranked(df, group, [key], "_rank").withColumn("_rank", F.col("_rank") - 1).drop("_rank_n")
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     slots = targets.join(sizes, group).where("target > 0").select(group, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("target").cast("long") - 1)).alias("slot"))
     drawn = slots.withColumn("_rank", F.pmod(hash_number(F.md5(F.concat_ws("|", F.col(group).cast("string"), F.col("slot").cast("string"), F.lit(str(seed))))), F.col("_n")))
@@ -113,8 +136,8 @@ def masked_places(n: Column, key: Column, seed: int = 42, lowest: float = 0.3, h
 
 
 def top_half(df: DataFrame, score: str, key: str) -> DataFrame:
-    """The better half of the rows by the numeric ``score``, at least one; ties by ``key``. Rows are ranked in buckets of scores, those of one score together."""
-    out = ranked(df.withColumn("_all", F.lit(0)), "_all", -F.col(score), [F.desc(score), key], "_rank")
+    """The better half of the rows by ``score``, at least one; ties by ``key``."""
+    out = ranked(df.withColumn("_all", F.lit(0)), "_all", [F.desc(score), key], "_rank")
     return out.where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_rank_n") / 2))).drop("_all", "_rank", "_rank_n")
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from semid.operators import settings
 from semid.plans.common import r6, table
 from semid.session import scratch
 from semid.streaming import streams
@@ -88,10 +89,52 @@ def stream_wealth_deltas(spark, sf_dir):
     return _drained(streams.wealth_deltas(x), spark).select("episode_id", "step", r6("delta").alias("delta"))
 
 
-NAMES = "pricing_summary regional_revenue grouping_cube rank_in_group set_operations customers_without_orders event_windows event_sessions stream_event_windows stream_wealth_deltas".split()
+def stream_idle_deltas(spark, sf_dir):
+    """A stateful stream with timers: each user's change of value against the event before, from 0 again after ten idle hours."""
+    streams.stateful(spark)
+    x = streams.idle_deltas(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", "value", idle_ms=10 * 3_600_000, late="1 day")
+    return _drained(x, spark).select("user_id", "event_id", r6("delta").alias("delta"))
+
+
+def stream_codebook(spark, sf_dir):
+    """Mini-batch centroids that a stream over the vectors leaves in its folder."""
+    path = scratch(spark, "codebook")
+    it = table(spark, sf_dir, "embeddings")
+    start = [list(r["v"]) for r in it.where("vec_id < 8").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("vec_id").collect()]  # 8 rows
+    learner = streams.CodebookLearner(spark, start, f"{path}/book")
+    source = spark.readStream.schema(it.schema).option("pathGlobFilter", "embeddings*.parquet").parquet(sf_dir).select(F.col("embedding").cast("array<double>").alias("vec"))
+    source.writeStream.foreachBatch(learner.update).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(learner.ROW).parquet(f"{path}/book/epoch={learner.epochs()[-1]}")
+    return last.select("code", F.col("n").cast("bigint").alias("n"), r6(F.get("vec", F.lit(0))).alias("v0"), r6(F.get("vec", F.lit(63))).alias("v63"))
+
+
+def props_deep_merge(spark, sf_dir):
+    """Two versions of each event's properties, nested and merged, then changed at a path."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    first = F.struct(F.struct(F.col("k").alias("value"), F.lit("first").alias("from")).alias("k"), F.struct(F.col("event_type").alias("type"), F.struct(F.col("event_id").alias("id")).alias("ref")).alias("meta"), F.lit(1).alias("version"))
+    nested = F.struct(F.struct((F.col("k") * 2).alias("value")).alias("k"), F.struct(F.struct(F.lit("x").alias("tag")).alias("ref")).alias("meta"), F.lit(2).alias("version"))
+    flat = F.struct(F.lit("gone").alias("k"), F.struct(F.lit("none").alias("ref")).alias("meta"))
+    second = F.when(F.col("event_id") % 3 == 0, F.to_json(nested)).when(F.col("event_id") % 3 == 1, F.to_json(flat)).otherwise("{}")
+    docs = e.select("event_id", F.explode(F.array(F.struct(F.lit(0).alias("level"), F.to_json(first).alias("j")), F.struct(F.lit(1).alias("level"), second.alias("j")))).alias("v"))
+    changes = e.where("event_id % 10 = 0").select(F.col("event_id").alias("id"), F.concat(F.lit("meta.note.k="), F.col("k").cast("string")).alias("override"), F.lit(0).alias("n"))
+    out = settings.deep_merge(docs.select("event_id", "v.level", F.parse_json("v.j").alias("doc")), "event_id", "doc", "level", changes)
+    read = lambda p, kind="string": settings.read(F.col("doc"), p, kind)
+    return out.select(F.col("id").alias("event_id"), read("k.value", "bigint").alias("k_value"), read("k.from").alias("k_from"), read("k").alias("k"), read("meta.type").alias("type"), read("meta.ref.id", "bigint").alias("ref_id"), read("meta.ref.tag").alias("ref_tag"), read("meta.ref").alias("ref"), read("version", "bigint").alias("version"), read("meta.note.k", "bigint").alias("note"))
+
+
+NAMES = "stream_idle_deltas stream_codebook props_deep_merge pricing_summary regional_revenue grouping_cube rank_in_group set_operations customers_without_orders event_windows event_sessions stream_event_windows stream_wealth_deltas".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 DAYS = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n{0} FROM events GROUP BY ALL"
 ORACLES = {
+    "stream_idle_deltas": "SELECT user_id, event_id, round(CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 HOUR THEN value - lag(value) OVER w ELSE 0 END, 6) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "props_deep_merge": """WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+        m AS (SELECT event_id, k, json_merge_patch(json_object('k', json_object('value', k, 'from', 'first'), 'meta', json_object('type', event_type, 'ref', json_object('id', event_id)), 'version', 1),
+          CASE event_id % 3 WHEN 0 THEN json_object('k', json_object('value', k * 2), 'meta', json_object('ref', json_object('tag', 'x')), 'version', 2) WHEN 1 THEN json_object('k', 'gone', 'meta', json_object('ref', 'none')) ELSE '{}' END) AS d FROM e)
+        SELECT event_id, CAST(d->>'$.k.value' AS BIGINT) AS k_value, d->>'$.k.from' AS k_from, CASE WHEN json_type(d, '$.k') = 'VARCHAR' THEN d->>'$.k' END AS k, d->>'$.meta.type' AS type, CAST(d->>'$.meta.ref.id' AS BIGINT) AS ref_id, d->>'$.meta.ref.tag' AS ref_tag,
+          CASE WHEN json_type(d, '$.meta.ref') = 'VARCHAR' THEN d->>'$.meta.ref' END AS ref, CAST(d->>'$.version' AS BIGINT) AS version, CASE WHEN event_id % 10 = 0 THEN k END AS note FROM m""",
+    "stream_codebook": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT vec_id AS code, v AS c FROM v WHERE vec_id < 8),
+        d AS (SELECT vec_id, v, code, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS dist FROM v, c), n AS (SELECT vec_id, any_value(v) AS v, arg_min(code, dist) AS code FROM d GROUP BY vec_id)
+        SELECT CAST(code AS INTEGER) AS code, count(*) AS n, round(avg(v[1]), 6) AS v0, round(avg(v[64]), 6) AS v63 FROM n GROUP BY code""",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
     "regional_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "grouping_cube": "SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n, CAST(grouping_id(lang, source) AS BIGINT) AS g FROM documents GROUP BY CUBE (lang, source)",

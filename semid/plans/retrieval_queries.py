@@ -1,29 +1,45 @@
-"""Queries of rankings and constrained generation. Search queries are the vectors whose id 50 divides, against all others."""
+"""Queries of rankings and constrained generation. Search queries are the vectors whose id 50 divides, against all rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from semid.operators import retrieval as R
+from semid.operators.quantize import kmeans_plus_plus
 from semid.plans.common import ITEMS_SQL, dot_sql, items, joined, r6
 from semid.plans.quantize_queries import assigned, residual_sql
 
 
-def _ranked(spark, sf_dir, k=10):
+def _search(spark, sf_dir):
     it = items(spark, sf_dir)
-    queries = it.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
-    keys = it.where("id % 50 <> 0").select(F.col("id").alias("key_id"), "vec")
-    return R.top_k_by_dot(queries, keys, k)
+    return it.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec"), it.select(F.col("id").alias("key_id"), "vec")
 
 
 def _relevant(spark, sf_dir):
+    """The ten best others of each query: it is among its own eleven best, or the eleventh is one too many."""
     labels = items(spark, sf_dir).select("id", "label")
-    top = _ranked(spark, sf_dir).join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("q")), "query_id").join(labels.select(F.col("id").alias("key_id"), F.col("label").alias("k")), "key_id")
+    others = R.top_k_by_dot(*_search(spark, sf_dir), 11).where("query_id <> key_id").drop("rank")
+    top = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id"))).where("rank <= 10")
+    top = top.join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("q")), "query_id").join(labels.select(F.col("id").alias("key_id"), F.col("label").alias("k")), "key_id")
     return top.select("query_id", "rank", (F.col("q") == F.col("k")).cast("int").alias("relevant"))
 
 
 def topk_dot_full_vocab(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("query_id", "key_id", "rank", r6("score").alias("score"))
+    return R.top_k_by_dot(*_search(spark, sf_dir), 10).select("query_id", "key_id", "rank", r6("score").alias("score"))
+
+
+def _pruned(spark, sf_dir):
+    cells = kmeans_plus_plus(items(spark, sf_dir), 16)
+    return R.top_k_pruned(*_search(spark, sf_dir), 10, cells)
+
+
+def topk_pruned(spark, sf_dir):
+    return _pruned(spark, sf_dir).top.select("query_id", "key_id", "rank", r6("score").alias("score"))
+
+
+def topk_pruned_blocks(spark, sf_dir):
+    return _pruned(spark, sf_dir).blocks
 
 
 def recall_at_k(spark, sf_dir):
@@ -68,11 +84,12 @@ def sampled_negatives_eval(spark, sf_dir):
     return R.sampled_negatives(queries, 20, (last or 0) + 1, 1, 42)
 
 
-NAMES = "topk_dot_full_vocab recall_at_k ndcg_at_k mean_ranking_metrics beam_search_constrained sid_match_eval prefix_semi_join sampled_negatives_eval".split()
+NAMES = "topk_dot_full_vocab topk_pruned topk_pruned_blocks recall_at_k ndcg_at_k mean_ranking_metrics beam_search_constrained sid_match_eval prefix_semi_join sampled_negatives_eval".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
-TOP = f"""{ITEMS_SQL},
-s AS (SELECT q.id AS query_id, k.id AS key_id, q.label AS ql, k.label AS kl, {dot_sql("q.vec", "k.vec")} AS score FROM it q, it k WHERE q.id % 50 = 0 AND k.id % 50 <> 0),
+def _top_sql(where: str) -> str:
+    return f"""{ITEMS_SQL},
+s AS (SELECT q.id AS query_id, k.id AS key_id, q.label AS ql, k.label AS kl, {dot_sql("q.vec", "k.vec")} AS score FROM it q, it k WHERE q.id % 50 = 0{where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS rank FROM s),
 t AS (SELECT query_id, key_id, rank, score, CASE WHEN ql = kl THEN 1 ELSE 0 END AS relevant FROM r WHERE rank <= 10),
 i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevant DESC, rank) AS ideal FROM t),
@@ -81,6 +98,9 @@ m AS (SELECT query_id, CAST(k AS INTEGER) AS k,
   sum(CASE WHEN rank <= k THEN relevant / log2(rank + 1.0) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= k THEN relevant / log2(ideal + 1.0) ELSE 0 END) AS idcg
   FROM i, (VALUES (5), (10)) v(k) GROUP BY query_id, k),
 n AS (SELECT query_id, k, recall, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg FROM m)"""
+
+
+ALL, TOP = _top_sql(""), _top_sql(" AND q.id <> k.id")
 BEAM = f"""{residual_sql()},
 w AS (SELECT c1, count(*) / (SELECT count(*) FROM a) AS p FROM a GROUP BY c1),
 x AS (SELECT c1, p, row_number() OVER (ORDER BY p DESC, c1) AS r1 FROM w),
@@ -89,7 +109,8 @@ z AS (SELECT x.c1, y.c2, p * p2 AS prob, row_number() OVER (ORDER BY p * p2 DESC
 u AS (SELECT DISTINCT label AS user_id FROM embeddings),
 b AS (SELECT user_id, c1, c2, prob, CAST(rank AS INTEGER) AS rank FROM u, z WHERE rank <= 5)"""
 ORACLES = {
-    "topk_dot_full_vocab": f"WITH {TOP} SELECT query_id, key_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM t",
+    "topk_dot_full_vocab": f"WITH {ALL} SELECT query_id, key_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM t",
+    "topk_pruned": f"WITH {ALL} SELECT query_id, key_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM t",
     "recall_at_k": f"WITH {TOP} SELECT query_id, k, round(recall, 6) AS recall FROM n",
     "ndcg_at_k": f"WITH {TOP} SELECT query_id, k, round(ndcg, 6) AS ndcg FROM n",
     "mean_ranking_metrics": f"WITH {TOP} SELECT 'recall@' || k AS name, round(avg(recall), 6) AS value FROM n GROUP BY k UNION ALL SELECT 'ndcg@' || k, round(avg(ndcg), 6) FROM n GROUP BY k",

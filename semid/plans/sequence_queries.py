@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from semid.operators import batches as B
 from semid.operators import sequences as S
 from semid.plans.common import items, joined, r6, table
 from semid.plans.quantize_queries import assigned, residual_sql
@@ -117,7 +118,18 @@ def declared_sequence_plan(spark, sf_dir):
     return plan.build(histories(spark, sf_dir)).select("user", joined("history").alias("history"))
 
 
-NAMES = "user_sequences seq_trim_tail seq_trim_head seq_pad_or_trim seq_attention_mask seq_remove_oov seq_min_length_filter next_k_labels identity_labels contiguous_subsequences id_to_sid_flatten id_to_embedding category_to_index_oov category_list_to_index sid_offsets sid_separators user_bin last_k_mask last_k_mean_pool first_last_pool subtoken_vectors declared_sequence_plan".split()
+def collated_batches(spark, sf_dir):
+    """Histories without item 7, their last 60 items, in batches of 16 of near length; a row for each place of a batch."""
+    out = B.batch_lines(B.collated(histories(spark, sf_dir), "user_id", ["seq"], batch_rows=16, length=60, pad=-1, oov=7), ["seq", "mask"])
+    return out.select("batch_id", "slot", F.col("key").alias("user_id"), "width", joined("seq").alias("seq"), joined("mask").alias("mask"))
+
+
+def stacked_items(spark, sf_dir):
+    out = B.stacked(items(spark, sf_dir), "id", {"vec": "embedding", "label": "category"}, batch_rows=32)
+    return B.batch_lines(out.withColumn("width", F.size("keys")), ["embedding", "category"]).select("batch_id", "slot", F.col("key").alias("id"), "width", r6(F.get("embedding", F.lit(0))).alias("v0"), "category")
+
+
+NAMES = "collated_batches stacked_items user_sequences seq_trim_tail seq_trim_head seq_pad_or_trim seq_attention_mask seq_remove_oov seq_min_length_filter next_k_labels identity_labels contiguous_subsequences id_to_sid_flatten id_to_embedding category_to_index_oov category_list_to_index sid_offsets sid_separators user_bin last_k_mask last_k_mean_pool first_last_pool subtoken_vectors declared_sequence_plan".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 H = "h AS (SELECT user_id, list(event_id % 500 ORDER BY ts, event_id) AS seq FROM events GROUP BY user_id)"
@@ -133,6 +145,11 @@ def _map(expr):
 
 
 ORACLES = {
+    "collated_batches": f"""WITH {H}, c AS (SELECT user_id, list_filter(seq, lambda x: x <> 7) AS f FROM h), t AS (SELECT user_id, f[greatest(len(f) - 59, 1):] AS s FROM c),
+        o AS (SELECT *, row_number() OVER (ORDER BY len(s), md5(user_id || '|42'), user_id) - 1 AS place FROM t), b AS (SELECT *, place // 16 AS batch_id, place % 16 AS slot FROM o), w AS (SELECT *, max(len(s)) OVER (PARTITION BY batch_id) AS width FROM b)
+        SELECT batch_id, CAST(slot AS INTEGER) AS slot, user_id, CAST(width AS INTEGER) AS width, {J.format(PAD.format("width"))} AS seq, array_to_string(list_transform(range(width), lambda i: CASE WHEN i < len(s) THEN 1 ELSE 0 END), ',') AS mask FROM w""",
+    "stacked_items": """WITH o AS (SELECT *, row_number() OVER (ORDER BY md5(vec_id || '|42'), vec_id) - 1 AS place FROM embeddings), b AS (SELECT *, place // 32 AS batch_id FROM o)
+        SELECT batch_id, CAST(place % 32 AS INTEGER) AS slot, vec_id AS id, CAST(count(*) OVER (PARTITION BY batch_id) AS INTEGER) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS v0, label AS category FROM b""",
     "user_sequences": f"WITH {H} SELECT user_id, CAST(len(seq) AS INTEGER) AS n, {J.format('seq')} AS seq FROM h",
     "seq_trim_tail": _map("seq[greatest(len(seq) - 19, 1):]"),
     "seq_trim_head": _map("seq[1:20]"),

@@ -60,7 +60,7 @@ def bytes_per_token(spark, sf_dir):
 def ratio_percentiles(spark, sf_dir):
     """Median, and the element at min(n - 1, int(0.95 n)) of the sorted ratios, per source: positions come from ranks, no list is gathered."""
     x = _docs(spark, sf_dir).select("source", "doc_id", (T.word_count(F.col("text")) / T.piece_count(F.col("text"))).alias("ratio"))
-    y = ranked(x, "source", F.col("ratio"), ["ratio", "doc_id"], "r").withColumns({"i": F.col("r") - 1, "n": F.col("r_n")})
+    y = ranked(x, "source", ["ratio", "doc_id"], "r").withColumns({"i": F.col("r") - 1, "n": F.col("r_n")})
     value = lambda at: F.max(F.when(F.col("i") == at, F.col("ratio")))
     middle = (value(F.floor((F.col("n") - 1) / 2)) + value(F.floor(F.col("n") / 2))) / 2
     return y.groupBy("source").agg(r6(middle).alias("median"), r6(value(F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n"))))).alias("p95"))
