@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semid.functions.vectors import let, unit
+from semid.session import scratch
 
 # Patterns that results depend on.
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
@@ -238,18 +239,31 @@ def mine_identifiers(texts: DataFrame, text_col: str = "text", min_frequency: in
     return kept.where("current_subtokens > 1").withColumns({"score": F.col("frequency") * F.col("current_subtokens"), "strategy": F.lit("identifiers")})
 
 
+def piece_runs(texts: DataFrame, text_col: str, most: int) -> DataFrame:
+    """(_g0, _g1, ...): each piece of a text and the ``most`` - 1 behind it, null behind the text's end."""
+    names, size = [f"_g{i}" for i in range(most)], F.size("_p")
+    behind = [F.when(size > i, F.slice("_p", F.lit(i + 1), F.greatest(size - i, F.lit(0)))) for i in range(most)]
+    zipped = F.arrays_zip(*[F.coalesce(b, F.array().cast("array<string>")).alias(n) for b, n in zip(behind, names, strict=True)])
+    return texts.select(pieces(F.col(text_col)).alias("_p")).select(F.explode(zipped).alias("_g")).select("_g.*")
+
+
 def mine_ngrams(texts: DataFrame, text_col: str = "text", sizes: tuple[int, ...] = (2, 3), min_frequency: int = 25) -> DataFrame:
-    """Candidates among n-grams of pieces within a text, that are not identifiers. Of n-grams with one surface the most frequent counts (then the longer)."""
-    most = max(sizes)
-    names = [f"_g{i}" for i in range(most)]
-    size = F.size("_p")
-    behind = [F.when(size > i, F.slice("_p", F.lit(i + 1), F.greatest(size - i, F.lit(0)))).alias(f"_g{i}") for i in range(most)]
-    rows = texts.select(pieces(F.col(text_col)).alias("_p")).where(size >= min(sizes)).select(F.explode(F.arrays_zip(*[F.coalesce(b, F.array().cast("array<string>")).alias(n) for b, n in zip(behind, names, strict=True)])).alias("_g")).select("_g.*")
-    # One pass counts the n-grams of all sizes, as grouping sets over the first n pieces; a text's end leaves some without their last piece.
-    counts = rows.groupingSets([names[:n] for n in sizes], *names).agg(F.count("*").alias("frequency"), F.grouping_id().alias("_id")).where(F.col("frequency") >= min_frequency)
-    n = F.element_at(F.create_map(*[F.lit(x) for k in sizes for x in ((1 << (most - k)) - 1, k)]), F.col("_id").cast("int"))
-    whole = counts.withColumn("_parts", F.slice(F.array(*names), F.lit(1), n)).where(F.forall("_parts", lambda p: p.isNotNull()))
-    parts = whole.withColumns({"token": surface(F.col("_parts")), "current_subtokens": F.size("_parts")})
+    """Candidates among n-grams of pieces within a text, that are not identifiers. Of n-grams with one surface the most frequent counts (then the longer).
+
+    Hashes are counted first, one number for each n-gram; only n-grams whose hash is
+    frequent enough, few of all there are, are then counted as strings, which also tells
+    those apart that share a hash.
+    """
+    spark, names = texts.sparkSession, [f"_g{i}" for i in range(max(sizes))]
+    hash_of = lambda n: F.when(F.col(names[n - 1]).isNotNull(), F.xxhash64(*names[:n]))
+    rows = piece_runs(texts, text_col, max(sizes))
+    hashes = rows.select(F.explode(F.array(*[hash_of(n) for n in sizes])).alias("_h")).where("_h is not null")
+    path = scratch(spark, "ngrams")
+    hashes.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_frequency).select("_h").write.parquet(path)
+    sized = rows.select(*names, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), hash_of(n).alias("h")) for n in sizes])).alias("_s")).select(*names, F.col("_s.n").alias("_size"), F.col("_s.h").alias("_h"))
+    asked = sized.join(spark.read.schema("_h bigint").parquet(path), "_h", "left_semi")
+    counts = asked.groupBy("_size", *[F.when(F.col("_size") > i, F.col(n)).alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("frequency")).where(F.col("frequency") >= min_frequency)
+    parts = counts.withColumns({"token": surface(F.slice(F.array(*names), F.lit(1), F.col("_size"))), "current_subtokens": F.col("_size")})
     kept = parts.where((F.length("token") >= 3) & ~F.col("token").rlike(f"^{IDENTIFIER}$"))
     best = kept.groupBy("token").agg(F.max(F.struct("frequency", "current_subtokens")).alias("b")).select("token", "b.*")
     return best.withColumns({"score": F.col("frequency") * F.col("current_subtokens"), "strategy": F.lit("ngrams")})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semid.functions.vectors import scale, unit
-from semid.session import scratch
+from semid.session import stored
 
 MARKER = "__COMMIT__"
 
@@ -59,31 +59,48 @@ def children(definitions: DataFrame, name: str = "name", parent: str = "parent")
     return definitions.select(name).join(of, name, "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
 
 
-def ancestors(definitions: DataFrame, depth: int = 32) -> DataFrame:
+def _jumps(links: DataFrame, most: int) -> DataFrame:
+    """(name, to): where every chain of ``links`` (name, to) stands after at least ``most`` steps, of those that go on for so long. Each round doubles the steps."""
+    steps = 1
+    while steps < most and not links.isEmpty():
+        links = stored(links.join(links.select(F.col("name").alias("to"), F.col("to").alias("then")), "to").select("name", F.col("then").alias("to")), "jumps")
+        steps *= 2
+    return links
+
+
+def ancestors(definitions: DataFrame) -> DataFrame:
     """(name, ancestor, depth), itself at 0. Chains stop at a missing parent, and at a name they have passed already.
 
-    One join for each level, written to the shared folder, until no chain grows; ``depth`` is an error bound, not a cut:
-    a longer chain raises.
+    Chains of 1, 2, 4, ... links are joined end to end, so a chain of any length takes as
+    many rounds as its length has binary digits; each round is a table in the shared folder.
+    Names that go round in a circle are those where chains longer than the number of names
+    end: their links are taken apart and followed one by one, the other chains end at the
+    first of them and go on with its own.
     """
-    links = definitions.select(F.col("name").alias("at"), "parent").where("parent is not null")
-    known = definitions.select(F.col("name").alias("parent_known"))
-    front = definitions.select("name", F.col("name").alias("at"), F.lit(0).alias("depth"), F.array("name").alias("path"))
-    out = [front]
-    for level in range(1, depth + 1):
-        front = front.join(links, "at").join(known, F.col("parent") == F.col("parent_known")).where(~F.array_contains("path", F.col("parent"))).select("name", F.col("parent").alias("at"), F.lit(level).alias("depth"), F.concat("path", F.array("parent")).alias("path"))
-        path, kind = scratch(front.sparkSession, "ancestors"), front.schema
-        front.write.parquet(path)
-        front = front.sparkSession.read.schema(kind).parquet(path)
-        if front.isEmpty():
-            return reduce(DataFrame.unionByName, out).select("name", F.col("at").alias("ancestor"), "depth")
-        out.append(front)
-    raise ValueError(f"inheritance deeper than {depth}")
-
-
-def inherited_fields(definitions: DataFrame, fields: DataFrame, depth: int = 32) -> DataFrame:
+    names = definitions.select("name")
+    links = definitions.select("name", F.col("parent").alias("to")).join(names.select(F.col("name").alias("to")), "to", "left_semi").select("name", "to")
+    links = stored(links, "links")
+    circle = stored(_jumps(links, names.count()).select(F.col("to").alias("name")).distinct(), "circles")
+    jumps = stored(links.join(circle, "name", "left_anti").withColumn("n", F.lit(1)), "chains")
+    chains = names.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("depth"))
+    while not jumps.isEmpty():
+        further = jumps.join(chains.select(F.col("name").alias("to"), "ancestor", "depth"), "to").select("name", "ancestor", (F.col("depth") + F.col("n")).alias("depth"))
+        chains = stored(chains.unionByName(further), "chains")
+        jumps = stored(jumps.join(jumps.select(F.col("name").alias("to"), F.col("to").alias("then"), F.col("n").alias("more")), "to").select("name", F.col("then").alias("to"), (F.col("n") + F.col("more")).alias("n")), "jumps")
+    around = []
+    front = stored(links.join(circle, "name", "left_semi").select("name", F.col("to").alias("ancestor"), F.lit(1).alias("depth")).where("name <> ancestor"), "circles")
+    while not front.isEmpty():
+        around.append(front)
+        front = stored(front.join(links.select(F.col("name").alias("ancestor"), "to"), "ancestor").where("to <> name").select("name", F.col("to").alias("ancestor"), (F.col("depth") + 1).alias("depth")), "circles")
+    if not around:
+        return chains
+    rest = reduce(DataFrame.unionByName, around).select(F.col("name").alias("entry"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+    return chains.unionByName(chains.join(rest, F.col("ancestor") == F.col("entry")).select("name", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")))
+
+
+def inherited_fields(definitions: DataFrame, fields: DataFrame) -> DataFrame:
     """(name, path, value): every leaf of a definition and its ancestors, the nearest winning. A list is one leaf and is replaced as a whole. ``fields`` is (name, path, value)."""
-    chain = ancestors(definitions, depth)
-    own = chain.join(fields.select(F.col("name").alias("ancestor"), "path", "value"), "ancestor")
+    own = ancestors(definitions).join(fields.select(F.col("name").alias("ancestor"), "path", "value"), "ancestor")
     return own.groupBy("name", "path").agg(F.min_by("value", "depth").alias("value"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from semid.functions.vectors import sqdist, subtract, unit, vector_of
 from semid.operators.sampling import ranked
+from semid.session import stored
 
 
 def codebook_rows(codebook: DataFrame) -> list[list[list[float]]]:
@@ -152,6 +153,53 @@ def kmeans_plus_plus(items: DataFrame, k: int, seed: int = 0, vec_col: str = "ve
     return x[chosen].tolist()
 
 
+def _squares(items: DataFrame, centres: list[list[float]], vec_col: str, id_col: str) -> DataFrame:
+    """(id, vec, code, d): the nearest of ``centres`` and the squared distance to it, in matrix products a batch."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        c = np.asarray(centres)
+        for batch in batches:
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            code = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1) if batch.num_rows else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(code, pa.int32()), pa.array(((x - c[code]) ** 2).sum(1) if batch.num_rows else [], pa.float64())], ["id", "vec", "code", "d"])
+
+    rows = items.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, vec array<double>, code int, d double")
+
+
+def kmeans_parallel(items: DataFrame, k: int, seed: int = 0, vec_col: str = "vec", id_col: str = "id", rounds: int = 5, factor: float = 2.0) -> list[list[float]]:
+    """Seeds from all items (k-means||): in each round every item is drawn with a chance of ``factor`` * k times its share of the squared distances to the seeds so far.
+
+    Draws are hashes of id and round. The items nearest to each of the drawn seeds, about
+    ``factor`` * k * ``rounds`` and the first, are counted, and weighted k-means++ on the
+    driver, whose input depends on these three numbers alone, reduces them to ``k``. Items
+    of no distance are never drawn; fewer different items than ``k`` are repeated.
+    """
+    import numpy as np
+
+    draw = lambda r: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(f"{seed}|{r}"))), 1, 12), 16, 10).cast("double") / 16.0**12
+    centres = random_seeds(items, 1, seed, vec_col, id_col)
+    for r in range(rounds):
+        far = _squares(items, centres, vec_col, id_col)
+        cost = far.agg(F.sum("d")).first()[0]
+        if not cost:
+            break
+        drawn = far.where(draw(r) < F.lit(factor * k) * F.col("d") / F.lit(float(cost))).select("vec", "id").orderBy("id").collect()  # about factor * k
+        centres += [list(x["vec"]) for x in drawn]
+    held = {x["code"]: x["count"] for x in _squares(items, centres, vec_col, id_col).groupBy("code").count().collect()}
+    x, w, rng = np.asarray(centres), np.asarray([float(held.get(i, 0)) for i in range(len(centres))]), np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(x), p=w / w.sum()))]
+    d = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        p = w * d
+        chosen.append(int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 0 else chosen[len(chosen) % len(set(chosen))])
+        d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen].tolist()
+
+
 def random_seeds(items: DataFrame, k: int, seed: int = 0, vec_col: str = "vec", id_col: str = "id") -> list[list[float]]:
     """``k`` items in hash order, repeated from the start if there are fewer."""
     rows = items.orderBy(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))).limit(k).select(F.col(vec_col).cast("array<double>").alias("v")).collect()
@@ -161,7 +209,7 @@ def random_seeds(items: DataFrame, k: int, seed: int = 0, vec_col: str = "vec",
 def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, seed: int = 0, normalize: bool = True, vec_col: str = "vec", id_col: str = "id", tolerance: float = 0.0, rule: str = "minibatch", seeds_of: Callable[..., list[list[float]]] = kmeans_plus_plus) -> DataFrame:
     """Residual k-means, one level after the other: seed (by ``kmeans_plus_plus``, ``random_seeds`` or a function like them), update ``steps`` times (or until no centroid moves more than ``tolerance``), then quantize what is left. Returns (level, code, vec).
 
-    Items that are read in each step should be cached or written by the caller.
+    What each level has to quantize is a table in the shared folder, read in each of its steps.
     """
     spark = items.sparkSession
     left = items.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -169,6 +217,7 @@ def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, se
     for level in range(levels):
         if normalize:
             left = left.withColumn("vec", unit(F.col("vec")))
+        left = stored(left, "residuals")
         centroids = seeds_of(left, size, seed + level, "vec", "id")
         counts, sizes, sums = [0.0] * size, [0.0] * size, [[0.0] * len(centroids[0]) for _ in range(size)]
         for _ in range(steps):
@@ -221,15 +270,28 @@ def project_rows(vectors: list[list[float]], width: int, target_norm: float, see
 
 
 def principal_axes(items: DataFrame, width: int, axes: int = 2, vec_col: str = "vec") -> tuple[list[float], list[list[float]]]:
-    """Mean and leading axes from one aggregate of the covariance (width * width numbers)."""
+    """Mean and leading axes of the vectors of ``width`` numbers.
+
+    A task adds up its vectors and their outer products about the first vector of all (one
+    matrix product a batch), and the tasks' sums, width * width numbers each, are merged as a tree.
+    """
     import numpy as np
+    import pyarrow as pa
 
-    v = F.col(vec_col).cast("array<double>")
-    sums = items.select(v.alias("v")).agg(F.count("*").alias("n"), vector_of(F.sum, "v", width).alias("s"), F.array(*[F.sum(F.get("v", F.lit(i)) * F.get("v", F.lit(j))) for i in range(width) for j in range(i + 1)]).alias("p")).first()
-    mean, p = np.asarray(sums["s"]) / sums["n"], iter(sums["p"])
-    cov = np.zeros((width, width))
-    for i in range(width):
-        for j in range(i + 1):
-            cov[i, j] = cov[j, i] = next(p) / sums["n"] - mean[i] * mean[j]
-    values, vectors = np.linalg.eigh(cov)
-    return mean.tolist(), vectors[:, np.argsort(values)[::-1][:axes]].T.tolist()
+    rows = items.select(F.col(vec_col).cast("array<double>").alias("v")).where(F.size("v") == width)
+    first = rows.first()
+    if first is None:
+        raise ValueError("no vectors of this width")
+    about = np.asarray(first["v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - about
+            n, total, products = n + len(x), total + x.sum(0), products + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], total, products.ravel()]).tobytes()], pa.binary())], ["sums"])
+
+    sums = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"])).treeReduce(np.add)
+    n, mean, products = sums[0], sums[1 : width + 1] / sums[0], sums[width + 1 :].reshape(width, width)
+    values, vectors = np.linalg.eigh(products / n - np.outer(mean, mean))
+    return (mean + about).tolist(), vectors[:, np.argsort(values)[::-1][:axes]].T.tolist()

@@ -8,6 +8,7 @@ from semid.functions import text as T
 from semid.operators.sampling import ranked
 from semid.plans.common import joined, r6, table
 from semid.plans.quantize_queries import assigned, residual_sql
+from semid.session import stored
 
 
 def _docs(spark, sf_dir):
@@ -27,7 +28,7 @@ def mine_ngrams(spark, sf_dir):
 
 
 def _merged(spark, sf_dir, identifiers_first: bool):
-    a, b = T.mine_identifiers(_docs(spark, sf_dir)), T.mine_ngrams(_docs(spark, sf_dir))
+    a, b = (stored(x, "candidates") for x in (T.mine_identifiers(_docs(spark, sf_dir)), T.mine_ngrams(_docs(spark, sf_dir))))
     return T.merge_candidates(a, b) if identifiers_first else T.merge_candidates(b, a)
 
 
