@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from semid.functions.text import SID_IN_TEXT
 from semid.functions.vectors import let
+from semid.operators.sampling import placed
 
 STATE = (
     "struct<colonists: array<struct<name: string, mood: double, health: double, job: string>>, resources: map<string, double>, research_progress: map<string, double>,"
@@ -15,6 +16,9 @@ STATE = (
 STEP = f"struct<step: int, game_tick: bigint, screenshots: array<string>, game_state: {STATE}, visible_sids: array<string>, reasoning: string, actions: array<struct<action: string, params: map<string, string>, reason: string>>, reward: map<string, double>>"
 EPISODE = f"episode_id string, game_seed string, scenario string, difficulty string, total_steps int, total_reward double, steps array<{STEP}>"
 
+#: Scores that are summed up together.
+RANGE = 100_000
+
 # Reward coefficients.
 WEIGHTS = {
     "quest_progress": 2.0,
@@ -131,7 +135,9 @@ def quest_delta(before: Column, after: Column) -> Column:
         same = F.filter(before["quests_active"], lambda q: q["name"] == name)
         return F.coalesce(parse_progress(F.get(same, F.size(same) - 1)["progress"]), F.lit(0.0))
 
-    named = F.filter(after["quests_active"], lambda q: F.coalesce(q["name"], F.lit("")) != "")
+    # Of quests of one name the last one counts.
+    last = F.filter(after["quests_active"], lambda q, i: ~F.exists(F.slice(after["quests_active"], i + 2, F.size(after["quests_active"]) + 1), lambda r: r["name"].eqNullSafe(q["name"])))
+    named = F.filter(last, lambda q: F.coalesce(q["name"], F.lit("")) != "")
     return total_of(F.transform(named, lambda q: parse_progress(q["progress"]) - had(q["name"])))
 
 
@@ -213,7 +219,7 @@ def parse_actions(turns: DataFrame, key: str, text: str) -> DataFrame:
         at = F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("i"), k.alias("k"))), lambda x: ~F.array_contains(F.slice(keys, x["i"] + 2, F.size(keys) + 1), x["k"]))
         return F.map_from_entries(F.transform(at, lambda x: F.struct(x["k"], F.get(names(2), x["i"]))))
 
-    action = F.when(F.col("block").rlike("<ACT:([^>]+)>"), F.trim(F.regexp_extract("block", "<ACT:([^>]+)>", 1))).otherwise(F.raise_error(F.lit("no <ACT:...> tag found in action block")))
+    action = F.when(F.col("block").rlike("<ACT:([^>]+)>"), F.trim(F.regexp_extract("block", "<ACT:([^>]+)>", 1))).otherwise(F.raise_error(F.lit("an action block names no action")))
     return blocks.select(key, "pos", action.alias("action"), let(names(1), last_wins).alias("params"), F.trim(F.regexp_extract("block", "(?s)<REASON>(.*?)</REASON>", 1)).alias("reason"))
 
 
@@ -252,6 +258,13 @@ def render_state(state: Column) -> Column:
 
 
 def self_play_metrics(episodes: DataFrame, score: str) -> DataFrame:
-    """Mean, best, and the element n // 2 of the scores in descending order. Scores are one number an episode of an iteration."""
-    s = F.sort_array(F.collect_list(score), asc=False)
-    return episodes.agg(F.avg(score).alias("mean"), F.max(score).alias("best"), F.get(s, F.floor(F.size(s) / 2).cast("int")).alias("middle"))
+    """Mean, best, and the element n // 2 of the scores in descending order, found by counts: of each score, then of those above it."""
+    held = episodes.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"))
+    whole = episodes.agg(F.avg(score).alias("mean"), F.max(score).alias("best"), F.count(score).alias("n"))
+    ranks = placed(held, [F.desc("s")], "place")
+    upto = ranks.withColumn("range", F.floor((F.col("place") - 1) / RANGE))
+    before = upto.groupBy("range").agg(F.sum("c").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range", "before")  # a row for each range
+    last = F.col("before") + F.sum("c").over(Window.partitionBy("range").orderBy("place"))
+    spread = upto.join(F.broadcast(before), "range").withColumn("last", last)
+    middle = spread.crossJoin(F.broadcast(whole.select("n"))).where((F.col("last") > F.floor(F.col("n") / 2)) & (F.col("last") - F.col("c") <= F.floor(F.col("n") / 2))).agg(F.max("s").alias("middle"))
+    return whole.crossJoin(F.broadcast(middle)).select("mean", "best", "middle")  # one row each

@@ -28,7 +28,11 @@ def cooccurrence_graph(pairs: DataFrame, group: str, item: str, least: int = 2,
     Groups beyond ``most`` are left out by definition, so a group gives at most
     most * (most - 1) pairs; they are formed inside a row, without a self-join.
     """
-    sets = pairs.groupBy(group).agg(F.collect_set(item).alias("items")).where(F.size("items").between(least, most))
+    members = pairs.select(F.col(group).alias("_g"), F.col(item).alias("_i")).where("_i is not null").distinct()
+    # Counted before anything is collected: a group of any size is never a list unless it stays.
+    fit = members.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n").between(least, most)).select(F.col("_g").alias("_fit"))
+    kept = members.join(fit, F.col("_g").eqNullSafe(F.col("_fit")), "left_semi")
+    sets = kept.groupBy("_g").agg(F.collect_list("_i").alias("items"))
     edges = sets.select(F.explode("items").alias("src"), "items").select("src", F.explode("items").alias("dst")).where("src <> dst")
     counts = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
     return counts.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("src")))

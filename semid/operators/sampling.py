@@ -103,6 +103,26 @@ def interleave_count(others: Column, fraction: float) -> Column:
     return F.floor(others * fraction / max(1e-6, 1 - fraction))
 
 
+def interleaved(main: DataFrame, others: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
+    """All rows of ``main`` and as many of ``others`` as make ``fraction`` of the whole, with their ``place`` in one shuffled order.
+
+    ``others`` are drawn without replacement, the first in hash order, while there are
+    enough, else with replacement: each draw a slot whose hash names a row. Both tables
+    have the same columns; ``slot`` tells repeated draws apart and is 0 elsewhere.
+    """
+    columns, n_main, n_others = main.columns, main.count(), others.count()
+    wanted = int(n_main * fraction / max(1e-6, 1 - fraction)) if n_others else 0
+    order = placed(others.withColumn("_h", hash_key(key, seed)), ["_h", key], "_row")
+    if wanted <= n_others:
+        drawn = order.where(F.col("_row") <= wanted).select(*columns, F.lit(0).cast("bigint").alias("slot"))
+    else:
+        slots = others.sparkSession.range(wanted).select(F.col("id").alias("slot"), (F.pmod(hash_number(F.md5(F.concat_ws("|", F.lit("slot"), F.col("id").cast("string"), F.lit(str(seed))))), F.lit(n_others)) + 1).alias("_row"))
+        drawn = slots.join(order, "_row").select(*columns, "slot")
+    both = main.select(*columns, F.lit(0).cast("bigint").alias("slot"), F.lit(0).alias("_from")).unionByName(drawn.withColumn("_from", F.lit(1)))
+    mixed = both.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("slot").cast("string"), F.col("_from").cast("string"), F.lit(str(seed)))))
+    return placed(mixed, ["_h", "_from", key, "slot"], "place").drop("_h", "_from")
+
+
 def ratio_bucket(key: str | Column, ratios: dict[str, float], default: str, seed: int | str = "") -> Column:
     """The first name whose cumulative ratio exceeds the key's hash in [0, 1), by thousandths."""
     share, out, upto = F.pmod(hash_number(hash_key(key, seed)), F.lit(1000)), None, 0.0

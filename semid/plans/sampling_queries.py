@@ -57,7 +57,30 @@ def interleave_counts(spark, sf_dir):
     return x.select("lang", "n", S.interleave_count(F.col("n"), 0.25).cast("bigint").alias("more"))
 
 
-NAMES = "stratified_split weighted_resample mix_resample format_bucket fim_render mask_tokens hash_shuffle_limit top_half_events interleave_counts".split()
+def _interleaved(spark, sf_dir, fraction):
+    docs = _docs(spark, sf_dir).select("doc_id", "lang")
+    return S.interleaved(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), "doc_id", fraction).select("place", "doc_id", "lang", "slot")
+
+
+def interleaved_examples(spark, sf_dir):
+    """Other languages as a fifth of all: fewer than there are."""
+    return _interleaved(spark, sf_dir, 0.2)
+
+
+def interleaved_with_repeats(spark, sf_dir):
+    """Other languages as four fifths: more than there are."""
+    return _interleaved(spark, sf_dir, 0.8)
+
+
+def _interleaved_sql(fraction):
+    return f"""WITH m AS (SELECT doc_id, lang FROM documents WHERE lang = 'en'), o AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) AS r FROM documents WHERE lang <> 'en'),
+        w AS (SELECT CAST(trunc((SELECT count(*) FROM m) * CAST({fraction} AS DOUBLE) / (1 - CAST({fraction} AS DOUBLE))) AS BIGINT) AS w, (SELECT count(*) FROM o) AS n),
+        d AS (SELECT doc_id, lang, 0 AS slot FROM o, w WHERE w <= n AND r <= w UNION ALL SELECT doc_id, lang, slot FROM (SELECT CAST(unnest(range(w)) AS BIGINT) AS slot, n FROM w WHERE w > n) s JOIN o ON r = CAST('0x' || substr(md5('slot|' || slot || '|42'), 1, 12) AS BIGINT) % n + 1),
+        b AS (SELECT doc_id, lang, 0 AS slot, 0 AS f FROM m UNION ALL SELECT doc_id, lang, slot, 1 FROM d)
+        SELECT row_number() OVER (ORDER BY md5(doc_id || '|' || slot || '|' || f || '|42'), f, doc_id, slot) AS place, doc_id, lang, CAST(slot AS BIGINT) AS slot FROM b"""
+
+
+NAMES = "interleaved_examples interleaved_with_repeats stratified_split weighted_resample mix_resample format_bucket fim_render mask_tokens hash_shuffle_limit top_half_events interleave_counts".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 
@@ -77,6 +100,8 @@ SELECT lang, slot, doc_id FROM d JOIN r USING (lang, r)"""
 A = f"({number('doc_id || ' + chr(39) + '|42a' + chr(39))} % length(text))"
 B = f"(({A} + 1 + {number('doc_id || ' + chr(39) + '|42b' + chr(39))} % (length(text) - 1)) % length(text))"
 ORACLES = {
+    "interleaved_examples": _interleaved_sql(0.2),
+    "interleaved_with_repeats": _interleaved_sql(0.8),
     "stratified_split": "WITH x AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|42'), doc_id) AS r FROM documents) SELECT doc_id, source, CASE WHEN n > 1 AND r <= greatest(1, floor(n * 0.1)) THEN 'eval' ELSE 'train' END AS split FROM x",
     "weighted_resample": resample_sql("(SELECT sum(n) FROM s) * CAST(w AS DOUBLE)", 42),
     "mix_resample": resample_sql("(SELECT max(n) FROM s) * CAST(w AS DOUBLE) / (SELECT sum(CAST(w AS DOUBLE)) FROM s) * (SELECT count(*) FROM s)", 7),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semid.operators.graphs import children, inherited_fields, references
+from semid.sources.csharp import types
 
 ENTITY = "name string, kind string, file_path string, body string, signature string, docstring string, parent string, children array<string>, language string, start_line int, end_line int"
 DEFINITION = "pos bigint, name string, handle string, def_type string, parent string, abstract boolean, label string, description string, path string, value string, file_path string"
@@ -39,25 +40,12 @@ def python_entities(text: str, file_path: str) -> Iterator[tuple]:
     yield from walk(tree, None)
 
 
-CS_TYPE = re.compile(r"\b(class|struct|interface|enum)\s+(\w+)(?:<[^>{]*>)?\s*(?::\s*([\w.]+))?")
-CS_METHOD = re.compile(r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed)\s+)+[\w<>\[\],.?]+\s+(\w+)\s*\(", re.M)
-
-
 def csharp_entities(text: str, file_path: str, roots: tuple[str, ...] = ()) -> Iterator[tuple]:
-    """Types of C# sources, by patterns rather than a grammar: name, kind, first base (as ``parent``) and methods; only of namespaces below ``roots``, if given."""
-    space = re.search(r"\bnamespace\s+([\w.]+)", text)
-    if roots and not (space and space[1].split(".")[0] in roots):
-        return
-    for m in CS_TYPE.finditer(text):
-        start, depth = text.find("{", m.end()), 0
-        end = start
-        for end in range(start, len(text)) if start >= 0 else ():
-            depth += (text[end] == "{") - (text[end] == "}")
-            if not depth:
-                break
-        body = text[m.start() : end + 1]
-        line = text.count("\n", 0, m.start()) + 1
-        yield m[2], m[1], file_path, body, body.split("\n", 1)[0].strip(), None, m[3], list(dict.fromkeys(CS_METHOD.findall(body))), "csharp", line, line + body.count("\n")
+    """Types of C# sources: name, kind, first base (as ``parent``) and methods; only of namespaces below ``roots``, if given."""
+    for t in types(text):
+        if not roots or t.namespace.split(".")[0] in roots:
+            body, line = text[t.start : t.end], text.count("\n", 0, t.start) + 1
+            yield t.name, t.kind, file_path, body, body.split("\n", 1)[0].strip(), None, t.parent, list(dict.fromkeys(t.methods)), "csharp", line, line + body.count("\n")
 
 
 def extract_entities(files: DataFrame, language: str = "python", **options) -> DataFrame:

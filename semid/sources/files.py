@@ -77,9 +77,9 @@ def corpus(spark: SparkSession, blobs: list[DataFrame], markdown: str | None = N
     return out.where(F.trim("text") != "")
 
 
-def episodes(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/*/episode.json`` with the defaults of missing fields; unknown fields are left out."""
-    raw = spark.read.schema(EPISODE).option("multiLine", True).json(f"{root}/*/episode.json")
+def episodes(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
+    """``<root>/*/episode.json``, a file for each episode or, with ``lines``, a line as ``write_episodes`` makes them, with the defaults of missing fields; unknown fields are left out."""
+    raw = spark.read.schema(EPISODE).option("multiLine", not lines).json(f"{root}/*/episode.json")
     blank = {"game_seed": "", "scenario": "crashlanded", "difficulty": "strive_to_survive"}
     return raw.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in blank.items()} | {"steps": F.coalesce("steps", F.array())})
 
