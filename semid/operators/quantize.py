@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semid.functions.vectors import sqdist, subtract, unit, vector_of
-from semid.operators.sampling import ranked
+from semid.operators.sampling import placed, ranked
 from semid.session import stored
 
 
@@ -206,10 +206,11 @@ def random_seeds(items: DataFrame, k: int, seed: int = 0, vec_col: str = "vec",
     return [list(rows[i % len(rows)]["v"]) for i in range(k)]
 
 
-def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, seed: int = 0, normalize: bool = True, vec_col: str = "vec", id_col: str = "id", tolerance: float = 0.0, rule: str = "minibatch", seeds_of: Callable[..., list[list[float]]] = kmeans_plus_plus) -> DataFrame:
+def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, seed: int = 0, normalize: bool = True, vec_col: str = "vec", id_col: str = "id", tolerance: float = 0.0, rule: str | Callable[[DataFrame, list, dict], list] = "minibatch", seeds_of: Callable[..., list[list[float]]] = kmeans_plus_plus) -> DataFrame:
     """Residual k-means, one level after the other: seed (by ``kmeans_plus_plus``, ``random_seeds`` or a function like them), update ``steps`` times (or until no centroid moves more than ``tolerance``), then quantize what is left. Returns (level, code, vec).
 
-    What each level has to quantize is a table in the shared folder, read in each of its steps.
+    ``rule`` is "minibatch", "ema" or a function of the items, the centroids and a dictionary
+    that it may keep things in from step to step, which gives the next centroids. What each level has to quantize is a table in the shared folder, read in each of its steps.
     """
     spark = items.sparkSession
     left = items.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -220,9 +221,12 @@ def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, se
         left = stored(left, "residuals")
         centroids = seeds_of(left, size, seed + level, "vec", "id")
         counts, sizes, sums = [0.0] * size, [0.0] * size, [[0.0] * len(centroids[0]) for _ in range(size)]
+        kept: dict = {}
         for _ in range(steps):
             before = centroids
-            if rule == "ema":
+            if callable(rule):
+                centroids = rule(left, centroids, kept)
+            elif rule == "ema":
                 centroids, sizes, sums = ema_step(left, centroids, sizes, sums)
                 seeds = dict(enumerate(random_seeds(left, size, seed + level + 1, "vec", "id")))
                 centroids = [seeds[i] if s < 1e-12 else c for i, (c, s) in enumerate(zip(centroids, sizes, strict=True))]
@@ -254,10 +258,12 @@ def dense_matrix(rows: DataFrame, n: int, id_col: str, value_col: str, order_col
     return rows.sparkSession.range(n).withColumnRenamed("id", id_col).join(last, id_col, "left").withColumn(value_col, F.coalesce(value_col, F.lit(fill)))
 
 
-def transpose(assigned: DataFrame, levels: int, id_col: str = "id", codes_col: str = "codes") -> DataFrame:
-    """One row for each level, one column for each item: for small tables of codes only."""
-    long = assigned.select(F.col(id_col), F.posexplode(codes_col).alias("level", "code"))
-    return long.groupBy("level").pivot(id_col).agg(F.first("code"))
+def transpose(assigned: DataFrame, id_col: str = "id", codes_col: str = "codes", block: int = 10_000) -> DataFrame:
+    """(level, block, first, codes): the codes of each level, from 1, as rows over the items in the order of their ids, cut into blocks of ``block`` items of which ``first`` is the first id."""
+    order = placed(assigned.select(F.col(id_col).alias("_id"), F.col(codes_col).alias("_codes")), ["_id"], "_place")
+    long = order.select("_id", "_place", F.floor((F.col("_place") - 1) / block).alias("block"), F.posexplode("_codes").alias("_at", "_code"))
+    whole = long.groupBy((F.col("_at") + 1).alias("level"), "block").agg(F.sort_array(F.collect_list(F.struct("_place", "_id", "_code"))).alias("_rows"))  # block items
+    return whole.select("level", "block", F.get("_rows", F.lit(0))["_id"].alias("first"), F.transform("_rows", lambda r: r["_code"]).alias("codes"))
 
 
 def project_rows(vectors: list[list[float]], width: int, target_norm: float, seed: int = 0) -> list[list[float]]:

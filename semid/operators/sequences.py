@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,8 +121,10 @@ def last_k_mask(length: Column, k: int, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: ((i < length) & (i >= length - k)).cast("int"))
 
 
-def pooled(rows: DataFrame, key: str, pos: str, vec: str, width: int, how: str = "mean", last_k: int | None = None) -> DataFrame:
-    """One vector a key from its vectors by position: their mean (of the last ``last_k``), the first or the last."""
+def pooled(rows: DataFrame, key: str, pos: str, vec: str, width: int, how: str | Callable[[Column], Column] = "mean", last_k: int | None = None) -> DataFrame:
+    """One vector a key from its vectors by position: their mean (of the last ``last_k``), the first or the last; or, by a function of a column that aggregates, its result for each dimension."""
+    if callable(how):
+        return rows.groupBy(key).agg(F.array(*[how(F.get(vec, F.lit(i))) for i in range(width)]).alias("pooled"))
     if how in ("first", "last"):
         pick = F.min_by if how == "first" else F.max_by
         return rows.groupBy(key).agg(pick(vec, pos).alias("pooled"))

@@ -80,9 +80,8 @@ def sid_dense_matrix(spark, sf_dir):
 
 
 def sid_transpose_pivot(spark, sf_dir):
-    by_label = assigned(spark, sf_dir).groupBy("label").agg(F.min(F.struct("id", "codes")).alias("m")).select("label", F.col("m.codes").alias("codes"))
-    out = Q.transpose(by_label, 2, "label")
-    return out.select((F.col("level") + 1).alias("level"), *[F.col(str(i)).alias(f"l{i}") for i in range(10)])
+    """A row for each level and 100 items: their codes in the order of their ids."""
+    return Q.transpose(assigned(spark, sf_dir), block=100).select("level", "block", "first", joined("codes").alias("codes"))
 
 
 def kmeans_learned_codes(spark, sf_dir):
@@ -144,6 +143,6 @@ ORACLES = {
     "codebook_usage": f"WITH {residual_sql()}, {LONG} SELECT level, round(count(DISTINCT code) / 8.0, 6) AS usage FROM l GROUP BY level",
     "dead_codes": f"WITH {residual_sql(False)}, {LONG}, e AS (SELECT CAST(l.range AS INTEGER) AS level, CAST(k.range AS INTEGER) AS code FROM range(1, 3) l, range(16) k) SELECT level, code FROM e WHERE (level, code) NOT IN (SELECT level, code FROM l)",
     "sid_dense_matrix": f"WITH {residual_sql()} SELECT r.id, coalesce(c1 || ',' || c2, '0,0') AS codes FROM (SELECT unnest(range(greatest(2000, max(vec_id) + 1))) AS id FROM embeddings) r LEFT JOIN a ON a.id = r.id",
-    "sid_transpose_pivot": f"WITH {residual_sql()}, m AS (SELECT label, arg_min(c1, id) AS c1, arg_min(c2, id) AS c2 FROM a GROUP BY label), l AS (SELECT label, 1 AS level, c1 AS code FROM m UNION ALL SELECT label, 2, c2 FROM m) SELECT level, {', '.join(f'max(code) FILTER (label = {i}) AS l{i}' for i in range(10))} FROM l GROUP BY level",
+    "sid_transpose_pivot": f"WITH {residual_sql()}, o AS (SELECT id, c1, c2, (row_number() OVER (ORDER BY id) - 1) // 100 AS block FROM a), l AS (SELECT id, block, 1 AS level, c1 AS code FROM o UNION ALL SELECT id, block, 2, c2 FROM o) SELECT level, block, min(id) AS first, string_agg(code, ',' ORDER BY id) AS codes FROM l GROUP BY level, block",
     "soft_assignment": f"WITH {BEST0}, g AS (SELECT id, list(-dist ORDER BY code) AS z FROM d0 GROUP BY id), e AS (SELECT id, z, list_max(z) AS m, list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS s FROM g) SELECT id AS vec_id, round(1 / s, 6) AS top, round(ln(s) + m - z[1], 6) AS ce0 FROM e",
 }

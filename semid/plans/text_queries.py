@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semid.functions import text as T
+from semid.operators.encoding import encoded
 from semid.operators.sampling import ranked
 from semid.plans.common import joined, r6, table
 from semid.plans.quantize_queries import assigned, residual_sql
 from semid.session import stored
 
 
+#: The reduction of tokens that is aimed at.
+TARGET = 0.25
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -50,7 +55,7 @@ def top_n_tokens(spark, sf_dir):
 def compression_by_language(spark, sf_dir):
     """Fallback pieces against whole words, a language's rows and the total by one rollup."""
     x = _docs(spark, sf_dir).select("lang", T.piece_count(F.col("text")).cast("bigint").alias("b"), T.word_count(F.col("text")).cast("bigint").alias("a"))
-    return x.rollup("lang").agg(F.sum("b").alias("before"), F.sum("a").alias("after")).select(F.coalesce("lang", F.lit("all")).alias("lang"), "before", "after", r6(F.col("after") / F.col("before")).alias("ratio"), r6(100 * (1 - F.col("after") / F.col("before"))).alias("reduction"))
+    return x.rollup("lang").agg(F.sum("b").alias("before"), F.sum("a").alias("after")).select(F.coalesce("lang", F.lit("all")).alias("lang"), "before", "after", r6(F.col("after") / F.col("before")).alias("ratio"), r6(100 * (1 - F.col("after") / F.col("before"))).alias("reduction"), (1 - F.col("after") / F.col("before") >= TARGET).alias("met"))
 
 
 def bytes_per_token(spark, sf_dir):
@@ -74,6 +79,17 @@ def surface_occurrences(spark, sf_dir):
     return x.select("doc_id", "n", (F.col("n") * (sub - 1)).cast("bigint").alias("by_subtokens"))
 
 
+def letter_encoder():
+    """A stand-in for a neural encoder: a text's numbers of characters, of e and of blanks."""
+    return lambda texts: [[len(t), t.count("e"), t.count(" ")] for t in texts]
+
+
+def encoded_texts(spark, sf_dir):
+    """Texts by a plugged-in encoder."""
+    out = encoded(_docs(spark, sf_dir).select("doc_id", "text"), "text", letter_encoder)
+    return out.select("doc_id", *[r6(F.get("vec", F.lit(i))).alias(f"v{i}") for i in range(3)])
+
+
 def hash_embed(spark, sf_dir):
     """256 dimensions of hashed word trigrams, for the documents: the largest entry and the entries in use."""
     v = T.hash_vector(F.col("text"), 256)
@@ -123,7 +139,7 @@ def training_formats(spark, sf_dir):
     return x.select("doc_id", F.md5(T.header_format(body, F.lit("go"), F.lit("<SID_L1_00>"))).alias("header"), F.md5(T.replace_first(body, F.lit("the"), F.lit("<X>"))).alias("replaced"), F.md5(T.entity_to_sid(body, F.lit("<SID_L1_00>"))).alias("entity"), F.md5(T.sid_completion(F.lit("python"), F.col("source"), F.array(F.lit("a"), F.lit("b")), F.col("lang"), body)).alias("completion"))
 
 
-NAMES = "mine_identifiers fallback_tokenize_counts mine_ngrams candidates_merge_v candidates_merge_r top_n_tokens compression_by_language bytes_per_token ratio_percentiles surface_occurrences hash_embed chunk_lines chunk_lines_close wiki_clean html_strip slugify sid_token_format sid_token_parse sid_vocab training_formats".split()
+NAMES = "encoded_texts mine_identifiers fallback_tokenize_counts mine_ngrams candidates_merge_v candidates_merge_r top_n_tokens compression_by_language bytes_per_token ratio_percentiles surface_occurrences hash_embed chunk_lines chunk_lines_close wiki_clean html_strip slugify sid_token_format sid_token_parse sid_vocab training_formats".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 SPACES = r"[\s\x0b\x85\xa0\p{Z}]+"
@@ -170,13 +186,15 @@ def wiki_sql(x: str) -> str:
 HTML = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')"
 SID = "'<SID_L1_' || lpad(CAST(c1 AS VARCHAR), 2, '0') || '>', '<SID_L2_' || lpad(CAST(c2 AS VARCHAR), 2, '0') || '>'"
 ORACLES = {
+    "encoded_texts": """WITH x AS (SELECT doc_id, [CAST(length(text) AS DOUBLE), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', ''))] AS v FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+        n AS (SELECT doc_id, v, greatest(sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]), 1e-12) AS n FROM x) SELECT doc_id, round(v[1] / n, 6) AS v0, round(v[2] / n, 6) AS v1, round(v[3] / n, 6) AS v2 FROM n""",
     "mine_identifiers": f"WITH {IDENT} SELECT token, frequency, current_subtokens, score FROM ident",
     "fallback_tokenize_counts": f"WITH {PIECES} SELECT doc_id, CAST(len(p) AS INTEGER) AS pieces FROM pc",
     "mine_ngrams": f"WITH {NGRAM} SELECT * FROM ngram",
     "candidates_merge_v": merge_sql("ident", "ngram"),
     "candidates_merge_r": merge_sql("ngram", "ident"),
     "top_n_tokens": f"WITH {IDENT} SELECT token, score FROM ident ORDER BY score DESC, token LIMIT 128",
-    "compression_by_language": f"WITH {PIECES}, x AS (SELECT lang, len(p) AS b, {WORDS} AS a FROM pc) SELECT coalesce(lang, 'all') AS lang, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after, round(sum(a) / sum(b), 6) AS ratio, round(100 * (1 - sum(a) / sum(b)), 6) AS reduction FROM x GROUP BY ROLLUP (lang)",
+    "compression_by_language": f"WITH {PIECES}, x AS (SELECT lang, len(p) AS b, {WORDS} AS a FROM pc) SELECT coalesce(lang, 'all') AS lang, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after, round(sum(a) / sum(b), 6) AS ratio, round(100 * (1 - sum(a) / sum(b)), 6) AS reduction, 1 - sum(a) / sum(b) >= {TARGET} AS met FROM x GROUP BY ROLLUP (lang)",
     "bytes_per_token": f"WITH {PIECES} SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(len(p)) AS BIGINT) AS tokens, round(sum(strlen(text)) / sum(len(p)), 6) AS bytes_per_token FROM pc GROUP BY source",
     "ratio_percentiles": f"WITH {PIECES}, x AS (SELECT source, {WORDS} / len(p) AS ratio FROM pc) SELECT source, round(median(ratio), 6) AS median, round(list_sort(list(ratio))[CAST(least(count(*) - 1, floor(0.95 * count(*))) AS BIGINT) + 1], 6) AS p95 FROM x GROUP BY source",
     "surface_occurrences": "SELECT doc_id, CAST((length(text) - length(replace(text, 'ation', ''))) / 5 AS BIGINT) AS n, CAST((length(text) - length(replace(text, 'ation', ''))) / 5 AS BIGINT) AS by_subtokens FROM documents",

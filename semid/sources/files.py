@@ -34,6 +34,18 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: boo
     return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def newest_file(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return list_files(spark, folder, glob).agg(F.max_by("file", F.struct("modified", "file")).alias("file"))
 

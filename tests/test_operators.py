@@ -191,6 +191,24 @@ def test_seeds_from_all_items(spark):
     assert book.count() == 12
 
 
+def test_plugged_in_parts(spark, tmp_path):
+    """Encoders, pooling, update rules and distances that are functions."""
+    from semid.operators.encoding import encoded
+
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "abcd")], "id bigint, text string")
+    got = {r["id"]: r["vec"] for r in encoded(df, "text", lambda: lambda ts: [[len(t), 1.0] for t in ts], normalize=False, at_once=2).collect()}
+    assert got == {1: [2, 1], 2: [0, 1], 3: [4, 1]} and len(encoded(df, "text", width=8).first()["vec"]) == 8
+    with pytest.raises(Exception, match="3 texts"):
+        encoded(df.coalesce(1), "text", lambda: lambda ts: [[1.0]]).collect()
+    rows = spark.createDataFrame([(1, 0, [1.0, 5.0]), (1, 1, [3.0, 2.0])], "k int, p int, v array<double>")
+    assert Q2.pooled(rows, "k", "p", "v", 2, how=F.max).first()["pooled"] == [3, 5]
+    items = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(10)], "id bigint, vec array<double>")
+    book = Q.learn_codebook(items, 1, 2, steps=3, normalize=False, rule=lambda left, cs, kept: [[c[0] + 1, c[1]] for c in cs])
+    assert sorted(r["vec"][0] for r in book.collect()) == [3.0, 4.0]
+    (tmp_path / "x.txt").write_text("12345")
+    assert files.exists(spark, str(tmp_path / "x.txt")) and not files.exists(spark, str(tmp_path / "y")) and files.size_of(spark, str(tmp_path)) >= 5
+
+
 def test_ngrams_by_brute_force(spark, sf_dir):
     from collections import Counter
 
