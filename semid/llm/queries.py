@@ -149,6 +149,27 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id
 """
 
+OP12_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP12_RUNS = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
+#: The checksum is worked out once for each different feature, byte by byte.
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {OP12_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, {OP12_RUNS} AS g FROM d),
+b AS (SELECT {OP12_RUNS} AS g FROM (SELECT {OP12_WORDS} AS w FROM benchmark)),
+u AS (SELECT g, hex(g) AS h FROM (SELECT g FROM f UNION SELECT g FROM b)),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb),
+c AS (SELECT g, xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda a, x: xor(a >> 8, tb[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS k FROM u, tab),
+fk AS (SELECT doc_id, k FROM f JOIN c USING (g)),
+s AS (SELECT k, CAST(count(*) AS DOUBLE) AS n FROM fk GROUP BY k),
+t AS (SELECT k, CAST(count(*) AS DOUBLE) AS n FROM b JOIN c USING (g) GROUP BY k),
+gain AS (SELECT s.k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS v FROM s LEFT JOIN t ON s.k = t.k),
+m AS (SELECT doc_id, count(*) AS n, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM fk JOIN gain USING (k) GROUP BY doc_id),
+x AS (SELECT d.doc_id, len(w) >= 20 AS enough, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT *, row_number() OVER (ORDER BY enough DESC, score DESC, doc_id) AS place, count(*) FILTER (enough) OVER () AS many FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= many * 25 // 100 THEN place END AS rank FROM r
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_warc_zip": op3_warc_zip,
@@ -169,4 +190,5 @@ ORACLES = {
     "op3_warc_zip": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
