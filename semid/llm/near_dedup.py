@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -181,9 +182,9 @@ def unordered(pairs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b, hub) as (a, b, linked): whether the sets (node, shingles) are alike enough. A hub's set is sent once to each part of its pairs, the other's once to each of its own."""
+    """``pairs`` (a, b, hub) as (a, b, linked): whether the sets (node, shingles) are alike enough. A set is sent once to each part of its node's pairs, on either side."""
     other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    with_other = pairs.withColumn("other", other).join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("of_other")), "other")
+    with_other = looked_up(pairs.withColumn("other", other), sets.select(F.col("node").alias("other"), F.col("shingles").alias("of_other")), "other", by="hub")
     both = looked_up(with_other, sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub")), "hub", by="other")
     alike = (100 + percent) * F.size(F.array_intersect("of_hub", "of_other")) >= percent * (F.size("of_hub") + F.size("of_other"))
     return both.select("a", "b", alike.alias("linked"))
@@ -223,23 +224,40 @@ def _hubs(members: DataFrame, hubs: int) -> DataFrame:
     return chosen.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("a_component"), F.col("hub.bits").alias("a_bits"))
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """Sets that may be linked are in the same class of sizes or in neighbouring ones: a class is a little wider than the largest ratio of linked sets' sizes."""
+    return F.floor(F.ln(n) / (max(math.log(100 / percent), 1e-3) * 1.0001)).cast("int")
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, node) of all ``members`` that share a bucket, but not a component, and may be linked.
 
-    Nodes outside a bucket's largest component meet all of the bucket's, in blocks of
-    about ``SIDE`` by ``SIDE`` nodes: as many tasks as the bucket needs.
+    Nodes outside a bucket's largest component meet those of the bucket whose sets are in
+    their own class of sizes or a neighbouring one, in blocks of about ``SIDE`` by ``SIDE``
+    nodes: as many tasks as a class of the bucket needs.
     """
-    held = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    size = held.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("all"))
+    members = members.select("key", "node", "n", "bits", "component", size_class(F.col("n"), percent).alias("c"))
+    held = members.groupBy("key", "component").agg(F.count("*").alias("held"))
+    most = held.groupBy("key").agg(F.max(F.struct("held", "component")).alias("most")).select("key", F.col("most.component").alias("most"))
+    rows = written(looked_up(members, most, "key", by="node"), "across")
     parts = lambda n: F.ceil(n / SIDE).cast("int")
-    size = size.select("key", F.col("most.component").alias("most"), parts(F.col("all") - F.col("most.c")).alias("p"), parts(F.col("all")).alias("q"))
-    rows = looked_up(members.select("key", "node", "n", "bits", "component"), size, "key", by="node")
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = rows.where(F.col("component") != F.col("most")).select("key", "node", "n", "bits", "component", "most", part("p").alias("x"), every("q").alias("y"))
-    whole_side = rows.select("key", F.col("node").alias("hub"), F.col("n").alias("n_a"), F.col("bits").alias("a_bits"), F.col("component").alias("a_component"), part("q").alias("y"), every("p").alias("x"))
+    sizes = rows.groupBy("key", "c").agg(parts(F.count_if(F.col("component") != F.col("most"))).alias("p"), parts(F.count("*")).alias("q"))
+    meet = sizes.where("p > 0").select("key", "c", "p", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("d"))
+    meet = meet.join(sizes.select("key", F.col("c").alias("d"), "q"), ["key", "d"])
+    one = F.struct(F.col("c").alias("c"), "d", "p", "q")
+    of_few, of_all = (meet.groupBy("key", F.col(side).alias("c")).agg(F.collect_list(one).alias("meets")) for side in ("c", "d"))  # three at most
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def met(nodes: DataFrame, own: DataFrame) -> DataFrame:
+        named = nodes.withColumn("class", F.struct("key", "c"))
+        keyed = own.select(F.struct("key", "c").alias("class"), "meets")
+        return looked_up(named, keyed, "class", by="node").withColumn("m", F.explode("meets")).withColumns({"c": F.col("m.c"), "d": F.col("m.d")}).drop("meets", "class")
+
+    few = met(rows.where(F.col("component") != F.col("most")), of_few).select("key", "node", "n", "bits", "component", "most", "c", "d", part(F.col("m.p")).alias("x"), every(F.col("m.q")).alias("y"))
+    whole_side = met(rows, of_all).select("key", F.col("node").alias("hub"), F.col("n").alias("n_a"), F.col("bits").alias("a_bits"), F.col("component").alias("a_component"), "c", "d", part(F.col("m.q")).alias("y"), every(F.col("m.p")).alias("x"))
     once = (F.col("a_component") == F.col("most")) | (F.col("hub") < F.col("node"))
-    return few.join(whole_side, ["key", "x", "y"]).where((F.col("component") != F.col("a_component")) & once & may_link(percent)).select("hub", "node")
+    return few.join(whole_side, ["key", "c", "d", "x", "y"]).where((F.col("component") != F.col("a_component")) & once & may_link(percent)).select("hub", "node")
 
 
 def _linked(source: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
