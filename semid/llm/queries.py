@@ -12,7 +12,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import near_groups
 from .packing import pack
 from .pseudonyms import pseudonymize
-from .quality_rules import fit, judge
+from .quality_rules import DecisionList, fit, judge
 from .resampling import resample
 from .secret_scan import BASE, RULES, scan_report
 from .sharding import shard_rows
@@ -64,6 +64,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7, which need no learned list: these SQL can say."""
+    out = judge(table(spark, sf_dir, "documents"), DecisionList(()))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, w[i:i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + j.range) AS n FROM rep, range(5) j GROUP BY doc_id),
+x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda a: length(a))), 0) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -176,6 +196,7 @@ QUERIES = {
     "op4_pseudonyms": op4_pseudonyms,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "quality_base_counts": quality_base_counts,
     "op8_packing": op8_packing,
     "op9_bpe_words": op9_bpe_words,
     "op10_near_dedup": op10_near_dedup,
@@ -191,4 +212,5 @@ ORACLES = {
     "op6_line_dedup": OP6_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op12_importance_resampling": OP12_SQL,
+    "quality_base_counts": QUALITY_SQL,
 }

@@ -28,7 +28,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import globally_ranked, whole, written
+from semid.operators.sampling import placed
+
+from .common import whole, written
 
 #: Bytes that are looked at together; a longer text is cut behind a word.
 WINDOW = 1 << 22
@@ -209,6 +211,6 @@ def resample(
     gain = gains(source.buckets, bucket_counts(target, target_col, runs, buckets, least_words).buckets)
     rows = weighed(docs, gain, id_col, text_col, runs, carry)
     rows = rows.withColumn("score", F.col("weight") + noise(F.col("named")[id_col], seed)).withColumn("enough", F.col("n_words") >= least_words)
-    ranked = globally_ranked(written(rows, "weights"), [F.desc("enough"), F.desc("score"), F.asc_nulls_last(F.col("named")[id_col])], "rank")
+    ranked = placed(written(rows, "weights"), [F.desc("enough"), F.desc("score"), F.asc_nulls_last(F.col("named")[id_col])], "rank")
     drawn = F.col("enough") & (F.col("rank") <= source.texts * percent // 100)
     return ranked.select(*[F.col("named")[c].alias(c) for c in dict.fromkeys((id_col, *carry))], "n_features", "weight", "score", F.when(drawn, F.col("rank")).alias("rank"))
