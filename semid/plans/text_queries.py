@@ -185,7 +185,18 @@ def wiki_sql(x: str) -> str:
 
 HTML = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')"
 SID = "'<SID_L1_' || lpad(CAST(c1 AS VARCHAR), 2, '0') || '>', '<SID_L2_' || lpad(CAST(c2 AS VARCHAR), 2, '0') || '>'"
+def _chunks_sql(head: str, full: str) -> str:
+    """Lines put in chunks one after the other: ``full`` says when a line begins the next chunk."""
+    return f"""WITH RECURSIVE x AS (SELECT doc_id, {head} AS head, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS ls FROM documents),
+        l AS (SELECT doc_id, head, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM x),
+        r AS (SELECT doc_id, i, 0 AS pos, length(head) + length(line) AS size FROM l WHERE i = 1
+          UNION ALL SELECT l.doc_id, l.i, CASE WHEN {full} THEN pos + 1 ELSE pos END, CASE WHEN {full} THEN length(head) ELSE size END + length(line) FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+        c AS (SELECT doc_id, pos, any_value(head) || string_agg(line, '' ORDER BY i) AS chunk FROM r JOIN l USING (doc_id, i) GROUP BY doc_id, pos)"""
+
+
 ORACLES = {
+    "chunk_lines": f"""{_chunks_sql("'# ' || source || chr(10)", "size + length(line) > 400")} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(length(chunk) AS INTEGER) AS n, md5(chunk) AS digest FROM c""",
+    "chunk_lines_close": f"""{_chunks_sql("''", "size >= 400")} SELECT d.doc_id, CAST(count(c.pos) AS INTEGER) AS chunks, CAST(coalesce(sum(length(chunk)), 0) AS INTEGER) AS n FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
     "encoded_texts": """WITH x AS (SELECT doc_id, [CAST(length(text) AS DOUBLE), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', ''))] AS v FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
         n AS (SELECT doc_id, v, greatest(sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]), 1e-12) AS n FROM x) SELECT doc_id, round(v[1] / n, 6) AS v0, round(v[2] / n, 6) AS v1, round(v[3] / n, 6) AS v2 FROM n""",
     "mine_identifiers": f"WITH {IDENT} SELECT token, frequency, current_subtokens, score FROM ident",
