@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from semid.functions.text import sid_sequence
+from semid.operators import views
 from semid.operators.graphs import class_links, view_text
-from semid.plans.common import table
+from semid.plans.common import r6, table
+from semid.plans.quantize_queries import assigned, residual_sql
+from semid.plans.text_queries import letter_encoder
 from semid.sources import entities as N
 from semid.sources.files import event_lines, parse_state, split_outputs
 
@@ -60,6 +64,33 @@ def view_lookup(spark, sf_dir):
     return view_text(d, blobs, ["first", "second"]).select("n_nationkey", "text")
 
 
+def definition_view_texts(spark, sf_dir):
+    """Parts as definitions, with the text of the class that one of two fields names and with their wiki pages, of which long ones are cut."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    number = F.substring("p_brand", 7, 2)
+    fields = F.when(k % 3 == 0, F.create_map(F.lit("thingClass"), F.concat(F.lit('"Depot.T'), number, F.lit('"')))).when(k % 3 == 1, F.create_map(F.lit("thingClass"), F.lit('"Depot.None"'), F.lit("Class"), F.concat(F.lit('"T'), number, F.lit('"')))).otherwise(F.create_map(F.lit("size"), F.col("p_size").cast("string")))
+    d = p.select(F.concat(F.lit("P"), k).alias("name"), F.col("p_type").alias("def_type"), F.when(k % 4 > 0, F.concat(F.lit("Tall "), k)).alias("label"), F.when(k % 2 > 0, F.col("p_name")).alias("description"), fields.alias("fields"))
+    classes = p.select(number.alias("n")).distinct().where("n > '22'").select(F.concat(F.lit("T"), "n").alias("key"), F.concat(F.lit("class T"), "n").alias("text"))
+    wiki = p.select(F.when(k % 5 == 0, F.concat(F.lit("tall_"), k)).when(k % 5 == 1, F.concat(F.lit("p"), k)).alias("slug"), F.when(k % 2 == 0, F.repeat(F.lit("w"), 5000)).otherwise(F.concat(F.lit("about "), k)).alias("text")).where("slug is not null")
+    out = views.definition_views(d, classes, wiki)
+    return out.select("name", F.md5("def").alias("def"), F.col("label_view").alias("label"), "csharp", F.length("wiki").alias("wiki_chars"))
+
+
+def entity_view_vectors(spark, sf_dir):
+    """Parts as entities of four views, by a plugged-in encoder."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("signature"), F.lit(None).cast("string").alias("docstring"), F.concat("p_type", F.lit(" e "), "p_name").alias("body"), F.col("p_brand").alias("file_path"))
+    out = views.entity_vectors(views.code_views(p), encoder=letter_encoder)
+    return out.select("p_partkey", *[r6(F.get("vec", F.lit(i))).alias(f"v{i}") for i in range(3)])
+
+
+def level_accuracy(spark, sf_dir):
+    """Texts that name the second code of every third item wrong, and nothing of every fifth."""
+    a = assigned(spark, sf_dir)
+    wrong = F.transform("codes", lambda c, i: F.when((i == 1) & (F.col("id") % 3 == 0), c + 1).otherwise(c))
+    text = F.when(F.col("id") % 5 == 0, "none").otherwise(F.concat(F.lit("so "), sid_sequence(wrong, 2, False), F.lit(" it is")))
+    return views.level_accuracy(a, text, F.col("codes"), 2)
+
+
 def event_line_parse(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     lines = ev.select(F.when(F.col("event_id") % 3 == 0, F.lit(": ping")).otherwise(F.concat(F.lit("data: "), "props")).alias("value"), "event_id")
@@ -78,9 +109,23 @@ def planning_output_split(spark, sf_dir):
     return split_outputs(c).groupBy("pos").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-NAMES = "extract_python_entities extract_csharp_entities xml_defs category_rules class_link_join view_lookup event_line_parse live_state_parse planning_output_split".split()
+NAMES = "definition_view_texts entity_view_vectors level_accuracy extract_python_entities extract_csharp_entities xml_defs category_rules class_link_join view_lookup event_line_parse live_state_parse planning_output_split".split()
 QUERIES = {n: globals()[n] for n in NAMES}
+def _letters(text: str) -> str:
+    v = f"[CAST(length({text}) AS DOUBLE), length({text}) - length(replace({text}, 'e', '')), length({text}) - length(replace({text}, ' ', ''))]"
+    return f"list_transform({v}, lambda x: x / greatest(sqrt(list_sum(list_transform({v}, lambda y: y * y))), 1e-12))"
+
+
 ORACLES = {
+    "definition_view_texts": """WITH p AS (SELECT *, p_partkey AS k, substr(p_brand, 7, 2) AS n FROM part),
+        w AS (SELECT CASE k % 5 WHEN 0 THEN 'tall_' || k WHEN 1 THEN 'p' || k END AS slug, CASE WHEN k % 2 = 0 THEN 4000 ELSE length('about ' || k) END AS chars FROM p WHERE k % 5 < 2)
+        SELECT 'P' || k AS name, coalesce(CASE WHEN k % 4 > 0 THEN 'Tall ' || k END, '') || '.' || CASE WHEN k % 2 > 0 THEN ' ' || p_name ELSE '' END AS label,
+          md5(concat_ws(chr(10), p_type || ' P' || k, CASE WHEN k % 4 > 0 THEN 'Tall ' || k END, CASE WHEN k % 2 > 0 THEN p_name END, CASE k % 3 WHEN 0 THEN 'thingClass: "Depot.T' || n || '"' WHEN 1 THEN 'thingClass: "Depot.None"' || chr(10) || 'Class: "T' || n || '"' ELSE 'size: ' || p_size END)) AS def,
+          CASE WHEN k % 3 < 2 AND n > '22' THEN 'class T' || n ELSE '' END AS csharp, CAST(coalesce((SELECT chars FROM w WHERE slug = 'tall_' || k AND k % 4 > 0), (SELECT chars FROM w WHERE slug = 'p' || k), 0) AS INTEGER) AS wiki_chars FROM p""",
+    "entity_view_vectors": f"""WITH x AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS s, p_name AS d, p_type || ' e ' || p_name AS b, p_brand AS f FROM part),
+        e AS (SELECT p_partkey, {_letters('s')} AS s, {_letters('d')} AS d, {_letters('b')} AS b, {_letters('f')} AS f FROM x), m AS (SELECT p_partkey, list_transform(range(1, 4), lambda i: 0.4::DOUBLE * s[i] + 0.2::DOUBLE * d[i] + 0.3::DOUBLE * b[i] + 0.1::DOUBLE * f[i]) AS v FROM e),
+        n AS (SELECT p_partkey, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM m) SELECT p_partkey, round(v[1] / n, 6) AS v0, round(v[2] / n, 6) AS v1, round(v[3] / n, 6) AS v2 FROM n""",
+    "level_accuracy": f"WITH {residual_sql()}, h AS (SELECT 1 AS level, CAST(id % 5 <> 0 AS INTEGER) AS hit FROM a UNION ALL SELECT 2, CAST(id % 5 <> 0 AND id % 3 <> 0 AS INTEGER) FROM a) SELECT level, count(*) AS n, CAST(sum(hit) AS BIGINT) AS correct, round(sum(hit) / count(*), 4) AS accuracy FROM h GROUP BY level",
     "extract_python_entities": "SELECT unnest(['f' || k || '.py::C' || k, 'f' || k || '.py::C' || k || '.load', 'f' || k || '.py::C' || k || '.check', 'f' || k || '.py::C' || k || '.inner', 'f' || k || '.py::top_' || k]) AS uid, unnest(['class', 'method', 'method', 'method', 'function']) AS kind, unnest(['class C' || k || ':', 'def load(self):', 'def check(self):', 'def inner():', 'def top_' || k || '(x):']) AS signature, unnest(['load,check', '', '', '', '']) AS children, unnest([1, 4, 7, 8, 13]) AS start_line, unnest([10, 5, 10, 9, 14]) AS end_line FROM (SELECT CAST(n_nationkey AS VARCHAR) AS k FROM nation)",
     "extract_csharp_entities": "SELECT 'Comp' || n_nationkey AS name, 'class' AS kind, 'ThingComp' AS parent, 'Tick,Count' AS methods FROM nation",
     "xml_defs": "SELECT 'Thing' || n_nationkey AS name, 'ThingDef' AS def_type, 'Base' || n_regionkey AS parent, '\"' || n_regionkey || '\"' AS hp, '\"' || n_nationkey || '\"' AS mass, 'Thing' || ((n_nationkey + 1) % 25) AS refs FROM nation",
