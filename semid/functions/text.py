@@ -23,6 +23,10 @@ LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript
 COMMENTS = {"python": "#", "ruby": "#", "go": "//", "rust": "//", "java": "//", "javascript": "//", "typescript": "//", "tsx": "//", "solidity": "//"}
 
 
+SLUG, COMPACT_SLUG = "[^A-Za-z0-9_-]+", "[^A-Za-z0-9]+"
+CODES_OF, SIGNATURE_OF, SIBLINGS, NO_SIBLINGS = "<PREDICT_SID> ", "<SID_TO_SIG>", " methods: ", "(none)"
+
+
 def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -148,16 +152,16 @@ def header_format(body: Column, language: Column, sid: Column) -> Column:
 
 
 def entity_to_sid(body: Column, sid: Column) -> Column:
-    return F.concat(F.lit("<PREDICT_SID> "), body, F.lit("\n"), sid)
+    return F.concat(F.lit(CODES_OF), body, F.lit("\n"), sid)
 
 
 def sid_to_signature(sid: Column, signature: Column) -> Column:
-    return F.concat(F.lit("<SID_TO_SIG>"), sid, F.lit(" "), signature)
+    return F.concat(F.lit(SIGNATURE_OF), sid, F.lit(" "), signature)
 
 
 def sid_completion(language: Column, parent: Column, siblings: Column, signature: Column, body: Column) -> Column:
-    names = F.when(F.size(siblings) > 0, F.array_join(siblings, ", ")).otherwise("(none)")
-    head = F.when(F.coalesce(parent, F.lit("")) != "", F.concat(comment_prefix(language), F.lit(" class "), parent, F.lit(" methods: "), names, F.lit("\n"))).otherwise("")
+    names = F.when(F.size(siblings) > 0, F.array_join(siblings, ", ")).otherwise(NO_SIBLINGS)
+    head = F.when(F.coalesce(parent, F.lit("")) != "", F.concat(comment_prefix(language), F.lit(" class "), parent, F.lit(SIBLINGS), names, F.lit("\n"))).otherwise("")
     return F.concat(head, F.lit("<FIM_PREFIX>"), signature, F.lit("<FIM_SUFFIX><FIM_MIDDLE>"), body)
 
 
@@ -202,11 +206,11 @@ def strip_html(html: Column) -> Column:
 
 
 def slug(title: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(title, "[^A-Za-z0-9_-]+", "_"), F.lit("_")))
+    return F.lower(F.btrim(F.regexp_replace(title, SLUG, "_"), F.lit("_")))
 
 
 def compact_slug(title: Column) -> Column:
-    return F.lower(F.regexp_replace(title, "[^A-Za-z0-9]+", ""))
+    return F.lower(F.regexp_replace(title, COMPACT_SLUG, ""))
 
 
 def remove_chars(text: Column, chars: str) -> Column:

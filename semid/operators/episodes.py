@@ -48,13 +48,13 @@ ACTIONS = [
     ("right_click_at", "rclick", None, ["x", "y"]),
     ("drag_select", "drag", None, ["x1", "y1", "x2", "y2"]),
     ("menu_architect", "key", "F1", []),
-    ("menu_orders", "submenu", "Architect/Orders", []),
-    ("menu_zone", "submenu", "Architect/Zone", []),
-    ("menu_structure", "submenu", "Architect/Structure", []),
-    ("menu_production", "submenu", "Architect/Production", []),
-    ("menu_furniture", "submenu", "Architect/Furniture", []),
-    ("menu_power", "submenu", "Architect/Power", []),
-    ("menu_security", "submenu", "Architect/Security", []),
+    ("menu_orders", "submenu", ["Architect", "Orders"], []),
+    ("menu_zone", "submenu", ["Architect", "Zone"], []),
+    ("menu_structure", "submenu", ["Architect", "Structure"], []),
+    ("menu_production", "submenu", ["Architect", "Production"], []),
+    ("menu_furniture", "submenu", ["Architect", "Furniture"], []),
+    ("menu_power", "submenu", ["Architect", "Power"], []),
+    ("menu_security", "submenu", ["Architect", "Security"], []),
     ("menu_research", "key", "F2", []),
     ("menu_work", "key", "F3", []),
     ("increase_priority", "api", "/work/priority", ["pawn", "work_type", "delta"]),
@@ -72,11 +72,13 @@ ACTIONS = [
     ("open_tab", "key", "Tab", []),
 ]
 MOST_ACTIONS = 5
+ACTION_BLOCK, ACTION_NAME, ACTION_PARAM, ACTION_REASON = "(?s)<ACTION_START>.*?<ACTION_END>", "<ACT:([^>]+)>", "<PARAM:([^=>]+)=([^>]*)>", "(?s)<REASON>(.*?)</REASON>"
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """(action, type, target, params): a few dozen rows."""
-    return spark.createDataFrame(ACTIONS, "action string, type string, target string, params array<string>")
+    rows = [(a, t, where if isinstance(where, list) else [] if where is None else [where], p) for a, t, where, p in ACTIONS]
+    return spark.createDataFrame(rows, "action string, type string, target array<string>, params array<string>")
 
 
 def special_tokens() -> list[str]:
@@ -212,15 +214,15 @@ def format_actions(blocks: Column) -> Column:
 
 def parse_actions(turns: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, action, params, reason) for every action block; of repeated parameters the last counts; a block without an action is an error."""
-    blocks = turns.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("(?s)<ACTION_START>.*?<ACTION_END>"), F.lit(0))).alias("pos", "block"))
-    names = lambda i: F.transform(F.regexp_extract_all("block", F.lit("<PARAM:([^=>]+)=([^>]*)>"), F.lit(i)), lambda x: F.trim(x))
+    blocks = turns.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(ACTION_BLOCK), F.lit(0))).alias("pos", "block"))
+    names = lambda i: F.transform(F.regexp_extract_all("block", F.lit(ACTION_PARAM), F.lit(i)), lambda x: F.trim(x))
 
     def last_wins(keys: Column) -> Column:
         at = F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("i"), k.alias("k"))), lambda x: ~F.array_contains(F.slice(keys, x["i"] + 2, F.size(keys) + 1), x["k"]))
         return F.map_from_entries(F.transform(at, lambda x: F.struct(x["k"], F.get(names(2), x["i"]))))
 
-    action = F.when(F.col("block").rlike("<ACT:([^>]+)>"), F.trim(F.regexp_extract("block", "<ACT:([^>]+)>", 1))).otherwise(F.raise_error(F.lit("an action block names no action")))
-    return blocks.select(key, "pos", action.alias("action"), let(names(1), last_wins).alias("params"), F.trim(F.regexp_extract("block", "(?s)<REASON>(.*?)</REASON>", 1)).alias("reason"))
+    action = F.when(F.col("block").rlike(ACTION_NAME), F.trim(F.regexp_extract("block", ACTION_NAME, 1))).otherwise(F.raise_error(F.lit("an action block names no action")))
+    return blocks.select(key, "pos", action.alias("action"), let(names(1), last_wins).alias("params"), F.trim(F.regexp_extract("block", ACTION_REASON, 1)).alias("reason"))
 
 
 def typed(value: Column) -> Column:

@@ -212,7 +212,7 @@ ORACLES = {
     "hash_embed": f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{SPACES}'), lambda w: w <> '') AS ws FROM documents), h AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: CAST('0x' || right(md5(array_to_string(ws[i:i + 2], ' ')), 2) AS INTEGER))) AS d FROM w), c AS (SELECT doc_id, d, count(*) AS n FROM h GROUP BY ALL), e AS (SELECT b.doc_id, r.range AS d, coalesce(n, 0) AS n FROM documents b CROSS JOIN range(256) r LEFT JOIN c ON c.doc_id = b.doc_id AND c.d = r.range) SELECT doc_id, round(max(n) / sqrt(sum(n * n)), 6) AS top, CAST(count(*) FILTER (n > 0) AS INTEGER) AS used, string_agg(CASE WHEN n > 0 THEN '1' ELSE '0' END, '' ORDER BY d) AS places FROM e GROUP BY doc_id",
     "wiki_clean": f"SELECT doc_id, md5({wiki_sql(WIKI)}) AS digest FROM documents",
     "html_strip": f"SELECT page_id, md5(trim({HTML}, ' ')) AS digest FROM pages",
-    "slugify": r"SELECT page_id, lower(trim(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '_')) AS slug, lower(regexp_replace(url, '[^A-Za-z0-9]+', '', 'g')) AS compact, regexp_replace(url, '\.[^./]*$', '') AS stem FROM pages",
+    "slugify": rf"SELECT page_id, lower(trim(regexp_replace(url, '{T.SLUG}', '_', 'g'), '_')) AS slug, lower(regexp_replace(url, '{T.COMPACT_SLUG}', '', 'g')) AS compact, regexp_replace(url, '\.[^./]*$', '') AS stem FROM pages",
     "sid_token_format": f"WITH {residual_sql()} SELECT id AS vec_id, '<SID_START>' || array_to_string([{SID}], '<SID_SEP>') || '<SID_END>' AS sequence, array_to_string([{SID}], '') AS inline FROM a",
     "sid_token_parse": f"WITH {residual_sql()}, t AS (SELECT id AS vec_id, unnest([NULL, 0, NULL, 1, NULL]) AS level, unnest([NULL, c1, NULL, c2, NULL]) AS code, unnest(range(5)) AS pos FROM a) SELECT vec_id, CAST(pos AS INTEGER) AS pos, level, code FROM t",
     "sid_vocab": "WITH t AS (SELECT CAST(range AS INTEGER) AS idx, CAST(range // 64 AS INTEGER) AS level, CAST(range % 64 AS INTEGER) AS code FROM range(192)), s(idx, token, kind) AS (VALUES (192, '<SID_START>', 'structural'), (193, '<SID_SEP>', 'structural'), (194, '<SID_END>', 'structural'), (195, '<PREDICT_SID>', 'task'), (196, '<SID_TO_SIG>', 'task'), (197, '<FIM_PREFIX>', 'task'), (198, '<FIM_SUFFIX>', 'task'), (199, '<FIM_MIDDLE>', 'task')) SELECT idx, '<SID_L' || (level + 1) || '_' || lpad(CAST(code AS VARCHAR), 2, '0') || '>' AS token, level, code, 'level' AS kind FROM t UNION ALL SELECT idx, token, NULL, NULL, kind FROM s",
