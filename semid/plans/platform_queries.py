@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from semid.functions.formulas import by_key, formula
 from semid.operators import settings
 from semid.plans.common import r6, table
 from semid.session import scratch
@@ -122,10 +123,24 @@ def props_deep_merge(spark, sf_dir):
     return out.select(F.col("id").alias("event_id"), read("k.value", "bigint").alias("k_value"), read("k.from").alias("k_from"), read("k").alias("k"), read("meta.type").alias("type"), read("meta.ref.id", "bigint").alias("ref_id"), read("meta.ref.tag").alias("ref_tag"), read("meta.ref").alias("ref"), read("version", "bigint").alias("version"), read("meta.note.k", "bigint").alias("note"))
 
 
-NAMES = "stream_idle_deltas stream_codebook props_deep_merge pricing_summary regional_revenue grouping_cube rank_in_group set_operations customers_without_orders event_windows event_sessions stream_event_windows stream_wealth_deltas".split()
+def formulas(spark, sf_dir):
+    """Arithmetic texts over line items: precedence, signs, exclusive or, powers."""
+    texts = {"a": "1 + 2*3**2 / (5 + -6) + l_linenumber", "b": "l_orderkey ^ l_partkey + 1", "c": "-l_quantity * (l_extendedprice - 2) ** 2 / 1027", "d": "2**-1 * l_linenumber - -3"}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(formula(t).cast("double"), 4).alias(n) for n, t in texts.items()])
+
+
+def items_by_key(spark, sf_dir):
+    """Each order's prices by part; of lines of one part the last counts."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.when(F.col("l_discount") > 0.01, F.col("l_quantity")).alias("n")))).alias("x"))
+    return lines.select("l_orderkey", F.explode(by_key(F.col("x"), "part", "n")).alias("part", "n"))
+
+
+NAMES = "formulas items_by_key stream_idle_deltas stream_codebook props_deep_merge pricing_summary regional_revenue grouping_cube rank_in_group set_operations customers_without_orders event_windows event_sessions stream_event_windows stream_wealth_deltas".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 DAYS = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n{0} FROM events GROUP BY ALL"
 ORACLES = {
+    "formulas": "SELECT l_orderkey, l_linenumber, round(CAST(1 + 2 * 9 / (5 + -6) + l_linenumber AS DOUBLE), 4) AS a, round(CAST(xor(l_orderkey, l_partkey + 1) AS DOUBLE), 4) AS b, round(-l_quantity * pow(l_extendedprice - 2, 2) / 1027, 4) AS c, round(CAST(0.5 * l_linenumber + 3 AS DOUBLE), 4) AS d FROM lineitem",
+    "items_by_key": "SELECT l_orderkey, l_partkey AS part, l_quantity AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC) AS r FROM lineitem WHERE l_discount > 0.01) WHERE r = 1",
     "stream_idle_deltas": "SELECT user_id, event_id, round(CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 HOUR THEN value - lag(value) OVER w ELSE 0 END, 6) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "props_deep_merge": """WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
         m AS (SELECT event_id, k, json_merge_patch(json_object('k', json_object('value', k, 'from', 'first'), 'meta', json_object('type', event_type, 'ref', json_object('id', event_id)), 'version', 1),

@@ -124,3 +124,14 @@ def test_overrides_and_reads(spark):
     assert (r["d"], r["z"], r["q"]) == (2, 9, None)
     with pytest.raises(Exception, match="key=value"):
         C.overrides(spark.createDataFrame([(1, "none", 0)], "id bigint, override string, n int")).collect()
+
+
+def test_formulas(spark):
+    from semid.functions.formulas import either, formula
+
+    df = spark.createDataFrame([(5, None)], "x bigint, y bigint")
+    got = df.select(formula("2^6"), formula("1 + 2*3**4 / (5 + -6)"), formula(" x ** 2 - x^3 "), formula("-(x + y)"), either(F.col("y") > 1, F.lit("a"), F.lit("b"))).first()
+    assert list(got) == [4, -161.0, (25 - 5) ^ 3, None, "b"]
+    for bad in ("1 +", "x.y", "f(1)", "x if 1 else 2", "1.5", "'a'", "x // 2", "~x", "", "True", "[1]"):
+        with pytest.raises(ValueError):
+            formula(bad)
