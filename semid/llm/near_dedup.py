@@ -182,9 +182,9 @@ def unordered(pairs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b, hub) as (a, b, linked): whether the sets (node, shingles) are alike enough. A set is sent once to each part of its node's pairs, on either side."""
+    """``pairs`` (a, b, hub) as (a, b, linked): whether the sets (node, shingles) are alike enough. A hub's set is sent once to each part of its pairs; the other's meets its pairs in a sort-merge join, whose large keys Spark divides."""
     other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    with_other = looked_up(pairs.withColumn("other", other), sets.select(F.col("node").alias("other"), F.col("shingles").alias("of_other")), "other", by="hub")
+    with_other = pairs.withColumn("other", other).join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("of_other")), "other")
     both = looked_up(with_other, sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub")), "hub", by="other")
     alike = (100 + percent) * F.size(F.array_intersect("of_hub", "of_other")) >= percent * (F.size("of_hub") + F.size("of_other"))
     return both.select("a", "b", alike.alias("linked"))
