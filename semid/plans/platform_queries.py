@@ -140,7 +140,7 @@ QUERIES = {n: globals()[n] for n in NAMES}
 DAYS = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n{0} FROM events GROUP BY ALL"
 ORACLES = {
     "formulas": "SELECT l_orderkey, l_linenumber, round(CAST(1 + 2 * 9 / (5 + -6) + l_linenumber AS DOUBLE), 4) AS a, round(CAST(xor(l_orderkey, l_partkey + 1) AS DOUBLE), 4) AS b, round(-l_quantity * pow(l_extendedprice - 2, 2) / 1027, 4) AS c, round(CAST(0.5 * l_linenumber + 3 AS DOUBLE), 4) AS d FROM lineitem",
-    "items_by_key": "SELECT l_orderkey, l_partkey AS part, l_quantity AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC) AS r FROM lineitem WHERE l_discount > 0.01) WHERE r = 1",
+    "items_by_key": "SELECT l_orderkey, l_partkey AS part, l_quantity AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_quantity DESC) AS r FROM lineitem WHERE l_discount > 0.01) WHERE r = 1",
     "stream_idle_deltas": "SELECT user_id, event_id, round(CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 HOUR THEN value - lag(value) OVER w ELSE 0 END, 6) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "props_deep_merge": """WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
         m AS (SELECT event_id, k, json_merge_patch(json_object('k', json_object('value', k, 'from', 'first'), 'meta', json_object('type', event_type, 'ref', json_object('id', event_id)), 'version', 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from semid.functions.vectors import dot, norm
 from semid.operators import quantize as Q
 from semid.operators.episodes import STEP
 from semid.plans.common import ITEMS_SQL, dot_sql, items, joined, r6, table
