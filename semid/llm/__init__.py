@@ -1,4 +1,4 @@
-"""Training-data operations: ten operators over text tables, their queries and their SQL.
+"""Training-data operations: thirteen operators over text tables, their queries and their SQL.
 
 Nothing else in the library imports this subpackage.
 """

@@ -10,7 +10,8 @@
    give further turns, of several stars each, while these still link many nodes.
 4. Stars can miss two nodes that are alike but not like a hub. What buckets of several
    components still hold is compared whole: all nodes outside a bucket's largest
-   component with all of it, in blocks of bounded size. Only pairs that may be alike
+   component with all of it whose sets may be of a size with theirs, in blocks of bounded
+   size. Only pairs that may be alike
    come out of these joins, as told by 1024-bit parity bitmaps: where two sets' bitmaps
    differ in d bits, the sets differ in d shingles or more. So nothing but the bands
    can miss a link; no bucket, pair or turn is capped.
