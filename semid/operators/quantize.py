@@ -206,6 +206,13 @@ def random_seeds(items: DataFrame, k: int, seed: int = 0, vec_col: str = "vec",
     return [list(rows[i % len(rows)]["v"]) for i in range(k)]
 
 
+def reseeded(items: DataFrame, centroids: list[list[float]], sizes: list[float], least: float, seed: int = 0, vec_col: str = "vec", id_col: str = "id") -> list[list[float]]:
+    """The centroids, those of fewer than ``least`` items replaced by items in hash order; without any such the items are not read."""
+    dead = [i for i, n in enumerate(sizes) if n < least]
+    fresh = dict(zip(dead, random_seeds(items, len(dead), seed, vec_col, id_col), strict=True)) if dead else {}
+    return [fresh.get(i, c) for i, c in enumerate(centroids)]
+
+
 def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, seed: int = 0, normalize: bool = True, vec_col: str = "vec", id_col: str = "id", tolerance: float = 0.0, rule: str | Callable[[DataFrame, list, dict], list] = "minibatch", seeds_of: Callable[..., list[list[float]]] = kmeans_plus_plus) -> DataFrame:
     """Residual k-means, one level after the other: seed (by ``kmeans_plus_plus``, ``random_seeds`` or a function like them), update ``steps`` times (or until no centroid moves more than ``tolerance``), then quantize what is left. Returns (level, code, vec).
 
@@ -228,8 +235,7 @@ def learn_codebook(items: DataFrame, levels: int, size: int, steps: int = 10, se
                 centroids = rule(left, centroids, kept)
             elif rule == "ema":
                 centroids, sizes, sums = ema_step(left, centroids, sizes, sums)
-                seeds = dict(enumerate(random_seeds(left, size, seed + level + 1, "vec", "id")))
-                centroids = [seeds[i] if s < 1e-12 else c for i, (c, s) in enumerate(zip(centroids, sizes, strict=True))]
+                centroids = reseeded(left, centroids, sizes, 1e-12, seed + level + 1)
             else:
                 centroids, counts = minibatch_step(left, centroids, counts)
             if max(abs(a - b) for x, y in zip(before, centroids, strict=True) for a, b in zip(x, y, strict=True)) <= tolerance:

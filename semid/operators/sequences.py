@@ -79,8 +79,13 @@ def map_to_codes(df: DataFrame, sid_map: DataFrame, key: str, seq: str, levels:
     return joined.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", codes.alias("codes")))), lambda x: x["codes"])).alias(out))
 
 
-def map_to_embeddings(df: DataFrame, embeddings: DataFrame, item_col: str, id_col: str, vec_col: str) -> DataFrame:
-    return df.join(embeddings.select(F.col(id_col).alias(item_col), vec_col), item_col)
+def map_to_embeddings(df: DataFrame, embeddings: DataFrame, item_col: str, id_col: str, vec_col: str, missing: str = "error") -> DataFrame:
+    """Adds each row's item's vector; rows of items without one are an error, or left out with ``missing="drop"``, or kept with none with ``"null"``."""
+    found = df.join(embeddings.select(F.col(id_col).alias(item_col), vec_col), item_col, "inner" if missing == "drop" else "left")
+    if missing != "error":
+        return found
+    none = F.raise_error(F.concat(F.lit("no vector for item "), F.coalesce(F.col(item_col).cast("string"), F.lit("null")))).cast(dict(embeddings.dtypes)[vec_col])
+    return found.withColumn(vec_col, F.coalesce(F.col(vec_col), none))
 
 
 def category_index(df: DataFrame, mapping: DataFrame, col: str, out: str = "idx") -> DataFrame:

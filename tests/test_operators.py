@@ -205,6 +205,12 @@ def test_plugged_in_parts(spark, tmp_path):
     items = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(10)], "id bigint, vec array<double>")
     book = Q.learn_codebook(items, 1, 2, steps=3, normalize=False, rule=lambda left, cs, kept: [[c[0] + 1, c[1]] for c in cs])
     assert sorted(r["vec"][0] for r in book.collect()) == [3.0, 4.0]
+    fresh = Q.reseeded(items, [[9.0, 9.0], [8.0, 8.0], [7.0, 7.0]], [5.0, 0.0, 0.5], 1.0)
+    assert fresh[0] == [9.0, 9.0] and all(v in ([0.0, 0.0], [1.0, 0.0]) for v in fresh[1:]) and Q.reseeded(None, [[9.0]], [5.0], 1.0) == [[9.0]]
+    events = spark.createDataFrame([(1, 3), (2, 77)], "e int, id bigint")
+    assert Q2.map_to_embeddings(events, items, "id", "id", "vec", "drop").count() == 1 and Q2.map_to_embeddings(events, items, "id", "id", "vec", "null").where("vec is null").count() == 1
+    with pytest.raises(Exception, match="no vector for item 77"):
+        Q2.map_to_embeddings(events, items, "id", "id", "vec").collect()
     (tmp_path / "x.txt").write_text("12345")
     assert files.exists(spark, str(tmp_path / "x.txt")) and not files.exists(spark, str(tmp_path / "y")) and files.size_of(spark, str(tmp_path)) >= 5
 
