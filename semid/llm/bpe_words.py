@@ -19,17 +19,25 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate, batched, chain, compress, pairwise
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytepairs import LONGEST, REMEMBERED, Unsafe, cut, ends_in_space, ranks
+from .bytepairs import LONGEST, REMEMBERED, ends_in_space, ranks
 from .common import whole, written
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 BLOCK_CHARS = 24_000_000
 #: Hash buckets of words for each shuffle partition, and the most that a block is divided into. Beyond, a bucket is
 #: dealt in parts by block, so that rows of words grow with the input and not with its square.
 BUCKETS, MOST_BUCKETS = 4, 4096
+#: Distinct chunks that one call splits, and pre-tokens that become an Arrow array together.
+TOGETHER = 50_000
 
 
 @lru_cache(1)
@@ -51,43 +59,79 @@ def token_table(spark: SparkSession, rank_file: str) -> DataFrame:
     return spark.createDataFrame([(rank, token) for token, rank in ranks(rank_file).items()], "token int, bytes binary")
 
 
-class Block(dict):
-    """Distinct pre-tokens of a block of texts. Maps a chunk to the places of its pre-tokens, as bytes."""
-
-    def __init__(self, split: Callable[[str], list[str]], known: dict[str, list[str]]):
-        super().__init__()
-        self.split, self.known, self.places, self.texts, self.chars = split, known, {}, [], 0
-        self.digest = hashlib.blake2b(digest_size=8)
-
-    def of(self, words: list[str]) -> bytes:
-        places = self.places
-        return array("I", [places.setdefault(w, len(places)) for w in words]).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if ends_in_space(piece):
-            raise Unsafe
-        if (words := self.known.get(piece)) is None:
-            words = self.split(" " + piece)
-            if len(piece) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = words
-        out = self.of(words)
-        if len(piece) <= LONGEST:
-            self[piece] = out
-        return out
-
-    def add(self, row_id, text: str) -> None:
-        pieces = cut(text)
-        try:
-            if pieces[0] and ends_in_space(pieces[0]):
-                raise Unsafe
-            places = b"".join([self.of(self.split(pieces[0])) if pieces[0] else b"", *map(self.__getitem__, pieces[1:])])
-        except Unsafe:
-            places = self.of(self.split(text))
-        self.digest.update(len(places).to_bytes(8, "little") + places)
-        self.texts.append((row_id, places))
-        self.chars += len(text)
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The named runs of ``flat``, one after another; indices are made for some of them at a time."""
+    import numpy as np
+
+    parts = []
+    for at in range(0, len(runs), 1 << 18):
+        some = runs[at : at + (1 << 18)]
+        n = lengths[some]
+        parts.append(flat[np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    return parts[0] if len(parts) == 1 else np.concatenate([flat[:0], *parts])
+
+
+class Block:
+    """Distinct pre-tokens (``words``) of a block of texts, and the texts as their places in that list.
+
+    Only distinct chunks are split into pre-tokens, many by one call. A run is the pre-tokens of a distinct chunk, or of
+    what has no space before it: a text's first chunk, or all of a text that can't be cut. Texts are sequences of runs.
+    """
+
+    def __init__(self, texts: pa.LargeStringArray, split: Callable[[str], list[str]]):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self.digest = hashlib.blake2b(pc.binary_length(texts).to_numpy().tobytes(), digest_size=8)
+        for text in texts.cast(pa.large_binary()):
+            self.digest.update(text.as_buffer())
+        pieces = pc.split_pattern(texts, " ")
+        counts, found = pieces.value_lengths().to_numpy(), pieces.flatten().dictionary_encode()
+        numbers, chunks = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del pieces, found
+        firsts = np.cumsum(counts, dtype=np.int64) - counts
+        spaces = np.array([ends_in_space(c) for c in chunks], bool)[numbers]
+        spaces[firsts] &= np.array([c != "" for c in chunks], bool)[numbers[firsts]]
+        uncut = np.logical_or.reduceat(spaces, firsts)
+        kept = ~np.repeat(uncut, counts)
+        kept[firsts] = False
+        used = np.zeros(len(chunks), bool)
+        used[numbers[kept]] = True
+
+        words, lengths, got = [], [], []
+        for i, k in enumerate(numbers[firsts].tolist()):
+            got += (head := split(texts[i].as_py() if uncut[i] else chunks[k]))
+            lengths.append(len(head))
+            if len(got) >= TOGETHER:
+                words.append(pa.array(got, pa.large_string()))
+                got = []
+        words.append(pa.array(got, pa.large_string()))
+        for part in batched(compress(chunks, used), TOGETHER):
+            got = split(" " + " ".join(part))
+            # Chunks hold no spaces, so each begins where a pre-token begins with one.
+            begins = [i for i, word in enumerate(got) if word[:1] == " "]
+            if len(begins) != len(part) or begins[0]:  # the pattern leaves out spaces
+                apart = [split(" " + c) for c in part]
+                got, begins = list(chain.from_iterable(apart)), [0, *accumulate(map(len, apart[:-1]))]
+            words.append(pa.array(got, pa.large_string()))
+            lengths += [b - a for a, b in pairwise([*begins, len(got)])]
+        listed = pa.concat_arrays(words).dictionary_encode()
+        self.words, self.flat = listed.dictionary, listed.indices.to_numpy().astype(np.uint32)
+        self.lengths = np.array(lengths, np.int64)
+
+        runs = (len(texts) - 1 + np.cumsum(used))[numbers]
+        runs[firsts] = np.arange(len(texts))
+        kept[firsts] = True
+        self.runs, self.ends = runs[kept], np.cumsum(np.add.reduceat(kept, firsts, dtype=np.int64))
+
+    def places(self) -> Iterator[bytes]:
+        """For each text, the places of its pre-tokens."""
+        import numpy as np
+
+        flat = gathered(self.flat, np.cumsum(self.lengths) - self.lengths, self.lengths, self.runs)
+        ends = np.cumsum(self.lengths[self.runs])[self.ends - 1]
+        return (flat[a:b].tobytes() for a, b in pairwise([0, *ends.tolist()]))
 
     def name(self, number: int) -> int:
         """Names the block by its number and content, so that only equal readings of it meet."""
@@ -104,14 +148,14 @@ def _planes(places: bytes) -> bytes:
     return zstandard.compress(np.frombuffer(places, np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def _unplanes(packed: bytes) -> list[int]:
+def _unplanes(packed: bytes) -> np.ndarray:
     import numpy as np
     import zstandard
 
     if not packed:
-        return []
+        return np.empty(0, "<u4")
     planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().tolist()
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _packed(parts: list[bytes]) -> tuple[bytes, bytes]:
@@ -125,27 +169,40 @@ def _unpacked(lengths: bytes, body: bytes) -> list[bytes]:
     import zstandard
 
     whole, out, at = zstandard.decompress(body), [], 0
-    for n in _unplanes(lengths):
+    for n in _unplanes(lengths).tolist():
         out.append(whole[at : at + n])
         at += n
     return out
 
 
-def _blocks(batches: Iterator, pattern: str) -> Iterator[tuple[int, Block]]:
-    """The texts of a task, in order, as blocks named by the task's number, the block's and its content."""
+def _blocks(batches: Iterator, pattern: str) -> Iterator[tuple[int, Block, pa.Array]]:
+    """The texts of a task, in order, as blocks named by the task's number, the block's and its content; with the texts' ids."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark import TaskContext
 
-    split, known, k = splitter(pattern), {}, 0
-    part = TaskContext.get().partitionId()
-    block = Block(split, known)
+    part, k, held, chars = TaskContext.get().partitionId(), 0, [], 0
+
+    def closed() -> tuple[int, Block, pa.Array]:
+        ids = pa.concat_arrays([rows.column("id") for rows in held])
+        texts = pa.concat_arrays([rows.column("text").cast(pa.large_string()) for rows in held])
+        held.clear()
+        block = Block(texts, splitter(pattern))
+        return block.name(part << 24 | k), block, ids
+
     for batch in batches:
-        for row_id, text in zip(batch.column("id"), batch.column("text").to_pylist(), strict=True):
-            block.add(row_id, text)
-            if block.chars >= BLOCK_CHARS:
-                yield block.name(part << 24 | k), block
-                block, k = Block(split, known), k + 1
-    if block.texts:
-        yield block.name(part << 24 | k), block
+        ends, at = [0, *accumulate(pc.utf8_length(batch.column("text")).to_pylist())], 0
+        while at < len(batch):
+            # Up to and with the text that fills the block.
+            stop = min(len(batch), int(np.searchsorted(ends, ends[at] + BLOCK_CHARS - chars)))
+            held.append(batch.slice(at, stop - at))
+            chars, at = chars + ends[stop] - ends[at], stop
+            if chars >= BLOCK_CHARS:
+                yield closed()
+                k, chars = k + 1, 0
+    if held:
+        yield closed()
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, stored: bool = False) -> DataFrame:
@@ -167,10 +224,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     shares = -(-BUCKETS * parts // buckets)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, block in _blocks(batches, pattern):
+        for name, block, _ in _blocks(batches, pattern):
             places, words = [array("I") for _ in range(buckets)], [[] for _ in range(buckets)]
-            for place, word in enumerate(block.places):
-                raw = word.encode()
+            for place, raw in enumerate(block.words.cast(pa.large_binary()).to_numpy(zero_copy_only=False)):
                 bucket = zlib.crc32(raw) % buckets
                 places[bucket].append(place)
                 words[bucket].append(raw)
@@ -180,9 +236,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "places", "lengths", "words"])
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, block in _blocks(batches, pattern):
-            ids = pa.array([i.as_py() for i, _ in block.texts], id_type)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.int64()), ids, pa.array([_planes(p) for _, p in block.texts], pa.binary())], ["block", "id", "places"])
+        for name, block, ids in _blocks(batches, pattern):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.int64()), ids.cast(id_type), pa.array(map(_planes, block.places()), pa.binary())], ["block", "id", "places"])
 
     def encoded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
         """With each batch, the ids of the words of each of its rows."""
@@ -204,7 +259,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in encoded_rows(batches):
-            packed = [(_planes(array("I", map(len, out)).tobytes()), _planes(b"".join(out))) for out in rows]
+            packed = [(_planes(array("I", [len(ids) // 4 for ids in out]).tobytes()), _planes(b"".join(out))) for out in rows]
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["block", "places", "lengths", "ids"])
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,27 +275,35 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 
     def tokens_once(key: tuple, rows: pa.Table) -> pa.Table:
         """The distinct ids of a block: no more than the vocabulary's size."""
-        used = sorted(set().union(*map(_unplanes, rows.column("used").to_pylist())))
+        import numpy as np
+
+        used = np.unique(np.concatenate([*map(_unplanes, rows.column("used").to_pylist())])).astype(np.int32)
         return pa.table([pa.array([key[0].as_py()] * len(used), pa.int64()), pa.array(used, pa.int32())], names=["block", "token"])
 
     def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-        of_words = words.filter(words.column("token").is_null())
-        of_tokens = words.filter(words.column("token").is_valid())
-        table: dict[int, bytes] = {}
-        for places, lengths, ids in zip(*(of_words.column(c).to_pylist() for c in ("places", "lengths", "ids")), strict=True):
-            raw, at = array("I", _unplanes(ids)).tobytes(), 0
-            for place, n in zip(_unplanes(places), _unplanes(lengths), strict=True):
-                table[place] = raw[at : at + n]
-                at += n
+        import numpy as np
+
         if len(texts) == 0:
             raise ValueError("the texts were not the same on their second reading; write them as a table first")
-        of, rows = table.__getitem__, []
-        bytes_of = dict(zip(of_tokens.column("token").to_pylist(), of_tokens.column("bytes").to_pylist(), strict=True)).__getitem__
+        of_words = words.filter(words.column("token").is_null())
+        of_tokens = words.filter(words.column("token").is_valid())
+
+        def table(keys, lengths) -> tuple:
+            """Starts and lengths by key; keys that are not there have a negative length, which can't be gathered."""
+            starts, own = np.zeros(keys.max(initial=-1) + 1, np.int64), np.full(keys.max(initial=-1) + 1, -1, np.int64)
+            starts[keys], own[keys] = np.cumsum(lengths) - lengths, lengths
+            return starts, own
+
+        none = [np.empty(0, "<u4")]
+        places, lengths, ids_of_words = (np.concatenate(none + [_unplanes(x) for x in of_words.column(c).to_pylist()]).astype(kind) for c, kind in (("places", np.int64), ("lengths", np.int64), ("ids", "<u4")))
+        by_place = table(places, lengths)
+        bytes_of_tokens = of_tokens.column("bytes").to_pylist()
+        by_token = table(of_tokens.column("token").to_numpy().astype(np.int64), np.array([*map(len, bytes_of_tokens)], np.int64))
+        bytes_of_tokens, rows = np.frombuffer(b"".join(bytes_of_tokens), np.uint8), []
         for packed in texts.column("places").to_pylist():
-            raw = b"".join(map(of, _unplanes(packed)))
-            ids = array("I", raw)
-            decoded = b"".join(map(bytes_of, ids))
-            rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((list(ids), decoded) if with_ids else ())))
+            ids = gathered(ids_of_words, *by_place, _unplanes(packed))
+            decoded = gathered(bytes_of_tokens, *by_token, ids)
+            rows.append((len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids.astype(np.int32), decoded.tobytes()) if with_ids else ())))
         columns = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
         return pa.table([texts.column("id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=["id", *names])

@@ -71,6 +71,61 @@ def test_buckets_in_shares_and_inputs_of_no_order_give_the_same(spark, docs, tex
     assert sorted(encode(docs.repartition(7), *args).collect()) == want and len(want) == len(texts)
 
 
+def _read(texts, pattern, monkeypatch, block_chars=10**6):
+    """The blocks of a task with these texts, and the strings that were split for them."""
+    import pyarrow as pa
+    import pyspark
+    import regex
+
+    seen = []
+
+    class Task:
+        partitionId = staticmethod(lambda: 3)
+
+    def splitter(pattern):
+        return lambda text: seen.append(text) or regex.findall(pattern, text)
+
+    monkeypatch.setattr(pyspark, "TaskContext", type("Context", (), {"get": staticmethod(Task)}))
+    monkeypatch.setattr(bpe_words, "splitter", splitter)
+    monkeypatch.setattr(bpe_words, "BLOCK_CHARS", block_chars)
+    rows = pa.record_batch({"id": range(len(texts)), "text": pa.array(texts, pa.string())})
+    return list(bpe_words._blocks([rows.slice(0, 5), rows.slice(5)], pattern)), seen
+
+
+def test_distinct_chunks_are_split_many_at_once(monkeypatch):
+    texts = ["first " + " ".join(f"w{k},{k % 7}" for k in range(j, 4000)) for j in range(8)]
+    _, seen = _read(texts, public_tokenizers.PATTERN, monkeypatch)
+    # Before, each of 4,000 distinct chunks had a call of its own.
+    assert len(seen) <= len(texts) + 1 and sum(map(len, seen)) < 1.1 * len(texts[0])
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"\p{L}+|,", r" \p{L}+|\p{N}"])
+@pytest.mark.parametrize("together", [3, 50_000])
+def test_places_of_a_block_give_the_pattern_s_words(pattern, together, monkeypatch):
+    import random
+
+    import regex
+
+    monkeypatch.setattr(bpe_words, "TOGETHER", together)
+    draw = random.Random(5)
+    texts = TRICKY + [t or "" for _, t in ODD] + ["".join(draw.choice(["a", "bc", " ", " ", "  ", "\n", "\t", "'s", ",", "7", "\xa0", "\x1c", "é", "你", "\u3000"]) for _ in range(draw.randrange(30))) for _ in range(300)]
+    for block_chars in (1, 40, 10**6):
+        blocks, _ = _read(texts, pattern, monkeypatch, block_chars)
+        got = {}
+        for _, block, ids in blocks:
+            words = block.words.to_pylist()
+            assert len(words) == len(set(words))
+            got |= {i: [words[k] for (k,) in struct.iter_unpack("<I", raw)] for i, raw in zip(ids.to_pylist(), block.places(), strict=True)}
+        assert got == {i: regex.findall(pattern, t) for i, t in enumerate(texts)}
+    assert len(blocks) == 1 and len({name for name, _, _ in _read(["a b", "b a", "c d"], pattern, monkeypatch, 1)[0]}) == 3
+
+
+def test_texts_without_words_only(spark):
+    rows = encode(spark.createDataFrame([(1, ""), (2, None), (None, "")], "doc_id bigint, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert sorted((r["doc_id"] or 0, *r[1:]) for r in rows) == [(i, 0, empty, empty) for i in range(3)]
+
+
 def _check_pieces(rows, texts):
     from tokenizers import Tokenizer
 
