@@ -69,10 +69,13 @@ def _drained(stream, spark):
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def _streamed(spark, sf_dir, name):
+    """A table as a stream. As a pattern, the path may be one file or a folder of files."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
+
+
 def _event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return source
+    return _streamed(spark, sf_dir, "events")
 
 
 def stream_event_windows(spark, sf_dir):
@@ -103,10 +106,10 @@ def stream_codebook(spark, sf_dir):
     it = table(spark, sf_dir, "embeddings")
     start = [list(r["v"]) for r in it.where("vec_id < 8").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("vec_id").collect()]  # 8 rows
     learner = streams.CodebookLearner(spark, start, f"{path}/book")
-    source = spark.readStream.schema(it.schema).option("pathGlobFilter", "embeddings*.parquet").parquet(sf_dir).select(F.col("embedding").cast("array<double>").alias("vec"))
+    source = _streamed(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("vec"))
     source.writeStream.foreachBatch(learner.update).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.schema(learner.ROW).parquet(f"{path}/book/epoch={learner.epochs()[-1]}")
-    return last.select("code", F.col("n").cast("bigint").alias("n"), r6(F.get("vec", F.lit(0))).alias("v0"), r6(F.get("vec", F.lit(63))).alias("v63"))
+    return last.where("n > 0").select("code", F.col("n").cast("bigint").alias("n"), r6(F.get("vec", F.lit(0))).alias("v0"), r6(F.get("vec", F.lit(63))).alias("v63"))
 
 
 def props_deep_merge(spark, sf_dir):
