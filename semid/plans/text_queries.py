@@ -64,11 +64,18 @@ def bytes_per_token(spark, sf_dir):
 
 
 def ratio_percentiles(spark, sf_dir):
-    """Median, and the element at min(n - 1, int(0.95 n)) of the sorted ratios, per source: positions come from ranks, no list is gathered."""
-    x = _docs(spark, sf_dir).select("source", "doc_id", (T.word_count(F.col("text")) / T.piece_count(F.col("text"))).alias("ratio"))
-    y = ranked(x, "source", ["ratio", "doc_id"], "r").withColumns({"i": F.col("r") - 1, "n": F.col("r_n")})
+    """Median of the known ratios, and the element at min(n - 1, int(0.95 n)) of all sorted ratios, per source: positions come from ranks, no list is gathered.
+
+    A text without pieces has the ratio NaN, which is greater than any number; no text has no ratio, and stands last.
+    """
+    words, pieces = T.word_count(F.col("text")), T.piece_count(F.col("text"))
+    ratio = F.when(pieces > 0, words / pieces).when(pieces == 0, F.lit(float("nan")))
+    x = stored(_docs(spark, sf_dir).select("source", "doc_id", ratio.alias("ratio")), "ratios")
+    known = x.groupBy(F.col("source").alias("_source")).agg(F.count("ratio").alias("known"))
+    y = ranked(x, "source", [F.asc_nulls_last("ratio"), "doc_id"], "r").withColumns({"i": F.col("r") - 1, "n": F.col("r_n")})
+    y = y.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source")))  # a row for each source
     value = lambda at: F.max(F.when(F.col("i") == at, F.col("ratio")))
-    middle = (value(F.floor((F.col("n") - 1) / 2)) + value(F.floor(F.col("n") / 2))) / 2
+    middle = (value(F.floor((F.col("known") - 1) / 2)) + value(F.floor(F.col("known") / 2))) / 2
     return y.groupBy("source").agg(r6(middle).alias("median"), r6(value(F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n"))))).alias("p95"))
 
 

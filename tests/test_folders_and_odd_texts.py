@@ -1,11 +1,14 @@
 """Tables that are folders of files, and odd rows, against SQL over the same tables."""
 
 import math
+from functools import partial
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from semid.operators import sampling
+from semid.plans import text_queries
 from semid.queries import ORACLES, QUERIES
 
 
@@ -21,7 +24,7 @@ def _rows(spark, path, name):
     names = [d[0] for d in rel.description]
     want = [{n: plain(v) for n, v in zip(names, row, strict=True)} for row in rel.fetchall()]
     got = [{n: plain(r[n]) for n in df.columns} for r in df.collect()]
-    return (sorted(repr(sorted(r.items())) for r in x) for x in (got, want))
+    return [sorted(repr(sorted(r.items())) for r in x) for x in (got, want)]
 
 
 @pytest.mark.parametrize("name", ["stream_codebook", "stream_event_windows", "stream_idle_deltas", "stream_wealth_deltas"])
@@ -30,3 +33,13 @@ def test_streams_over_folders(name, spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
     got, want = _rows(spark, tmp_path, name)
     assert got == want and got
+
+
+@pytest.mark.parametrize("large", [1_000_000, 20])
+def test_ratios_of_texts_without_pieces(large, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_queries, "ranked", partial(sampling.ranked, large=large))
+    texts = [(1, "a b c d", "x"), (2, "", "x"), (3, "hello world", "x"), (4, None, "x"), (5, " \n", "y"), (6, "abcdefgh i", None), (7, None, "z"), (8, "aa bbbbb", "x"), (10, "a", "y")]
+    texts += [(100 + i, "word " * i + "x" * i, "many") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = _rows(spark, tmp_path, "ratio_percentiles")
+    assert got == want and len(got) == 5
