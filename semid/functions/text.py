@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semid.functions.vectors import let, unit
+from semid.operators.ngrams import LONGEST, frequent_grams
 from semid.session import scratch
 
 # Patterns that results depend on.
@@ -251,22 +252,26 @@ def piece_runs(texts: DataFrame, text_col: str, most: int) -> DataFrame:
     return texts.select(pieces(F.col(text_col)).alias("_p")).select(F.explode(zipped).alias("_g")).select("_g.*")
 
 
-def mine_ngrams(texts: DataFrame, text_col: str = "text", sizes: tuple[int, ...] = (2, 3), min_frequency: int = 25) -> DataFrame:
-    """Candidates among n-grams of pieces within a text, that are not identifiers. Of n-grams with one surface the most frequent counts (then the longer).
-
-    Hashes are counted first, one number for each n-gram; only n-grams whose hash is
-    frequent enough, few of all there are, are then counted as strings, which also tells
-    those apart that share a hash.
-    """
+def _long_grams(texts: DataFrame, text_col: str, sizes: tuple[int, ...], least: int) -> DataFrame:
+    """(_size, _g0, _g1, ..., frequency) of frequent n-grams of any size: their hashes are counted first, and those of a frequent one, few of all there are, then as strings."""
     spark, names = texts.sparkSession, [f"_g{i}" for i in range(max(sizes))]
     hash_of = lambda n: F.when(F.col(names[n - 1]).isNotNull(), F.xxhash64(*names[:n]))
     rows = piece_runs(texts, text_col, max(sizes))
     hashes = rows.select(F.explode(F.array(*[hash_of(n) for n in sizes])).alias("_h")).where("_h is not null")
     path = scratch(spark, "ngrams")
-    hashes.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_frequency).select("_h").write.parquet(path)
+    hashes.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_h").write.parquet(path)
     sized = rows.select(*names, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), hash_of(n).alias("h")) for n in sizes])).alias("_s")).select(*names, F.col("_s.n").alias("_size"), F.col("_s.h").alias("_h"))
     asked = sized.join(spark.read.schema("_h bigint").parquet(path), "_h", "left_semi")
-    counts = asked.groupBy("_size", *[F.when(F.col("_size") > i, F.col(n)).alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("frequency")).where(F.col("frequency") >= min_frequency)
+    return asked.groupBy("_size", *[F.when(F.col("_size") > i, F.col(n)).alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
+
+
+def mine_ngrams(texts: DataFrame, text_col: str = "text", sizes: tuple[int, ...] = (2, 3), min_frequency: int = 25) -> DataFrame:
+    """Candidates among n-grams of pieces within a text, that are not identifiers. Of n-grams with one surface the most frequent counts (then the longer).
+
+    N-grams of up to three pieces are counted as numbers, longer ones by their hashes first.
+    """
+    counts = (frequent_grams if max(sizes) <= LONGEST else _long_grams)(texts, text_col, sizes, min_frequency)
+    names = [f"_g{i}" for i in range(max(*sizes, LONGEST))]
     parts = counts.withColumns({"token": surface(F.slice(F.array(*names), F.lit(1), F.col("_size"))), "current_subtokens": F.col("_size")})
     kept = parts.where((F.length("token") >= 3) & ~F.col("token").rlike(f"^{IDENTIFIER}$"))
     best = kept.groupBy("token").agg(F.max(F.struct("frequency", "current_subtokens")).alias("b")).select("token", "b.*")
