@@ -1,14 +1,14 @@
-"""Nested documents (VARIANT): leaves by path, deep merges by priority, overrides by dotted path, and documents again."""
+"""Nested documents (VARIANT): deep merges by priority, overrides and reads by dotted path."""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import sys
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semid.session import scratch
-
 #: Levels from here on are those of overrides.
 ABOVE = 1_000_000
 
@@ -26,80 +26,85 @@ def read(doc: Column, path: str, kind: str = "string", default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default).cast(kind))
 
 
-def leaves(docs: DataFrame, id_col: str = "id", doc_col: str = "doc") -> DataFrame:
-    """(id, level, path, value, whole) of every leaf of the VARIANT documents of ``docs``, which may have columns ``level``, their priority, and ``path``, where they begin.
-
-    Leaves are scalars, arrays, nulls and empty objects, as JSON text; ``whole`` is false
-    for empty objects, which replace nothing but scalars. Objects are opened level by
-    level, each a table in the shared folder: as many steps as the deepest one has.
-    Null documents have no leaves, nor has an empty one.
-    """
-    spark = docs.sparkSession
-    level = F.col("level") if "level" in docs.columns else F.lit(0)
-    path = F.col("path") if "path" in docs.columns else F.array().cast("array<string>")
-    nodes = docs.select(F.col(id_col).alias("id"), level.cast("int").alias("level"), path.alias("path"), F.col(doc_col).alias("value")).where("value is not null")
-    parts, is_object = [], F.startswith(F.schema_of_variant("value"), F.lit("OBJECT"))
-    while True:
-        path = scratch(spark, "nodes")
-        nodes.withColumns({"object": is_object, "text": F.to_json("value")}).write.parquet(path)
-        kept = spark.read.parquet(path)
-        empty = F.col("object") & (F.col("text") == "{}")
-        parts.append(kept.where(~F.col("object") | (empty & (F.size("path") > 0))).select("id", "level", "path", F.col("text").alias("value"), (~F.col("object")).alias("whole")))
-        inner = kept.where(F.col("object") & ~empty)
-        if inner.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        opened = inner.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).toDF("_pos", "_key", "_value"))
-        nodes = opened.select("id", "level", F.concat("path", F.array("_key")).alias("path"), F.col("_value").alias("value"))
-
-
 def overrides(rows: DataFrame, id_col: str = "id", text_col: str = "override", order_col: str = "n") -> DataFrame:
-    """Leaves of ``a.b.c=value`` texts in the order of ``order_col``, above all documents: the value, JSON if it reads as such and text if not, replaces all that stood at its path, also where it is an object. A text without ``=`` is an error."""
+    """(id, level, path, text) of ``a.b.c=value`` texts in the order of ``order_col``, above all documents: the value, JSON if it reads as such and text if not, replaces all that stood at its path, also where it is an object. A text without ``=`` is an error."""
     at = F.instr(text_col, "=")
     key, text = F.substring(F.col(text_col), F.lit(1), at - 1), F.substring(F.col(text_col), at + 1, F.length(text_col))
     checked = F.when(at > 1, key).otherwise(F.raise_error(F.concat(F.lit("not key=value: "), F.col(text_col))).cast("string"))
     value = F.coalesce(F.try_parse_json(text), F.parse_json(quoted(text)))
     level = (2 * F.col(order_col) + ABOVE).cast("int")
     read_as = rows.select(F.col(id_col).alias("id"), (level + 1).alias("level"), F.split(checked, "[.]").alias("path"), value.alias("doc"))
-    # An object first clears its path, one level below its own leaves.
-    clear = read_as.where(F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT"))).select("id", (F.col("level") - 1).alias("level"), "path", F.lit("{}").alias("value"), F.lit(True).alias("whole"))
-    return leaves(read_as).unionByName(clear)
+    # An object first clears its path, one level below its own values.
+    clear = read_as.where(F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT"))).select("id", (F.col("level") - 1).alias("level"), "path", F.lit(None).cast("string").alias("text"))
+    return read_as.select("id", "level", "path", F.to_json("doc").alias("text")).unionByName(clear)
 
 
-def merged(found: DataFrame) -> DataFrame:
-    """The leaves that stay of ``found``: documents of a higher level are laid over those below, object by object.
+class Number(str):
+    """A number as its text, which keeps every digit."""
 
-    A leaf goes if a higher one stands at its path, or a higher whole one at a part of its
-    path, or if a higher one goes on where it ends. Empty objects go where anything is left in them.
-    Equal paths of one level keep one leaf, the greatest text.
-    """
-    prefix = lambda n: F.slice("path", F.lit(1), n)
-    found = found.groupBy("id", "level", "path").agg(F.max(F.struct("whole", "value")).alias("v")).select("id", "level", "path", "v.value", "v.whole")
-    ends = found.select("id", F.col("path").alias("at"), F.col("level").alias("here"), F.when(F.col("whole"), F.col("level")).alias("solid"), F.lit(None).cast("int").alias("deeper"))
-    cuts = F.sequence(F.lit(1), F.size("path") - 1)
-    through = found.where(F.size("path") > 1).select("id", F.explode(F.transform(cuts, prefix)).alias("at"), F.lit(None).cast("int").alias("here"), F.lit(None).cast("int").alias("solid"), F.col("level").alias("deeper"))
-    most = ends.unionByName(through).groupBy("id", "at").agg(*[F.max(c).alias(c) for c in ("here", "solid", "deeper")])
-    asked = found.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), prefix)))
-    own = F.col("at") == F.col("path")
-    over = F.when(own, F.greatest("here", "deeper")).otherwise(F.col("solid"))
-    judged = asked.join(most, ["id", "at"]).groupBy("id", "level", "path", "value", "whole").agg(F.max(over).alias("over"))
-    stay = judged.where("over is null or over <= level").select("id", "path", "value", "whole")
-    filled = stay.where(F.size("path") > 1).select("id", F.explode(F.transform(cuts, prefix)).alias("path")).distinct()
-    return stay.where("whole").unionByName(stay.where("not whole").join(filled, ["id", "path"], "left_anti"))
-
-
-def rebuilt(found: DataFrame) -> DataFrame:
-    """(id, doc): a VARIANT of each id's leaves, keys in order. Objects are closed from the deepest level up, a grouping for each."""
-    rows, depth = found.select("id", "path", "value"), found.agg(F.max(F.size("path"))).first()[0] or 0
-    for n in range(depth, 0, -1):
-        deep, rest = rows.where(F.size("path") == n), rows.where(F.size("path") < n)
-        pair = F.struct(F.element_at("path", -1).alias("k"), F.col("value").alias("v"))
-        closed = deep.groupBy("id", F.slice("path", 1, n - 1).alias("path")).agg(F.sort_array(F.collect_list(pair)).alias("kv"))
-        closed = closed.select("id", "path", F.concat(F.lit("{"), F.array_join(F.transform("kv", lambda x: F.concat(quoted(x["k"]), F.lit(":"), x["v"])), ","), F.lit("}")).alias("value"))
-        rows = rest.unionByName(closed)
-    return rows.select("id", F.parse_json("value").alias("doc"))
+
+def _json(node) -> str:
+    """A value as JSON text, keys in order; values of the merge stand behind their level."""
+    if isinstance(node, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_json(v)}" for k, v in sorted(node.items())) + "}"
+    if isinstance(node, tuple):
+        return _json(node[1])
+    if isinstance(node, list):
+        return "[" + ",".join(map(_json, node)) + "]"
+    return str(node) if isinstance(node, Number) else json.dumps(node)
+
+
+def _lay(tree: dict, over: dict, level: int) -> None:
+    """Lays ``over`` on ``tree``, object by object. An empty object replaces nothing but values of lower levels; of two values of one level the greater text stays."""
+    for k, v in over.items():
+        old = tree.get(k)
+        if isinstance(v, dict):
+            if not isinstance(old, dict):
+                if not v and old is not None and old[0] == level:
+                    continue
+                old = tree[k] = {}
+            _lay(old, v, level)
+        elif not (isinstance(old, tuple) and old[0] == level and _json(old) >= _json(v)):
+            tree[k] = (level, v)
 
 
 def deep_merge(docs: DataFrame, id_col: str = "id", doc_col: str = "doc", level_col: str = "level", changes: DataFrame | None = None) -> DataFrame:
-    """(id, doc): each id's documents merged by ``level_col``, then changed by ``changes`` (id, override, n). Ids whose documents are all empty or null give none."""
-    found = leaves(docs.select(F.col(id_col).alias("id"), F.col(level_col).alias("level"), F.col(doc_col).alias("doc")), "id", "doc")
-    return rebuilt(merged(found if changes is None else found.unionByName(overrides(changes))))
+    """(id, doc): each id's VARIANT documents merged by ``level_col``, those of a higher level laid over those below, object by object, then changed by ``changes`` (id, override, n). Ids whose documents are all empty or null give none.
+
+    Documents meet in one shuffle by id and are read in order: a task holds what an id's have become so far, never all of them.
+    """
+    import pyarrow as pa
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(level_col).cast("int").alias("level"), F.lit(None).cast("array<string>").alias("path"), F.to_json(doc_col).alias("text")).where("text is not null")
+    rows = rows if changes is None else rows.unionByName(overrides(changes))
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+        read_text = json.JSONDecoder(parse_float=Number, parse_int=Number, parse_constant=Number).decode
+        last, tree = None, {}  # the whole document stands at the key ""
+        for batch in batches:
+            ids, out = [], []
+            for key, level, path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != last:
+                    if tree.get("", {}) != {}:
+                        ids.append(last)
+                        out.append(_json(tree[""]))
+                    last, tree = key, {}
+                value = {} if text is None else read_text(text)
+                if text is None:
+                    node = tree
+                    for p in ["", *path[:-1]]:
+                        if not isinstance(node.get(p), dict):
+                            node[p] = {}
+                        node = node[p]
+                    node[path[-1]] = value
+                else:
+                    for p in reversed(path or []):
+                        value = {p: value}
+                    _lay(tree, {"": value}, level)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(out, pa.string())], ["id", "text"])
+        if tree.get("", {}) != {}:
+            yield pa.RecordBatch.from_arrays([pa.array([last], batch.schema.field(0).type), pa.array([_json(tree[""])], pa.string())], ["id", "text"])
+
+    met = rows.where("id is not null").repartition("id").sortWithinPartitions("id", "level", "path", "text")
+    return met.mapInArrow(folded, f"id {dict(rows.dtypes)['id']}, text string").select("id", F.parse_json("text").alias("doc"))

@@ -135,3 +135,21 @@ def test_formulas(spark):
     for bad in ("1 +", "x.y", "f(1)", "x if 1 else 2", "1.5", "'a'", "x // 2", "~x", "", "True", "[1]"):
         with pytest.raises(ValueError):
             formula(bad)
+
+
+def test_deep_merges_keep_digits_and_read_in_order(spark):
+    rows = [(1, i, json.dumps({"n": i, "deep": {f"k{i % 3}": i, "e": {}}})) for i in range(200)]
+    rows += [(2, 0, '{"a": 12345678901234567890123456789012345678, "b": 0.1234567890123456789012345678, "c": [1.10, {"d": 1e300}], "e": {"f": 1}, "g": 5}')]
+    rows += [(2, 1, '{"e": {}, "g": {}}'), (3, 0, "{}"), (4, 0, "[1, 2]"), (None, 0, '{"a": 1}'), (5, 0, '{"a": {}}'), (5, 0, '{"a": 7}'), (5, 0, '{"a": 12}')]
+    df = spark.createDataFrame(rows, "id bigint, level int, text string").repartition(5).select("id", "level", F.parse_json("text").alias("doc"))
+    changes = spark.createDataFrame([(5, 'x={"k": {"l": 1}}', 3), (5, "x.m.n=2", 3), (5, 'x={"gone": 1}', 2), (6, 'y.z={"é": "😀"}', 0)], "id bigint, override string, n int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = C.deep_merge(df, changes=changes)
+        got = {r["id"]: r["text"] for r in out.select("id", F.to_json("doc").alias("text")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert got[1] == '{"deep":{"e":{},"k0":198,"k1":199,"k2":197},"n":199}'
+    assert got[2] == '{"a":12345678901234567890123456789012345678,"b":0.1234567890123456789012345678,"c":[1.1,{"d":1.0E300}],"e":{"f":1},"g":{}}'
+    assert got[4] == "[1,2]" and got[5] == '{"a":7,"x":{"k":{"l":1},"m":{"n":2}}}' and got[6] == '{"y":{"z":{"é":"😀"}}}' and set(got) == {1, 2, 4, 5, 6}
