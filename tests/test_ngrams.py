@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from semid.functions import text as T
 from semid.operators import ngrams
+from semid.queries import QUERIES
 
 
 def _texts(n, seed=3):
@@ -70,3 +71,20 @@ def test_no_ngram_is_a_row_before_it_is_counted(spark, sf_dir):
 
 def test_no_frequent_pieces(spark):
     assert T.mine_ngrams(spark.createDataFrame([("a b, c",), (None,)], "text string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["candidates_merge_v"])
+def test_merged_candidates_shuffle_few_rows(name, spark, sf_dir):
+    """Far fewer rows than there are different n-grams."""
+    sc, none = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, none, None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    assert QUERIES[name](spark, sf_dir).count() == 2
+    rows = sum(n for k, n in shuffled().items() if k not in before)
+    grams = {tuple(p[i : i + n]) for p in _pieces(spark, [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]) for n in (2, 3) for i in range(len(p) - n + 1)}
+    assert 0 < rows < len(grams) / 2, (rows, len(grams))
