@@ -73,7 +73,7 @@ def test_no_frequent_pieces(spark):
     assert T.mine_ngrams(spark.createDataFrame([("a b, c",), (None,)], "text string")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["candidates_merge_v"])
+@pytest.mark.parametrize("name", ["candidates_merge_v", "candidates_merge_r"])
 def test_merged_candidates_shuffle_few_rows(name, spark, sf_dir):
     """Far fewer rows than there are different n-grams."""
     sc, none = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
